@@ -28,6 +28,37 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from quillon.llm.packing import pack
+
+    out = pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from quillon.llm.token_counts import token_counts
+
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality import held_out, learn_quality, score_quality
+
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    model = learn_quality(docs.join(labels, "doc_id"))
+    return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.language_id import held_out, identify, learn_profiles
+
+    profiles = learn_profiles(_documents(spark, sf_dir, "lang").where(~held_out(2, 4)))
+    return identify(_documents(spark, sf_dir), profiles).select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.near_dedup import near_duplicates
 
@@ -35,7 +66,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op5_benchmark_decontamination, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op5_benchmark_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_language_id, op10_simhash_near_dedup)}
 
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
