@@ -21,6 +21,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.media_matroska import read_back, store
+
+    return read_back(store(_documents(spark, sf_dir))).drop("error")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.decontamination import contamination
 
@@ -66,7 +72,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op5_benchmark_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_language_id, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op4_media_matroska, op5_benchmark_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_language_id, op10_simhash_near_dedup)}
 
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
