@@ -21,6 +21,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.license_scan import license_scan
+
+    return license_scan(_documents(spark, sf_dir))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.chat_format import prefix_tree, read_back
+
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return read_back(*prefix_tree(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
 def op4_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.media_matroska import read_back, store
 
@@ -72,7 +86,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op4_media_matroska, op5_benchmark_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_language_id, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_chat_format, op4_media_matroska, op5_benchmark_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_language_id, op10_simhash_near_dedup)}
 
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
@@ -109,4 +123,16 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op3_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+        e AS (
+            SELECT *, length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS n FROM c)
+        SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+            sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 4 ELSE n + length(role) + 8 END)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
