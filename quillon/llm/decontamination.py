@@ -84,7 +84,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     with_words = met.join(_checked_broadcast(known), met["item_id"].eqNullSafe(known["item_id"])).select("doc_id", met["item_id"], "shift", "iw")
     found = with_words.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "iw")).alias("__found"))
     added = ("n_words", "n_hit", "item_ids", "contaminated")
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
 
     def windows(ws: Column) -> Column:
         """(item id, first word, words) of each window that occurs."""

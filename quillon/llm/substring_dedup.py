@@ -37,7 +37,7 @@ class _Plan:
     def __init__(self, width: int, depth: int, total_bytes: int, group_bytes: int, load: int):
         self.width, self.depth = width, depth
         self.groups = max(1, math.ceil(total_bytes / group_bytes))
-        self.cell_bits = max(16, math.ceil(math.log2(max(1, total_bytes / 6) * load)))
+        self.cell_bits = max(16, math.ceil(math.log2(max(1, total_bytes / 6 * load))))
         self.block_bits = min(26, max(16, self.cell_bits - 8))
         self.range_bits = max(1, math.ceil(math.log2(self.groups)))
 
@@ -236,7 +236,7 @@ def remove_repeated_spans(docs: DataFrame, width: int = 13, depth: int = 2, grou
     ``load`` is the number of sketch cells per word of the input; ``group_bytes`` the text a task holds at a time
     (one text is never cut). Both set costs only, not the result.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed")]
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_words", "n_removed")]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = _Plan(width, depth, total, group_bytes, load)
     group: Column = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(plan.groups)).cast("long")
