@@ -142,3 +142,25 @@ def json_text(c: Column | str, path: str) -> Column:
     """A string at a path, or null where it is absent, null or not scalar."""
     v = F.get_json_object(_c(c), path)
     return F.when(~F.substring(v, 1, 1).isin("{", "["), v)
+
+
+# Aliases of document types.
+DOCUMENT_TYPES = {"gesetz": "law", "loi": "law", "legge": "law", "bundesgesetz": "law", "judgment": "decision", "ruling": "decision", "urteil": "decision", "arrêt": "decision", "sentenza": "decision", "entscheid": "decision", "beschluss": "decision", "kommentar": "commentary"}
+
+
+def lookup(c: Column, table: dict[str, str]) -> Column:
+    """The value of a small fixed table, or null."""
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    return F.try_element_at(F.create_map(*pairs), c)
+
+
+def document_type(extracted: Column | str, hint: Column | str) -> Column:
+    """The extracted type, else the hint; lower-cased, aliases resolved."""
+    clean = F.coalesce(F.nullif(F.lower(F.trim(_c(extracted))), F.lit("")), F.nullif(F.lower(F.trim(_c(hint))), F.lit("")))
+    return F.coalesce(lookup(clean, DOCUMENT_TYPES), clean)
+
+
+def jurisdiction(aliases: dict[str, str], *hints: Column | str) -> Column:
+    """The first hint that is an id, ``jur_`` and more, or an alias of one."""
+    one = lambda h: F.when(h.rlike(r"^jur_[a-z0-9_]+$"), h).otherwise(lookup(h, aliases))
+    return F.coalesce(*[one(F.lower(F.trim(_c(h)))) for h in hints])

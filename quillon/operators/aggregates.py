@@ -107,3 +107,30 @@ def keyset_page(df: DataFrame, key: str, after: object, limit: int) -> tuple[Dat
     """The next page by key, and whether it is the last, which a short page is."""
     rows = (df if after is None else df.where(F.col(key) > after)).orderBy(key).limit(limit)
     return rows, rows.count() < limit
+
+
+def json_counters(df: DataFrame, keys: Sequence[str], payload: str, outcomes: Sequence[str]) -> DataFrame:
+    """Counts of an ``outcome`` inside JSON, one column each, and of what is none of them."""
+    outcome = F.get_json_object(payload, "$.outcome")
+    known = F.coalesce(outcome.isin(*outcomes), F.lit(False))
+    return df.groupBy(*keys).agg(*[F.count_if(F.coalesce(outcome == o, F.lit(False))).alias(f"n_{o}") for o in outcomes], F.count_if(~known).alias("n_other"))
+
+
+def shard_totals(df: DataFrame, key: str, shards: str) -> DataFrame:
+    """Totals over a map of shard to (done, failed), worked out anew from its entries."""
+    rows = df.select(key, F.explode_outer(F.map_values(shards)).alias("s"))
+    return rows.groupBy(key).agg(F.coalesce(F.sum("s.done"), F.lit(0)).alias("done"), F.coalesce(F.sum("s.failed"), F.lit(0)).alias("failed"))
+
+
+def modal(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The most common value of each key; of equally common ones the least."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value), F.max("n").alias("n"))
+
+
+def observed(df: DataFrame, stage: str) -> tuple[DataFrame, object]:
+    """The frame with a row count attached that the next action fills in, without an action of its own."""
+    from pyspark.sql import Observation
+
+    seen = Observation(stage)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

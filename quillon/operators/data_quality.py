@@ -72,3 +72,24 @@ def run(rules: Mapping[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def document_rules() -> dict[str, Column]:
+    """What a published document must hold (Q9)."""
+    return {
+        "document_id_shape": F.col("document_id").rlike(r"^doc_[0-9a-hjkmnp-z]{26}$"),
+        "revision_positive": F.col("document_revision") >= 1,
+        "title_given": F.length(F.trim("title")) > 0,
+        "text_given": F.length(F.trim("body_text")) > 0,
+        "lifecycle_known": F.col("lifecycle_status").isin("active", "withdrawn", "superseded", "draft"),
+    }
+
+
+def section_rules() -> dict[str, Column]:
+    """What a published section must hold."""
+    return {"parent_given": F.col("document_id").isNotNull(), "ordinal_from_zero": F.col("ordinal") >= 0, "depth_from_zero": F.col("depth") >= 0, "content_given": F.length(F.trim("content")) > 0}
+
+
+def insight_rules() -> dict[str, Column]:
+    """What a commentary insight must hold."""
+    return {"confidence_is_a_share": F.col("confidence").between(0, 1), "claim_given": F.length(F.trim("claim")) > 0, "supported": F.size("support") > 0}

@@ -48,3 +48,14 @@ def summary(scores: DataFrame) -> DataFrame:
     means = scores.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in (*WEIGHTS, "overall_score")])
     out = means.select("*", *[F.coalesce(F.col(k) >= v, F.lit(False)).alias(f"{k}_ok") for k, v in GATES.items()])
     return out.withColumn("passed", F.expr(" AND ".join(f"{k}_ok" for k in GATES)))
+
+
+def read_csvs(spark, queries: str, gold: str, predictions: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of an evaluation, all columns as text."""
+    return tuple(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(p) for p in (queries, gold, predictions))
+
+
+def write_scores(scores: DataFrame, folder: str) -> None:
+    """Scores as CSV and their summary as JSON."""
+    scores.write.mode("overwrite").option("header", True).csv(f"{folder}/scores")
+    summary(scores).write.mode("overwrite").json(f"{folder}/summary")

@@ -66,3 +66,8 @@ def report(levels: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     counts = documents.groupBy("id", "norm_level").agg(F.count("*").alias("n"))
     top = top_k(documents, ["id", "norm_level"], k, F.col("effective_date").desc_nulls_last(), F.col("document_id")).groupBy("id", "norm_level").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "document_id"))), lambda x: x["document_id"]).alias("newest"))
     return levels.join(counts, ["id", "norm_level"], "left").join(top, ["id", "norm_level"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("covered", F.col("n") > 0)
+
+
+def preferred_scopes(mentioned: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(query_id, scope): the places a query names with all that govern them."""
+    return mentioned.join(scopes.select(F.col("id").alias("place"), "scope"), "place").select("query_id", "scope").distinct()

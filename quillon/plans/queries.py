@@ -562,3 +562,220 @@ def event_dedupe_stale(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor("value").alias("revision"))
     return outcomes(e, "event_id", "user_id", "revision", "event_id").select("event_id", "user_id", "revision", "outcome")
+
+
+# --- further operators, each on stand-in columns ---
+
+
+@query("""
+    SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND n_chars BETWEEN 200 AND 2000 AND list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'license')""")
+def refined_documents(spark, sf_dir):
+    """Terms, range and text refinements together."""
+    d = table(spark, sf_dir, "documents")
+    wanted = predicates.parse_refinements([{"kind": "terms", "field": "lang", "values": ["EN", "DE"]}, {"kind": "range", "field": "n_chars", "min": 200, "max": 2000}, {"kind": "text", "field": "text", "value": "License"}])
+    return predicates.refine(d, wanted).select("doc_id")
+
+
+@query("""
+    SELECT DISTINCT c_custkey, s_suppkey FROM customer, supplier WHERE (c_nationkey = s_nationkey OR c_custkey = s_suppkey) AND c_custkey % 20 = 0""")
+def disjunctive_join(spark, sf_dir):
+    """Customers and suppliers of one nation or one key; a tenth of the keys stands for a set of citations."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select("c_custkey", "c_nationkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return joins.either_key(c, s, ["c_nationkey", "c_custkey"], ["s_nationkey", "s_suppkey"], "c_custkey").select("c_custkey", F.col("r_s_suppkey").alias("s_suppkey"))
+
+
+@query("""
+    WITH want AS (SELECT n_name AS k FROM nation WHERE n_nationkey < 10 UNION ALL SELECT 'ATLANTIS'),
+    have AS (SELECT n_name AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 GROUP BY 1)
+    SELECT k, coalesce(n, 0) AS n, coalesce(n, 0) > 0 AS held FROM want FULL JOIN have USING (k)""")
+def requested_keys(spark, sf_dir):
+    """Requested nations and held ones, with zeros."""
+    n = table(spark, sf_dir, "nation")
+    want = n.where("n_nationkey < 10").select(F.col("n_name").alias("k")).unionByName(spark.createDataFrame([("ATLANTIS",)], "k string"))
+    have = table(spark, sf_dir, "customer").join(n.where("n_nationkey % 2 = 0"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("k")).agg(F.count("*").alias("n"))
+    return joins.requested(want, have, "k", "n")
+
+
+@query("""
+    WITH o AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), p AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 10 <> 3 OR lang = 'en' GROUP BY lang)
+    SELECT lang, o.n AS observed, p.n AS published, coalesce(o.n = p.n, false) AS complete FROM o FULL JOIN p USING (lang)""")
+def observed_vs_published(spark, sf_dir):
+    """Counts by language against a smaller publication."""
+    d = table(spark, sf_dir, "documents")
+    n = F.count("*").alias("n")
+    return A.completeness(d.groupBy("lang").agg(n), d.where("doc_id % 10 <> 3 OR lang = 'en'").groupBy("lang").agg(n), "lang")
+
+
+@query("""
+    WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS f, unnest(embedding)::DOUBLE AS w FROM embeddings)
+    SELECT label, 't' || f AS feature, max(w) AS weight FROM e WHERE w >= 0.01 GROUP BY ALL""")
+def pooled_features(spark, sf_dir):
+    """The greatest weight of each feature by label."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("f", "w")).where("w >= 0.01")
+    m = e.select("label", F.create_map(F.concat(F.lit("t"), F.col("f")), F.col("w").cast("double")).alias("m"))
+    return A.pooled_max(m, "label", "m")
+
+
+@query("""
+    SELECT user_id, arg_min(CASE WHEN event_type <> 'view' THEN event_type END, event_id) AS first_type, (SELECT e2.value FROM events e2 WHERE e2.user_id = e.user_id AND e2.value > 40 ORDER BY e2.event_id LIMIT 1) AS first_large
+    FROM events e GROUP BY user_id""")
+def first_known_values(spark, sf_dir):
+    """A user's first event that is no view, and first value over 40."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("first_type"), F.when(F.col("value") > 40, F.col("value")).alias("first_large"))
+    return windows.first_known(e, ["user_id"], ["first_type", "first_large"], F.col("event_id"))
+
+
+@query("""
+    SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
+def first_occurrence(spark, sf_dir):
+    """Of equal texts the first."""
+    from quillon.operators import sets
+
+    d = table(spark, sf_dir, "documents").withColumn("h", F.sha2("text", 256))
+    return sets.first_occurrences(d, ["h"], "doc_id").select("doc_id", "source")
+
+
+@query("""
+    WITH r AS (SELECT *, CASE lang WHEN 'de' THEN 0 WHEN 'fr' THEN 1 END AS rank FROM documents),
+    a AS (SELECT *, count(rank) OVER (PARTITION BY source) AS known FROM r),
+    o AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM a WHERE rank IS NOT NULL OR known = 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank NULLS LAST, lang, doc_id) AS place FROM o WHERE n = 1)
+    SELECT source, lang, doc_id, place::INTEGER AS place FROM p WHERE place <= 2""")
+def preferred_languages(spark, sf_dir):
+    """U8: of each source a German and a French document, in this order."""
+    from quillon.operators import sets
+
+    return sets.preferred(table(spark, sf_dir, "documents"), ["source"], "lang", ["de", "fr"], 2, "doc_id").select("source", "lang", "doc_id", "place")
+
+
+@query("""
+    WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)
+    SELECT o_custkey, o_orderpriority, n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) AS rn FROM c) WHERE rn = 1""")
+def modal_priority(spark, sf_dir):
+    """The most common priority of each customer."""
+    return A.modal(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority")
+
+
+@query("SELECT lang, source, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY ALL")
+def shares(spark, sf_dir):
+    """Counts and shares of the whole."""
+    return A.share_of_total(table(spark, sf_dir, "documents"), ["lang", "source"]).withColumn("share", F.round("share", 6))
+
+
+@query("""
+    SELECT event_type, count(*) FILTER ((props->>'$.k')::INT < 10) AS n_low, count(*) FILTER ((props->>'$.k')::INT >= 10 OR props->>'$.k' IS NULL) AS n_other FROM events GROUP BY event_type""")
+def json_outcomes(spark, sf_dir):
+    """Counters from JSON; small keys stand for an outcome."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, sf_dir, "events").withColumn("payload", F.when(k < 10, F.lit('{"outcome": "low"}')).otherwise(F.lit("{}")))
+    return A.json_counters(e, ["event_type"], "payload", ["low"])
+
+
+@query("""
+    SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'purchase') AS n_purchase FROM events GROUP BY user_id""")
+def status_histogram(spark, sf_dir):
+    """A histogram of event types as columns."""
+    return A.status_counts(table(spark, sf_dir, "events"), ["user_id"], "event_type", ["click", "error", "purchase"])
+
+
+@query("""
+    SELECT source AS key, count(*) AS documents, max(doc_id) AS newest, count(*) FILTER (doc_id IS NULL) AS missing, array_to_string((list(DISTINCT 'd' || doc_id ORDER BY 'd' || doc_id))[1:5], ',') AS sample, true AS held
+    FROM documents GROUP BY source UNION ALL SELECT 'nowhere', 0, NULL, NULL, NULL, false""")
+def index_coverage(spark, sf_dir):
+    """Documents by source, with one requested source that has none."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("document_id"), F.col("doc_id").alias("updated"), F.array("source").alias("ids"))
+    out = coverage.index_coverage(d, "ids", spark.createDataFrame([("nowhere",), ("src0",)], "key string"), "updated", 5)
+    return out.withColumn("sample", F.array_join("sample", ","))
+
+
+@query("""
+    WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+    SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(replace(replace(replace(replace(translate(t, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), 'ß', 'ss'), 'ae', 'a'), 'oe', 'o'), 'ue', 'u'), '[^a-z]+'), lambda x: x <> '')))[1:10], ' ') AS first_words FROM t""")
+def folded_words(spark, sf_dir):
+    """folded words of texts, the first ten in order of the alphabet."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.array_sort(F.array_distinct(text.letters(F.coalesce("text", F.lit(""))))), 1, 10), " ").alias("first_words"))
+
+
+@query("""
+    WITH k AS (SELECT p_partkey, p_name, 'Brand' AS cls, CASE WHEN p_type = 'ECONOMY' AND p_size > 25 THEN 'large_economy' WHEN p_type = 'ECONOMY' THEN 'economy' WHEN p_size > 25 THEN 'large' ELSE 'standard' END AS policy FROM part)
+    SELECT p_partkey, policy FROM k""")
+def policy_rules(spark, sf_dir):
+    """The first rule that matches, with a default."""
+    p = table(spark, sf_dir, "part").withColumn("big", F.when(F.col("p_size") > 25, "y").otherwise("n"))
+    rule = predicates.first_rule([({"p_type": "ECONOMY", "big": "y"}, "large_economy"), ({"p_type": "ECONOMY"}, "economy"), ({"big": "y"}, "large")], "standard")
+    return p.select("p_partkey", rule.alias("policy"))
+
+
+@query("""
+    SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 50""")
+def keyset_page(spark, sf_dir):
+    """The page after a key."""
+    rows, _ = A.keyset_page(table(spark, sf_dir, "orders"), "o_orderkey", 100, 50)
+    return rows.select("o_orderkey", "o_custkey")
+
+
+@query("""
+    WITH prior AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0), cur AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0)
+    SELECT coalesce(p.o_orderkey, c.o_orderkey) AS o_orderkey, CASE WHEN p.o_orderkey IS NULL THEN 'added' WHEN c.o_orderkey IS NULL THEN 'removed' WHEN p.o_orderstatus <> c.o_orderstatus THEN 'changed' ELSE 'same' END AS change
+    FROM prior p FULL JOIN cur c ON p.o_orderkey = c.o_orderkey""")
+def semantic_diff(spark, sf_dir):
+    """What changed between two states, by the compared column alone."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    new = o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return mutation.changed_keys(o.where("o_orderkey % 2 = 0"), new, "o_orderkey", ["o_orderstatus"])
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey, before FROM (
+        SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS before FROM lineitem) WHERE l_linenumber <= before""")
+def disordered_lines(spark, sf_dir):
+    """Q8: lines whose number does not exceed the one before in order of part."""
+    li = table(spark, sf_dir, "lineitem").withColumn("arrival", F.struct("l_partkey", "l_linenumber"))
+    return data_quality.disordered(li, ["l_orderkey"], "l_linenumber", "arrival").select("l_orderkey", "l_linenumber", "l_partkey", "before")
+
+
+@query("""
+    WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')), lambda x: x <> '')) AS x FROM documents WHERE length(text) < 900)
+    SELECT doc_id, count(*) AS passages, sum(length(x))::BIGINT AS chars FROM p GROUP BY doc_id""")
+def passages(spark, sf_dir):
+    """Passages of texts short enough not to be cut after sentences."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") < 900).select("doc_id", "text")
+    return chunking.passages(d, "text").groupBy("doc_id").agg(F.count("*").alias("passages"), F.sum(F.length("passage")).alias("chars"))
+
+
+@query(r"""
+    SELECT page_id, CASE WHEN regexp_matches(t, '(?i)\b(decision|judg(?:e)?ment|order|case|ruling)\b') THEN 'decision' WHEN regexp_matches(t, '(?i)\b(privacy|terms|impressum|contact|about|help|faq|cookie|sitemap)\b') THEN 'boilerplate' ELSE 'other' END AS kind,
+        regexp_matches(lower(url), '\.pdf$') AS pdf FROM (SELECT page_id, url, url || ' ' || html AS t FROM pages)""")
+def page_kinds(spark, sf_dir):
+    """What pages look like by their words."""
+    p = table(spark, sf_dir, "pages")
+    return p.withColumn("page_type", F.lit(None).cast("string")).select("page_id", predicates.page_kind("url", "html").alias("kind"), predicates.is_pdf("page_type", "url").alias("pdf"))
+
+
+@query(r"""
+    WITH h AS (SELECT page_id, lower(regexp_replace(html, '^\s+', '')) AS h FROM pages), s AS (SELECT page_id, substr(h, 1, 500) AS h FROM h)
+    SELECT page_id, CASE WHEN h LIKE '<!doctype html%' OR contains(h, '<html') OR contains(h, '<body') THEN 'html' WHEN h LIKE '<?xml%' THEN 'xml' END AS modality FROM s""")
+def modalities(spark, sf_dir):
+    """what kind of text pages are."""
+    return table(spark, sf_dir, "pages").select("page_id", text.modality("html").alias("modality"))
+
+
+@query()
+def html_sections(spark, sf_dir):
+    """Pages as sections; a stateful parser has no SQL."""
+    from quillon.operators import normalise
+
+    p = normalise.html_blocks(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    return normalise.sections(p, "page_id").select("page_id", "ordinal", "title", "depth", "section_type", F.length("content").alias("n_chars"))
+
+
+@query()
+def scd2_steps(spark, sf_dir):
+    """M3: history by snapshots, three loads of orders' statuses; the one-pass form has the SQL (scd2_history)."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", "o_orderstatus")
+    history = spark.createDataFrame([], "o_orderkey long, o_orderstatus string, valid_from timestamp, valid_to timestamp")
+    for i, keep in enumerate(("o_orderkey % 2 = 0", "o_orderkey % 3 > 0", "o_orderkey % 5 > 0"), 1):
+        state = o.where(keep).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == i, "X").otherwise(F.col("o_orderstatus")))
+        history = mutation.scd2_apply(history, state, "o_orderkey", ["o_orderstatus"], F.lit(f"2024-01-0{i}").cast("timestamp"))
+    return history.select("o_orderkey", "o_orderstatus", F.unix_micros("valid_from").alias("from_us"), F.unix_micros("valid_to").alias("to_us"))
