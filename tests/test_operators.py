@@ -310,7 +310,7 @@ def test_history_by_steps_equals_history_from_a_log(spark):
     history = spark.createDataFrame([], "k string, s string, valid_from timestamp, valid_to timestamp")
     states = [[("a", "x"), ("b", None)], [("a", "x"), ("b", "n")], [("a", "y"), ("c", "z")], [("a", "y"), ("c", "z"), ("b", "n")]]
     for day, state in zip(days, states, strict=True):
-        history = mutation.scd2_apply(history, spark.createDataFrame(state, "k string, s string"), "k", ["s"], day).localCheckpoint()
+        history = spark.createDataFrame(mutation.scd2_apply(history, spark.createDataFrame(state, "k string, s string"), "k", ["s"], day).collect(), history.schema)
         assert history.where("valid_to IS NULL").groupBy("k").count().where("count > 1").count() == 0
     got = [(r.k, r.s, r.valid_from.day, r.valid_to and r.valid_to.day) for r in history.collect()]
     assert sorted(got, key=repr) == sorted([("a", "x", 1, 3), ("a", "y", 3, None), ("b", None, 1, 2), ("b", "n", 2, 3), ("b", "n", 4, None), ("c", "z", 3, None)], key=repr)
