@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the session names in spark.checkpoint.dir; only where there is none, as in tests, a temporary one."""
+    """Use the folder that the session names in spark.checkpoint.dir.
+
+    Where none is named, one process (a local master, as in tests) gets a temporary folder; a cluster gets an error,
+    since its machines share no such folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
