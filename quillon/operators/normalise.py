@@ -10,107 +10,178 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Tags that hold text, tags whose content is skipped, and words that mark legal sources.
+# HTML tags by what they do, and words that mark legal sources.
 LEAVES = ("p", "li", "td", "th", "blockquote", "pre")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+CONTAINERS = ("article", "section", "main")
 SKIPPED = ("script", "style", "noscript", "template", "svg", "canvas", "header", "nav", "footer", "aside", "iframe", "form", "object", "embed", "picture", "video", "audio", "track", "map")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 LEGAL_WORDS = r"(?i)art\.|§|gesetz|arrêt|urteil|rechtssatz|verordnung"
 
+# XML tags by what they do; structural ones with their level.
+XML_LEVELS = {"teil": 1, "part": 1, "hauptstueck": 1, "hauptstuck": 1, "kapitel": 2, "chapter": 2, "abschnitt": 2, "unterabschnitt": 3, "subsection": 3, "paragraf": 4, "paragraph": 4, "section": 4, "artikel": 4, "article": 4, "anlage": 4, "annex": 4}
+XML_TITLES = ("langtitel", "kurztitel", "titel", "title", "ueberschrift", "heading")
+XML_TEXTS = ("absatz", "paragraphtext", "text", "normtext", "inhalt", "content", "p", "satz", "einleitung", "praeambel", "preamble", "unterschrift")
+XML_ITEMS = ("ziffer", "litera", "listitem", "item", "punkt")
+XML_SKIPPED = ("metadata", "metadaten", "header", "kopf", "stammdaten", "kzinhalt", "fzinhalt", "layoutdaten", "ausgabe")
+XML_LABELS = ("nummer", "nr", "label", "bezeichnung")
+XML_LABEL_WORDS = {"paragraf": "§", "artikel": "Art.", "article": "Art.", "anlage": "Anlage", "annex": "Anlage", "teil": "Teil", "part": "Teil", "abschnitt": "Abschnitt", "kapitel": "Kapitel", "chapter": "Kapitel"}
+
 _BLOCK = "struct<type:string,text:string,level:int,anchor:string>"
 _ARROW = pa.struct([("type", pa.string()), ("text", pa.string()), ("level", pa.int32()), ("anchor", pa.string())])
 
 
-class _Reader(HTMLParser):
-    """Collects blocks; text outside leaf tags becomes paragraphs of its own."""
+def _squeezed(text: str) -> str:
+    return " ".join(text.split())
+
+
+def _block(kind: str, text: str, level: int | None = None, anchor: str | None = None) -> dict:
+    return {"type": kind, "text": text, "level": level, "anchor": anchor}
+
+
+class _Page(HTMLParser):
+    """Collects blocks. The outermost leaf or heading takes all text inside it; text loose in a container is a paragraph."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[dict] = []
-        self.title: list[str] = []
-        self.text: list[str] = []
-        self.open: tuple[str, int | None, str | None] = ("paragraph", None, None)
-        self.skip: list[str] = []
+        self.title = ""
+        self.skipping = 0
         self.in_title = False
-
-    def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text:
-            self.blocks.append({"type": self.open[0], "text": text, "level": self.open[1], "anchor": self.open[2]})
-        self.text = []
-        self.open = ("paragraph", None, None)
+        self.leaf: tuple[str, str | None] | None = None
+        self.text = ""
+        self.inside: list[tuple[str, str | None]] = []  # open containers with the anchor that holds in each
+        self.loose: list[str] = []
+
+    def _end_loose(self) -> None:
+        if self.inside and (text := _squeezed(self.loose[-1])):
+            self.blocks.append(_block("paragraph", text, anchor=self.inside[-1][1]))
+        if self.inside:
+            self.loose[-1] = ""
+
+    def _leave(self, tag: str) -> None:
+        if any(t == tag for t, _ in self.inside):
+            last = ""
+            while last != tag:
+                self._end_loose()
+                self.loose.pop()
+                last = self.inside.pop()[0]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "title":
+        outer = self.inside[-1][1] if self.inside else None
+        anchor = dict(attrs).get("id") or outer
+        if tag in SKIPPED:
+            self.skipping += 1
+        elif self.skipping:
+            return
+        elif tag == "title":
             self.in_title = True
-        elif tag in VOID:
-            if tag == "br":
-                self.text.append(" ")
-        elif self.skip or tag in SKIPPED:
-            if tag in SKIPPED:
-                self.skip.append(tag)
+        elif tag == "br":
+            self.text += "\n" if self.leaf else ""
+        elif tag in CONTAINERS:
+            self._end_loose()
+            self.inside.append((tag, anchor))
+            self.loose.append("")
         elif tag in HEADINGS or tag in LEAVES:
-            self.flush()
-            anchor = dict(attrs).get("id")
-            self.open = ("heading", int(tag[1]), anchor) if tag in HEADINGS else ({"li": "list_item", "td": "cell", "th": "cell"}.get(tag, "paragraph"), None, anchor)
-        elif tag in ("article", "section", "main", "div", "body", "ul", "ol", "table", "tr"):
-            self.flush()
+            self._end_loose()
+            if self.leaf is None:
+                self.leaf, self.text = (tag, anchor), ""
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
+        if tag in SKIPPED and self.skipping:
+            self.skipping -= 1
+        elif self.skipping:
+            return
+        elif tag == "title":
             self.in_title = False
-        elif self.skip:
-            if tag == self.skip[-1]:
-                self.skip.pop()
-        elif tag in HEADINGS or tag in LEAVES or tag in ("article", "section", "main", "div", "body", "ul", "ol", "table", "tr"):
-            self.flush()
+        elif self.leaf and tag == self.leaf[0]:
+            if text := _squeezed(self.text):
+                self.blocks.append(_block("heading", text, int(tag[1]), self.leaf[1]) if tag in HEADINGS else _block("list_item" if tag == "li" else "paragraph", text, anchor=self.leaf[1]))
+            self.leaf = None
+        elif tag in CONTAINERS:
+            self._leave(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.skipping:
+            return
         if self.in_title:
-            self.title.append(data)
-        elif not self.skip:
-            self.text.append(data)
+            self.title += data
+        elif self.leaf:
+            self.text += data
+        elif self.inside:
+            self.loose[-1] += data
+
+    def finish(self) -> None:
+        while self.inside:
+            self._leave(self.inside[-1][0])
 
 
 def html_blocks_of(text: str) -> list[dict]:
-    """The blocks of one page; without any, its text without tags as one paragraph."""
+    """The blocks of one page, its title first; without any, its text without tags as one paragraph."""
     import re
 
-    reader = _Reader()
-    reader.feed(text)
-    reader.close()
-    reader.flush()
-    title = " ".join("".join(reader.title).split())
-    head = [{"type": "title", "text": title, "level": None, "anchor": None}] if title else []
-    if not reader.blocks:
-        rest = " ".join(re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", text)).split())
-        return head + ([{"type": "paragraph", "text": rest, "level": None, "anchor": None}] if rest else [])
-    return head + reader.blocks
+    page = _Page()
+    page.feed(text)
+    page.finish()
+    head = [_block("title", title)] if (title := _squeezed(page.title)) else []
+    if page.blocks:
+        return head + page.blocks
+    rest = _squeezed(re.sub(r"<[^>]*>", "", text))
+    return head + ([_block("paragraph", rest)] if rest else [])
+
+
+def _tag(node: ElementTree.Element) -> str:
+    return node.tag.rsplit("}", 1)[-1].replace("-", "_").lower() if isinstance(node.tag, str) else ""
+
+
+def _all_text(node: ElementTree.Element) -> str:
+    return _squeezed(" ".join(node.itertext()))
+
+
+def _label(node: ElementTree.Element) -> str | None:
+    """A number given as attribute or child, with the word that its tag takes."""
+    given = [node.attrib.get(k, "") for k in ("nummer", "nr", "number", "label", "bezeichnung")] + [_all_text(c) for c in node if _tag(c) in XML_LABELS]
+    number = next((n for n in map(_squeezed, given) if n), None)
+    return number and " ".join(filter(None, (XML_LABEL_WORDS.get(_tag(node)), number)))
+
+
+def _labelled(label: str | None, text: str | None) -> str | None:
+    return text if not label or (text or "").startswith(label) else f"{label} {text}" if text else label
 
 
 def xml_blocks_of(text: str) -> list[dict]:
-    """Blocks of an XML document: titles and headings by tag name, other elements' own text as paragraphs."""
+    """The blocks of one XML document (T6): structural elements give headings, text and list elements blocks.
+
+    Text that is no well-formed XML is refused, as one block of type ``invalid``.
+    """
     try:
         root = ElementTree.fromstring(text)
-    except ElementTree.ParseError:
-        return html_blocks_of(text)
+    except ElementTree.ParseError as x:
+        return [_block("invalid", str(x))]
     out: list[dict] = []
-
-    def walk(node: ElementTree.Element, depth: int) -> None:
-        tag = node.tag.rsplit("}", 1)[-1].lower()
-        if tag in ("meta", "metadata", "style", "script"):
-            return
-        heading = tag in ("title", "heading", "head", "num", "ueberschrift", "titel")
-        own = " ".join((" ".join(node.itertext()) if heading else node.text or "").split())
-        if own:
-            out.append({"type": "heading" if heading else "list_item" if tag in ("li", "item") else "paragraph", "text": own, "level": max(1, min(6, depth)) if heading else None, "anchor": node.get("id")})
-        for child in () if heading else node:
-            walk(child, depth + 1)
-            if child.tail and (tail := " ".join(child.tail.split())):
-                out.append({"type": "paragraph", "text": tail, "level": None, "anchor": None})
-
-    walk(root, 0)
-    return out
+    waiting = [root]
+    while waiting:  # depth first, in document order
+        node = waiting.pop()
+        tag, children = _tag(node), list(node)
+        header = node.attrib.get("typ") in ("kz", "fz")  # of a printed page
+        if tag in XML_SKIPPED:
+            continue
+        if tag in XML_LEVELS:
+            titles = [c for c in children if _tag(c) in XML_TITLES]
+            named = next((t for t in map(_all_text, titles) if t), None)
+            if shown := _labelled(_label(node), named):
+                out.append(_block("heading", shown, XML_LEVELS[tag], node.get("id")))
+            children = [c for c in children if _tag(c) not in XML_LABELS and c not in titles[:1]]
+        elif tag == "ueberschrift":
+            if not header and (shown := _all_text(node)):
+                out.append(_block("heading", shown, 2, node.get("id")))
+            continue
+        elif tag in XML_ITEMS or (tag in XML_TEXTS and not (tag in ("text", "content", "inhalt", "normtext") and children)):
+            if not header and (body := _all_text(node)):
+                out.append(_block("list_item" if tag in XML_ITEMS else "paragraph", _labelled(_label(node), body), None, node.get("id")))
+            continue
+        waiting += reversed(children)
+    rest = _all_text(root)
+    return out or ([_block("paragraph", rest)] if rest else [])
 
 
 def _blocks(df: DataFrame, source: str, read) -> DataFrame:
@@ -133,13 +204,14 @@ def xml_blocks(df: DataFrame, source: str) -> DataFrame:
 
 def markdown_blocks(c: Column) -> Column:
     """Blocks of Markdown: the first ``#`` line is the title, further ones headings; list items; one paragraph a line (T3). Native."""
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
     def block(x: Column, i: Column) -> Column:
         marks = F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1))
-        kind = F.when(marks > 0, "heading").when(x.rlike(r"^([-*+]|\d+\.)\s"), "list_item").otherwise("paragraph")
-        body = F.trim(F.regexp_replace(x, r"^(#{1,6}|[-*+]|\d+\.)\s+", ""))
-        return F.struct(kind.alias("type"), F.when(kind == "paragraph", x).otherwise(body).alias("text"), F.when(marks > 0, marks).alias("level"), F.lit(None).cast("string").alias("anchor"))
+        kind = F.when(marks > 0, "heading").when(x.rlike(r"^[-*+]\s"), "list_item").otherwise("paragraph")
+        body = F.regexp_replace(x, r"^(#{1,6}|[-*+])\s+", "")
+        squeezed = F.trim(F.regexp_replace(F.when(kind == "paragraph", x).otherwise(body), r"\s+", " "))
+        return F.struct(kind.alias("type"), squeezed.alias("text"), F.when(marks > 0, marks).alias("level"), F.lit(None).cast("string").alias("anchor"))
 
     made = F.transform(lines, block)
     first = F.array_position(F.transform(made, lambda b: b["level"].eqNullSafe(1)), F.lit(True))

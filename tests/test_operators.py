@@ -175,13 +175,25 @@ def test_markdown_and_sections(spark):
     assert got == [(1, 0, "One", 1, "intro\n\npre\n\na\n\nb", []), (1, 1, "Deep", 2, "c", ["One"]), (1, 2, "Two", 1, "d", []), (2, 0, "Body", 0, "only\n\ntext", [])]
 
 
+def blocks_of(read, markup):
+    return [(b["type"], b["text"], b["level"], b["anchor"]) for b in read(markup)]
+
+
 def test_html_blocks(spark):
-    html = "<html><head><title> T </title><style>x</style></head><body><nav><p>no</p></nav>loose<article id=a><h2 id=h>Art. 1</h2><p>a&amp;b <b>c</b></p><ul><li>i</li></ul></article><script>1<2</script></body></html>"
-    df = normalise.html_blocks(spark.createDataFrame([(1, html), (2, None), (3, "<script>x</script>")], "i int, h string"), "h")
+    html = "<html><head><title> T </title><style>x</style></head><body><nav><p>no</p></nav>dropped<article id=a>loose<h2>Art. 1</h2><div><p id=p>a&amp;b<br><b>c</b></p></div><ul><li>i<p>j</p></li></ul>tail</article><table><td>d</td></table><script>1<2</script></body></html>"
+    want = [("title", "T", None, None), ("paragraph", "loose", None, "a"), ("heading", "Art. 1", 2, "a"), ("paragraph", "a&b c", None, "p"), ("list_item", "ij", None, "a"), ("paragraph", "tail", None, "a"), ("paragraph", "d", None, None)]
+    df = normalise.html_blocks(spark.createDataFrame([(1, html), (2, None), (3, "<b>only</b> text"), (4, "<section>open<main>never closed")], "i int, h string"), "h")
     got = {r.i: [(b.type, b.text, b.level, b.anchor) for b in r.blocks] for r in df.collect()}
-    assert got == {1: [("title", "T", None, None), ("paragraph", "loose", None, None), ("heading", "Art. 1", 2, "h"), ("paragraph", "a&b c", None, None), ("list_item", "i", None, None)], 2: [], 3: []}
-    xml = normalise.xml_blocks(spark.createDataFrame([("<a><titel>T</titel><p id='q'>x<i>y</i>z</p></a>",)], "h string"), "h").first().blocks
-    assert [(b.type, b.text) for b in xml] == [("heading", "T"), ("paragraph", "x"), ("paragraph", "y"), ("paragraph", "z")]
+    assert got == {1: want, 2: [], 3: [("paragraph", "only text", None, None)], 4: [("paragraph", "open", None, None), ("paragraph", "never closed", None, None)]}
+
+
+def test_xml_blocks(spark):
+    xml = "<doc xmlns='u'><Metadaten><p>no</p></Metadaten><Abschnitt nr='2'><titel>Rechte</titel><titel>Zweiter</titel><Paragraf><nr>5</nr><absatz>Text <i>hier</i></absatz><ziffer nr='1'>eins</ziffer><inhalt><satz>s</satz></inhalt></Paragraf></Abschnitt><ueberschrift typ='kz'>Seite</ueberschrift><ueberschrift>Frei</ueberschrift></doc>"
+    assert blocks_of(normalise.xml_blocks_of, xml) == [("heading", "Abschnitt 2 Rechte", 2, None), ("heading", "§ 5", 4, None), ("paragraph", "Text hier", None, None), ("list_item", "1 eins", None, None), ("paragraph", "s", None, None), ("heading", "Frei", 2, None)]
+    assert blocks_of(normalise.xml_blocks_of, "<a>plain <b>x</b></a>") == [("paragraph", "plain x", None, None)]
+    assert blocks_of(normalise.xml_blocks_of, "<a>")[0][0] == "invalid"
+    df = normalise.xml_blocks(spark.createDataFrame([(xml,)], "x string"), "x")
+    assert len(df.first().blocks) == 6
 
 
 def test_quarantine_order(spark):
