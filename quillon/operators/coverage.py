@@ -35,8 +35,26 @@ def funnel(places: DataFrame, key: str, stages: Mapping[str, DataFrame]) -> Data
 
 
 def gap(expected: str, have: str, tier: str, truncated: str) -> Column:
-    """What is missing, known only against a published and complete count (V2)."""
-    return F.when((F.col(tier) == "PUBLISHED") & ~F.coalesce(F.col(truncated), F.lit(True)), F.greatest(F.lit(0), F.col(expected) - F.col(have)))
+    """What is missing, known only against a published count that is no sample (V2); below zero where more is held than published."""
+    return F.when((F.col(tier) == "PUBLISHED") & ~F.coalesce(F.col(truncated), F.lit(False)), F.col(expected) - F.col(have))
+
+
+def work_reasons(acquired_gap: str, processed_gap: str) -> list[tuple[str, Column]]:
+    """The rules of the acquisition queue in order (V3), over ``has_source``, ``has_template``, ``expected``, ``acquired`` and ``refused``.
+
+    A place without a source has that one reason only.
+    """
+    source, a, p = F.col("has_source"), F.col(acquired_gap), F.col(processed_gap)
+    return [
+        ("NO_SOURCE", ~source & ~F.col("has_template")),
+        ("NO_SOURCE_TEMPLATE_AVAILABLE", ~source & F.col("has_template")),
+        ("NO_DENOMINATOR", source & F.col("expected").isNull()),
+        ("NEVER_ACQUIRED", source & (F.col("acquired") == 0)),
+        ("ACQUISITION_GAP", source & (a > 0)),
+        ("PROCESSING_GAP", source & (p > 0)),
+        ("HOLDINGS_EXCEED_DENOMINATOR", source & (F.coalesce(a < 0, F.lit(False)) | F.coalesce(p < 0, F.lit(False)))),
+        ("REFUSALS_OUTSTANDING", source & (F.col("refused") > 0)),
+    ]
 
 
 def work_queue(df: DataFrame, reasons: Sequence[tuple[str, Column]], name: str) -> DataFrame:
@@ -52,17 +70,17 @@ def unattributable(df: DataFrame, owners: DataFrame, key: str, counted: str) ->
 
 
 def coverage_payload(payload: Column) -> Column:
-    """Exactly one entity attributes a published count; several are ambiguous, their observed counts add up (V5).
+    """Exactly one entity attributes a published count; none or several are ambiguous, their observed counts add up (V5).
 
-    ``payload`` is an array of (expected, observed).
+    ``payload`` is an array of (expected, observed); without one there is no row of coverage, so all fields are null.
     """
     one = F.size(payload) == 1
     observed = F.aggregate(payload, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["observed"], F.lit(0)).cast("long"))
-    return F.struct(F.when(F.coalesce(F.size(payload), F.lit(0)) <= 0, "NONE").when(one, "ATTRIBUTED").otherwise("AMBIGUOUS").alias("attribution"), F.when(one, F.when(F.get(payload, 0)["expected"] > 0, F.get(payload, 0)["expected"])).alias("expected"), observed.alias("observed"))
+    return F.struct(F.when(payload.isNull(), F.lit(None)).when(one, "ATTRIBUTED").otherwise("AMBIGUOUS").alias("attribution"), F.when(one, F.when(F.get(payload, 0)["expected"] > 0, F.get(payload, 0)["expected"])).alias("expected"), observed.alias("observed"))
 
 
 def reconcile_units(events: DataFrame, key: str, ts: str, status: str, arrival: str, terminal: Sequence[str], now: Column, deadline_hours: int = 24) -> DataFrame:
-    """Per unit: latest status, is any status terminal, first and last seen, past the deadline without an end."""
+    """Per unit: latest status, is any status terminal, first and last seen, and, without an end, last seen before the deadline."""
     per = events.groupBy(key).agg(
         F.max_by(status, F.struct(ts, arrival)).alias("latest_status"),
         F.bool_or(F.col(status).isin(*terminal)).alias("terminated"),
@@ -70,7 +88,7 @@ def reconcile_units(events: DataFrame, key: str, ts: str, status: str, arrival:
         F.max(ts).alias("last_seen"),
         F.array_sort(F.collect_set(status)).alias("statuses"),
     )
-    late = ~F.col("terminated") & (F.col("first_seen") < now - F.make_dt_interval(hours=F.lit(deadline_hours)))
+    late = ~F.col("terminated") & (F.col("last_seen") <= now - F.make_dt_interval(hours=F.lit(deadline_hours)))
     return per.withColumn("past_deadline", late)
 
 

@@ -292,7 +292,7 @@ def _funnel(spark, sf_dir) -> DataFrame:
     return coverage.funnel(nation, "n_nationkey", {"discovered": customer.groupBy("n_nationkey").agg(n), "acquired": orders.groupBy("n_nationkey").agg(n), "processed": orders.where("o_orderstatus = 'F'").groupBy("n_nationkey").agg(n)})
 
 
-@query(_FUNNEL + "SELECT *, CASE WHEN n_nationkey % 2 = 0 THEN greatest(0, acquired - processed) END AS gap FROM f")
+@query(_FUNNEL + "SELECT *, CASE WHEN n_nationkey % 2 = 0 THEN acquired - processed END AS gap FROM f")
 def coverage_funnel(spark, sf_dir):
     """Nations; customers, orders and filled orders are the stages; even keys have a published count."""
     f = _funnel(spark, sf_dir).withColumn("tier", F.when(F.col("n_nationkey") % 2 == 0, "PUBLISHED").otherwise("ESTIMATED")).withColumn("truncated", F.lit(False))
@@ -312,7 +312,7 @@ def work_queue(spark, sf_dir):
 
 @query("""
     WITH u AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest_status, bool_or(event_type = 'purchase') AS terminated, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id)
-    SELECT user_id, latest_status, terminated, epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us, NOT terminated AND first_seen < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 24 HOUR AS past_deadline FROM u""")
+    SELECT user_id, latest_status, terminated, epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us, NOT terminated AND last_seen <= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 24 HOUR AS past_deadline FROM u""")
 def processing_recon(spark, sf_dir):
     """Users as units, purchases end them; now is fixed."""
     u = coverage.reconcile_units(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "event_id", ["purchase"], F.lit("2024-02-01 00:00:00").cast("timestamp"))

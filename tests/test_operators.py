@@ -378,7 +378,10 @@ def test_gap_queue_payload_and_rollup(spark):
     queue = coverage.work_queue(df, [("gap", gap > 0), ("excess", F.col("h") > F.col("e")), ("guess", F.col("t") == "ESTIMATED")], "n").collect()
     assert [(r.n, r.reasons) for r in queue] == [("b", ["gap"]), ("c", ["excess"]), ("a", ["guess"])]
     p = spark.createDataFrame([([(3, 1)],), ([(3, 1), (4, 2)],), ([(0, 1)],), ([],)], "p array<struct<expected:int,observed:int>>").select(coverage.coverage_payload(F.col("p")).alias("x"))
-    assert [tuple(r.x) for r in p.collect()] == [("ATTRIBUTED", 3, 1), ("AMBIGUOUS", None, 3), ("ATTRIBUTED", None, 1), ("NONE", None, 0)]
+    assert [tuple(r.x) for r in p.collect()] == [("ATTRIBUTED", 3, 1), ("AMBIGUOUS", None, 3), ("ATTRIBUTED", None, 1), ("AMBIGUOUS", None, 0)]
+    place = spark.createDataFrame([("none", False, False, None, 0, 0, None, None), ("template", False, True, None, 0, 0, None, None), ("new", True, False, None, 0, 1, None, None), ("over", True, False, 3, 5, 0, -2, 1)], "n string, has_source boolean, has_template boolean, expected int, acquired int, refused int, a int, p int")
+    queue = {r.n: r.reasons for r in coverage.work_queue(place, coverage.work_reasons("a", "p"), "n").collect()}
+    assert queue == {"none": ["NO_SOURCE"], "template": ["NO_SOURCE_TEMPLATE_AVAILABLE"], "new": ["NO_DENOMINATOR", "NEVER_ACQUIRED", "REFUSALS_OUTSTANDING"], "over": ["PROCESSING_GAP", "HOLDINGS_EXCEED_DENOMINATOR"]}
     assert one(spark, coverage.rollup(F.split("s", ",")), s="ok,stalled,blocked") == "blocked"
 
 
