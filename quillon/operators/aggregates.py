@@ -82,6 +82,23 @@ def funnel(df: DataFrame, session: str, kind: str, ts: str, within_seconds: int,
     return marked.agg(F.count_if(F.col(kind) == search).alias("searches"), F.count_if("hit").alias("focused")).withColumn("focus_rate", F.try_divide("focused", "searches"))
 
 
+def journey_kpis(df: DataFrame, session: str, kind: str, ts: str, names: dict[str, str], within_seconds: int = 300) -> DataFrame:
+    """One row: searches, how many a focus follows, resets per search and refinements per session (A38); null over nothing.
+
+    ``names`` gives the event names of search, focus, reset and refine. Untimed searches count as searches, not in the focus rate.
+    """
+    counts = df.agg(F.count("*").alias("events"), F.count_if(F.col(kind) == names["search"]).alias("searches"), F.count_if(F.col(kind) == names["reset"]).alias("resets"), F.count_if(F.col(kind) == names["refine"]).alias("refinements"), F.count_distinct(session).alias("sessions"))
+    timed = funnel(df, session, kind, ts, within_seconds, names["search"], names["focus"])
+    return counts.select(
+        "*",
+        timed.select("searches").scalar().alias("timed_searches"),
+        timed.select("focused").scalar().alias("focused"),
+        timed.select("focus_rate").scalar().alias("focus_rate"),
+        F.try_divide("resets", "searches").alias("resets_per_search"),
+        F.try_divide("refinements", "sessions").alias("refinements_per_session"),
+    )
+
+
 def pooled_max(df: DataFrame, key: str, features: str) -> DataFrame:
     """Sparse vectors of a key pooled by the greatest weight of each feature."""
     return df.select(key, F.explode(features).alias("feature", "weight")).groupBy(key, "feature").agg(F.max("weight").alias("weight"))

@@ -54,7 +54,7 @@ def as_of(versions: DataFrame, keys: Sequence[str], version: str, start: str, en
     """One version of each key as of a date.
 
     The newest that began by then, in force if it has not ended; if all begin later, the earliest, not in force; if none
-    has a date, the greatest version. One aggregate: nothing is joined to itself.
+    has a date, the greatest version, which is taken to be in force. One aggregate: nothing is joined to itself.
     """
     begun, v = F.col(start) <= at, F.struct(version, start, end)
     picked = versions.groupBy(*keys).agg(
@@ -63,7 +63,7 @@ def as_of(versions: DataFrame, keys: Sequence[str], version: str, start: str, en
         F.max_by(v, version).alias("undated"),
     )
     chosen = F.coalesce("past", "future", "undated")
-    force = F.when(F.col("past").isNotNull(), F.coalesce(F.col(f"past.{end}") >= at, F.lit(True))).otherwise(F.lit(False))
+    force = F.when(F.col("past").isNotNull(), F.coalesce(F.col(f"past.{end}") >= at, F.lit(True))).otherwise(F.col("future").isNull())
     return picked.select(*keys, chosen[version].alias(version), chosen[start].alias(start), force.alias("in_force"))
 
 

@@ -15,7 +15,7 @@ K1, B = 1.2, 0.75
 SHORT_TOKENS, SHORT_CHARS = 3, 32
 MENTION_BOOST = 1.0
 STOP_WORDS = ("ich", "mein", "meine", "meinen", "meiner", "meinem", "mir", "mich", "du", "dein", "deine", "deinen", "dir", "dich", "wir", "unser", "unsere", "uns", "wie", "was", "wann", "wo", "warum", "weshalb", "wieso")
-_CITATION_LIKE = re.compile(r"\b(SR|BGE|Art\.?|§|ECLI|BGBl\.?)\s*[\d:]|\b[1-9]\d{4}[A-Z]{1,2}\d{4}\b")
+_CITATION_LIKE = re.compile(r"\bart\.?\b|\bbge\b|\bbvge\b|\bemrk\b|\d|/|§", re.IGNORECASE)
 
 
 def german_normalised(c: Column) -> Column:

@@ -92,6 +92,14 @@ def test_completeness_share_and_entries(spark):
     assert m.select(aggregates.top_entries("m", 2).alias("m")).first().m == {"t3": 0.9, "t1": 0.5}
 
 
+def test_journey_kpis(spark):
+    e = spark.createDataFrame([("s", "search", "2024-01-01 00:00:00"), ("s", "search", "2024-01-01 00:03:00"), ("s", "focus", "2024-01-01 00:08:00"), ("s", "reset", None), ("t", "search", None), ("t", "refine", None)], "s string, k string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    names = {n: n for n in ("search", "focus", "reset", "refine")}
+    r = aggregates.journey_kpis(e, "s", "k", "t", names).first()
+    assert (r.searches, r.timed_searches, r.focused, r.focus_rate, r.resets_per_search, r.refinements_per_session) == (3, 2, 1, 0.5, 1 / 3, 0.5)
+    assert aggregates.journey_kpis(e.limit(0), "s", "k", "t", names).first().focus_rate is None
+
+
 def test_empty_and_absent_filters(spark):
     df = spark.createDataFrame([("a", ["p"]), ("b", None)], "k string, v array<string>")
     count = lambda f, v: df.where(predicates.in_terms(df, f, v)).count()
@@ -134,7 +142,7 @@ def test_as_of_falls_back(spark):
         "k string, v string, f date, u date",
     )
     got = rows(joins.as_of(v, ["k"], "v", "f", "u", F.lit("2024-01-01").cast("date")), "k", "v", "in_force")
-    assert got == [("ended", "v1", False), ("future", "v9", False), ("past", "v2", True), ("undated", "u2", False)]
+    assert got == [("ended", "v1", False), ("future", "v9", False), ("past", "v2", True), ("undated", "u2", True)]
 
 
 def test_requested_keys_get_a_row(spark):
