@@ -103,9 +103,14 @@ def stranded(units: DataFrame, cutoff: Column) -> DataFrame:
     return units.where(~F.col("terminated") & (F.col("last_seen") <= cutoff))
 
 
-def rollup(status: Column) -> Column:
-    """The worst of an array of stage statuses: failed, blocked, stalled, in_progress, ok (V9)."""
-    return F.when(F.array_contains(status, "failed"), "failed").when(F.array_contains(status, "blocked"), "blocked").when(F.array_contains(status, "stalled"), "stalled").when(F.array_contains(status, "in_progress"), "in_progress").otherwise("ok")
+def rollup(stages: Column, run_status: Column, completed_at: Column, now: Column, grace_hours: int = 24) -> Column:
+    """A pipeline's status from an array of stage statuses (V9): failed, blocked, stalled, in_progress or ok.
+
+    Unfinished stages are stalled once a completed run has ended so long ago; an unknown end is not an old one.
+    """
+    stalled = (run_status == "completed") & (completed_at <= now - F.make_dt_interval(hours=F.lit(grace_hours)))
+    open_ = F.arrays_overlap(stages, F.array(F.lit("pending"), F.lit("in_progress")))
+    return F.when(F.array_contains(stages, "failed"), "failed").when(F.array_contains(stages, "blocked"), "blocked").when(open_ & F.coalesce(stalled, F.lit(False)), "stalled").when(open_, "in_progress").otherwise("ok")
 
 
 def drained(tasks: DataFrame, runs: DataFrame, key: str, done: Column) -> DataFrame:
@@ -123,26 +128,65 @@ def index_coverage(documents: DataFrame, ids: str, wanted: DataFrame | None, upd
     return held.withColumn("held", F.col("documents") > 0).orderBy(F.desc("documents"), "key")
 
 
-def stage_status(latest: Column, terminated: Column, past_deadline: Column, reachable: Column) -> Column:
-    """A stage's status from its latest row: what has not ended is in progress, past the deadline blocked; unreachable stages do not apply."""
-    base = F.when(latest.isin("failed", "rejected"), "failed").when(latest == "quarantined", "blocked").when(latest.isNull(), "pending").otherwise("ok")
-    guarded = F.when((base == "ok") & ~F.coalesce(terminated, F.lit(False)), F.when(past_deadline, "blocked").otherwise("in_progress")).otherwise(base)
-    return F.when(~reachable, "not_applicable").otherwise(guarded)
+def processing_stage(latest: Column, run_status: Column, unterminated: Column, past_deadline: Column) -> Column:
+    """The processing stage from its latest status (V17); what has not ended keeps it from being ok, and past the deadline blocks it."""
+    base = F.when(latest.isNull(), F.when(run_status.isin("failed", "cancelled"), "blocked").otherwise("pending")).when(latest == "failed", "failed").when(latest == "quarantined", "blocked").when(latest.isin("accepted", "processing"), "in_progress").otherwise("ok")
+    late = F.coalesce(past_deadline, F.lit(0)) > 0
+    return F.when(late & (base != "failed"), "blocked").when((F.coalesce(unterminated, F.lit(0)) > 0) & (base == "ok"), "in_progress").otherwise(base)
+
+
+def projection_stage(latest: Column, lifecycle: Column) -> Column:
+    """The projection stage: ok with any lifecycle event, else what processing lets it be."""
+    return F.when(lifecycle.isNotNull(), "ok").when(latest.isNull(), "pending").when(latest.isin("failed", "quarantined"), "blocked").otherwise("in_progress")
+
+
+def search_stage(lifecycle: Column) -> Column:
+    return F.when(lifecycle.isNotNull(), "ok").otherwise("pending")
+
+
+def reachable(stages: Column, run_status: Column) -> Column:
+    """Pending stages of a run that failed or was cancelled do not apply."""
+    return F.when(run_status.isin("failed", "cancelled"), F.transform(stages, lambda s: F.when(s == "pending", "not_applicable").otherwise(s))).otherwise(stages)
+
+
+def stall_cause(refused: Column, run_status: Column, processing_events: Column, lifecycle_events: Column, processing: Column, projection: Column, search: Column) -> Column:
+    """Why a run has not got where it should, the first cause that holds (V18); the run's own status is asked before its stages."""
+    waiting = ("pending", "in_progress")
+    return (
+        F.when(F.coalesce(refused, F.lit(False)), "run_refused_by_lock")
+        .when(run_status == "pending", "no_dispatch_worker")
+        .when(run_status == "failed", "run_failed")
+        .when((run_status == "completed") & (processing_events == 0), "publish_path_disabled")
+        .when(run_status.isin("running", "in_progress"), "too_early_to_diagnose")
+        .when(processing.isin(*waiting) & (processing_events > 0), "di_consumer_silent")
+        .when((processing_events > 0) & (lifecycle_events == 0) & projection.isin(*waiting), "projection_stalled")
+        .when((lifecycle_events > 0) & (search == "pending"), "search_projection_pending")
+        .otherwise("unknown")
+    )
 
 
-def stall_cause(status: Column, captured: Column, emitted: Column, processed: Column) -> Column:
-    """Why a run stands still, the first cause that holds."""
-    return F.when(status == "failed", "run_failed").when(status.isin("pending", "queued"), "not_started").when(captured == 0, "nothing_captured").when(emitted == 0, "nothing_emitted").when(processed == 0, "nothing_processed").when(processed < emitted, "partially_processed").otherwise("none")
+def launch_class(df: DataFrame, readiness: str, enabled: str, provenance: str) -> DataFrame:
+    """Adds ``blocker``, ``modes``, ``lock_state`` and ``launchable`` from the two keys of a template."""
+    known = F.lower(F.trim(F.coalesce(readiness, F.lit(""))))
+    code = F.when(known.isin("scaffold", "awaiting_evidence", "live"), known).otherwise("scaffold")
+    key = F.when(F.coalesce(enabled, F.lit(False)), "open").when(F.lower(F.trim(F.coalesce(provenance, F.lit("default")))) == "override", "closed_by_operator").otherwise("never_turned")
+    blocker = F.when(code == "scaffold", "provider_scaffold").when(key == "closed_by_operator", "template_disabled_by_operator").when(code == "awaiting_evidence", "provider_awaiting_evidence").when(key == "never_turned", "template_never_enabled")
+    none, one, all_ = F.array().cast("array<string>"), F.array(F.lit("acceptance")), F.array(F.lit("acceptance"), F.lit("preview"), F.lit("production"))
+    modes = F.when((code == "scaffold") | (key == "closed_by_operator"), none).when((code == "awaiting_evidence") | (key == "never_turned"), one).otherwise(all_)
+    return df.withColumns({"code_key": code, "config_key": key, "blocker": blocker, "modes": modes}).withColumns({"lock_state": F.when(F.size("modes") == 0, "closed").when(F.col("blocker").isNull(), "open").otherwise("acceptance_only"), "launchable": F.col("blocker").isNull()})
 
 
-def launch_class(ready: Column, enabled: Column) -> Column:
-    """launchable, ready_disabled, enabled_not_ready or not_ready."""
-    return F.when(ready & enabled, "launchable").when(ready, "ready_disabled").when(enabled, "enabled_not_ready").otherwise("not_ready")
+def launch_summary(classified: DataFrame) -> DataFrame:
+    """How many templates could be launched, or could gather evidence."""
+    return classified.agg(F.count("*").alias("total"), F.count_if("launchable").alias("launchable"), F.count_if(F.array_contains("modes", "acceptance")).alias("acceptance_ready"), F.count_if(F.col("blocker") == "provider_scaffold").alias("needs_engineering"))
 
 
-def gate_verdict(total: Column, evaluated: Column, excluded: Column) -> Column:
-    """Absent coverage refuses; what was neither evaluated nor excluded fails."""
-    return F.when(total.isNull() | (total == 0), "refused").when(evaluated + excluded < total, "not_evaluated").otherwise("covered")
+def gate_verdict(outcomes: Column) -> Column:
+    """From an array of (gate, outcome): no bundle (null) refuses nothing, an empty one is unknown coverage, a gate not evaluated refuses."""
+    missing = F.filter(outcomes, lambda o: o["outcome"] == "not_evaluated")
+    excluded = F.filter(outcomes, lambda o: o["outcome"] == "excluded")
+    codes = F.array_compact(F.array(F.when(F.size(outcomes) == 0, "gate_coverage_unknown"), F.when(F.size(missing) > 0, "gate_not_evaluated")))
+    return F.struct((F.coalesce(F.size(outcomes), F.lit(0)) > 0).alias("reported"), F.when(outcomes.isNull(), F.lit(True)).otherwise(F.size(codes) == 0).alias("is_evidence"), F.when(outcomes.isNull(), F.array().cast("array<string>")).otherwise(codes).alias("refusals"), F.transform(excluded, lambda o: o["gate"]).alias("excluded"))
 
 
 def freshness(df: DataFrame, loaded: str, now: Column, warn_hours: int = 2, error_hours: int = 6) -> DataFrame:

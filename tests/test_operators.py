@@ -390,7 +390,25 @@ def test_gap_queue_payload_and_rollup(spark):
     place = spark.createDataFrame([("none", False, False, None, 0, 0, None, None), ("template", False, True, None, 0, 0, None, None), ("new", True, False, None, 0, 1, None, None), ("over", True, False, 3, 5, 0, -2, 1)], "n string, has_source boolean, has_template boolean, expected int, acquired int, refused int, a int, p int")
     queue = {r.n: r.reasons for r in coverage.work_queue(place, coverage.work_reasons("a", "p"), "n").collect()}
     assert queue == {"none": ["NO_SOURCE"], "template": ["NO_SOURCE_TEMPLATE_AVAILABLE"], "new": ["NO_DENOMINATOR", "NEVER_ACQUIRED", "REFUSALS_OUTSTANDING"], "over": ["PROCESSING_GAP", "HOLDINGS_EXCEED_DENOMINATOR"]}
-    assert one(spark, coverage.rollup(F.split("s", ",")), s="ok,stalled,blocked") == "blocked"
+    at = lambda d: F.lit(f"2024-01-{d:02d}").cast("timestamp")
+    roll = lambda s, run, end: one(spark, coverage.rollup(F.split("s", ","), F.lit(run), end, at(9)), s=s)
+    assert [roll("ok,pending,blocked", "completed", at(1)), roll("ok,pending", "completed", at(1)), roll("ok,pending", "completed", F.lit(None).cast("timestamp")), roll("ok", "failed", at(1)), roll("ok,in_progress", "running", at(1))] == ["blocked", "stalled", "in_progress", "ok", "in_progress"]
+
+
+def test_stages_causes_locks_and_gates(spark):
+    n = F.lit(None)
+    stage = lambda latest, run="completed", open_=0, late=0: one(spark, coverage.processing_stage(F.lit(latest).cast("string"), F.lit(run), F.lit(open_), F.lit(late)), s="")
+    assert [stage(None), stage(None, "failed"), stage("failed", late=3), stage("quarantined"), stage("accepted"), stage("canonical_ready"), stage("canonical_ready", open_=2), stage("canonical_ready", open_=2, late=1)] == ["pending", "blocked", "failed", "blocked", "in_progress", "ok", "in_progress", "blocked"]
+    assert one(spark, coverage.projection_stage(F.lit("quarantined"), n), s="") == "blocked" and one(spark, coverage.search_stage(F.lit("x")), s="") == "ok"
+    assert one(spark, coverage.reachable(F.split("s", ","), F.lit("cancelled")), s="ok,pending") == ["ok", "not_applicable"]
+    cause = lambda run, p, li, di="ok", pr="ok", se="ok", refused=False: one(spark, coverage.stall_cause(F.lit(refused), F.lit(run), F.lit(p), F.lit(li), F.lit(di), F.lit(pr), F.lit(se)), s="")
+    assert [cause("pending", 0, 0, refused=True), cause("pending", 0, 0), cause("completed", 0, 0), cause("running", 0, 0), cause("completed", 1, 0, "in_progress"), cause("completed", 1, 0, "ok", "pending"), cause("completed", 1, 1, "ok", "ok", "pending"), cause("completed", 1, 1)] == ["run_refused_by_lock", "no_dispatch_worker", "publish_path_disabled", "too_early_to_diagnose", "di_consumer_silent", "projection_stalled", "search_projection_pending", "unknown"]
+    t = spark.createDataFrame([("a", "live", True, None), ("b", "live", False, None), ("c", "live", False, "override"), ("d", "awaiting_evidence", True, None), ("e", "?", True, None)], "n string, r string, e boolean, p string")
+    out = coverage.launch_class(t, "r", "e", "p")
+    assert rows(out, "n", "lock_state", "blocker") == [("a", "open", None), ("b", "acceptance_only", "template_never_enabled"), ("c", "closed", "template_disabled_by_operator"), ("d", "acceptance_only", "provider_awaiting_evidence"), ("e", "closed", "provider_scaffold")]
+    assert tuple(coverage.launch_summary(out).first()) == (5, 1, 3, 1)
+    g = spark.createDataFrame([(None,), ([],), ([("x", "passed"), ("y", "excluded")],), ([("x", "not_evaluated")],)], "g array<struct<gate:string,outcome:string>>").select(coverage.gate_verdict(F.col("g")).alias("v"))
+    assert [(r.v.reported, r.v.is_evidence, r.v.refusals) for r in g.collect()] == [(False, True, []), (False, False, ["gate_coverage_unknown"]), (True, True, []), (True, False, ["gate_not_evaluated"])]
 
 
 def test_reconciliation(spark):
