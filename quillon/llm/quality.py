@@ -1,8 +1,8 @@
 """A quality score from random-indexing word vectors and a small neural network with calibrated probabilities.
 
 Each word has a sparse random index vector. A word's vector is its own index vector plus those of its neighbours
-in the learning sample, at unit length; words that the sample lacks have their index vector alone. A text is the
-mean of its words' vectors, each also marked by the word's shape, so that unheard words still say how they look.
+in the learning sample, at unit length. A text is the mean of its words' vectors, beside the mean of the index vectors
+of its words' shapes, so that words that the sample lacks still say how they look.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ def shape(word: bytes) -> bytes:
 class Model:
     """Word vectors of the sample and a network; at most VOCABULARY words, so of bounded size."""
 
-    words: dict[bytes, np.ndarray]
+    words: dict[bytes, int]
+    vectors: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -60,47 +61,42 @@ class Model:
 
 
 class _Pooler:
-    """Means of word vectors; vectors of unheard words are kept until there are too many."""
+    """Means of word and shape vectors; which rows a word takes is kept until there are too many words."""
 
-    def __init__(self, learned: dict[bytes, np.ndarray], most: int = 300_000):
-        self.learned, self.most = learned, most
+    def __init__(self, words: dict[bytes, int], vectors: np.ndarray, most: int = 200_000):
+        self.words, self.vectors, self.most = words, np.concatenate([np.zeros((1, DIM), dtype=np.float32), vectors]), most
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.shapes: dict[bytes, np.ndarray] = {}
-        self.table = np.zeros((1 << 12, 2 * DIM), dtype=np.float32)
-
-    def _row(self, word: bytes) -> np.ndarray:
-        look = shape(word)
-        if look not in self.shapes:
-            self.shapes[look] = index_vector(look)
-        own = self.learned.get(word)
-        return np.concatenate([np.zeros(DIM, dtype=np.float32) if own is None else own, self.shapes[look]])
+        self.codes: dict[bytes, int] = {}  # row of the vector, then 16 bits for the row of the shape
+        self.shapes: dict[bytes, int] = {}
+        self.looks = np.zeros((0, DIM), dtype=np.float32)
 
     def pool(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(2 * DIM + 1, dtype=np.float32)
-        if len(self.index) > self.most:
+        if len(self.codes) > self.most or len(self.shapes) > 1 << 14:
             self._clear()
-        found = list(map(self.index.get, words))
+        found = list(map(self.codes.get, words))
         if None in found:
             for w in words:
-                if w not in self.index:
-                    n = self.index[w] = len(self.index)
-                    if n == len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.table[n] = self._row(w)
-            found = list(map(self.index.__getitem__, words))
-        rows = np.array(found)
-        total = np.zeros(2 * DIM, dtype=np.float64)
-        for at in range(0, len(rows), 1 << 14):  # bounds the memory that a very long text takes
-            total += self.table[rows[at : at + (1 << 14)]].sum(axis=0, dtype=np.float32)
+                if w not in self.codes:
+                    look = self.shapes.setdefault(shape(w), len(self.shapes))
+                    self.codes[w] = (self.words.get(w, -1) + 1) << 16 | min(look, 0xFFFF)
+            if len(self.shapes) > len(self.looks):
+                new = list(self.shapes)[len(self.looks) :]
+                self.looks = np.concatenate([self.looks, np.array([index_vector(x) for x in new])])
+            found = list(map(self.codes.__getitem__, words))
+        codes = np.array(found)
+        total = np.zeros(DIM, dtype=np.float64)
+        for at in range(0, len(codes), 1 << 14):  # bounds the memory that a very long text takes
+            total += self.vectors[codes[at : at + (1 << 14)] >> 16].sum(axis=0, dtype=np.float32)
+        looks = np.bincount(np.minimum(codes & 0xFFFF, len(self.looks) - 1), minlength=len(self.looks)) @ self.looks
         # The share of words said before within the text, beside the pooled vectors.
-        return np.append(total / len(rows), 1 - len(set(found)) / len(rows)).astype(np.float32)
+        return np.concatenate([total / len(codes), looks / len(codes), [1 - len(set(words)) / len(codes)]]).astype(np.float32)
 
 
-def _fit(vectors: dict[bytes, np.ndarray], x: np.ndarray, labels: np.ndarray, seed: int = 8) -> Model:
+def _fit(words: dict[bytes, int], vectors: np.ndarray, x: np.ndarray, labels: np.ndarray, seed: int = 8) -> Model:
     """A network by gradient descent on four fifths of the rows, its temperature on the rest; both labels weigh the same."""
     y = labels.astype(np.float64)
     rng = np.random.default_rng(seed)
@@ -124,11 +120,11 @@ def _fit(vectors: dict[bytes, np.ndarray], x: np.ndarray, labels: np.ndarray, se
                 m[i] = 0.9 * m[i] + 0.1 * grad
                 v[i] = 0.999 * v[i] + 0.001 * grad**2
                 params[i] = params[i] - 0.003 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    model = Model(vectors, mean, scale, params[0], params[1], params[2], float(params[3][0]), 1.0)
+    model = Model(words, vectors, mean, scale, params[0], params[1], params[2], float(params[3][0]), 1.0)
     if len(hold) and 0 < y[hold].mean() < 1:  # the temperature with the least log loss on rows that were held back
         loss = lambda t: -np.mean(weight[hold] * np.log(np.clip(np.where(y[hold] == 1, p := model.probability(x[hold], t), 1 - p), 1e-9, 1)))
         best = min(np.geomspace(0.25, 8, 31), key=loss)
-        model = Model(vectors, mean, scale, params[0], params[1], params[2], float(params[3][0]), float(best))
+        model = Model(words, vectors, mean, scale, params[0], params[1], params[2], float(params[3][0]), float(best))
     return model
 
 
@@ -165,11 +161,10 @@ def learn_quality(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     for r in sums:
         total[r.n] += np.array(r.v, dtype=np.float32)
     unit = total / np.maximum(1e-6, np.linalg.norm(total, axis=1, keepdims=True))
-    vectors = {w: unit[i] for w, i in index.items()}
-    learned = docs.sparkSession.sparkContext.broadcast(vectors)
+    learned = docs.sparkSession.sparkContext.broadcast((index, unit))  # bounded by VOCABULARY
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooler = _Pooler(learned.value)
+        pooler = _Pooler(*learned.value)
         for batch in batches:
             x = [pooler.pool(t.encode().split()).astype(np.float64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": x}, pa.schema([("doc_id", batch.schema.field("doc_id").type), ("label", pa.int32()), ("x", pa.list_(pa.float64()))]))
@@ -179,7 +174,7 @@ def learn_quality(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     labels = np.array([r.label for r in rows])
     if len(set(labels.tolist())) < 2:
         return None
-    return _fit(vectors, np.array([r.x for r in rows]), labels)
+    return _fit(index, unit, np.array([r.x for r in rows]), labels)
 
 
 def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -194,7 +189,7 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        pooler = _Pooler(model.words if model else {})
+        pooler = _Pooler(model.words, model.vectors) if model else _Pooler({}, np.zeros((0, DIM), dtype=np.float32))
         for batch in batches:
             features = np.array([pooler.pool((t or "").encode().split()) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, 2 * DIM + 1)
             scores = model.probability(features.astype(np.float64)) if model else np.full(batch.num_rows, 0.5)
