@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import ids, text
 from quillon.operators import aggregates as A
 from quillon.operators import chunking, citations, coverage, data_quality, evaluation, gates, hierarchy, joins, mutation, predicates, search, sparse, windows
-from quillon.sources.tables import table
+from quillon.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,7 +94,7 @@ def chunks_compat(spark, sf_dir):
 @query(_CHUNK.format(last="(n - 2048) / 1792.0", start="chunk_idx * 1792 + 1"))
 def chunks_lossless(spark, sf_dir):
     """T12 with windows that cover every character."""
-    return _chunk_rows(chunking.chunks(table(spark, sf_dir, "documents"), "text"))
+    return _chunk_rows(chunking.chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text"))
 
 
 def _chunk_rows(c: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def knowledge_base(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count("*").alias("n_lines"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), " ").alias("parts"),
-        F.count_distinct("l_suppkey").alias("suppliers"),
+        F.size(F.collect_set("l_suppkey")).alias("suppliers"),
         F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"),
         F.count_if(F.col("l_discount") > 0.05).alias("discounted"),
     )
@@ -433,9 +433,8 @@ _TOKENS = r"""
     FROM p JOIN f USING (token), s GROUP BY doc_id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) DESC, doc_id LIMIT 50""")
 def bm25_top(spark, sf_dir):
     """The best documents for three words."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n, average = search.corpus_stats(d, "text")
-    hits = search.bm25(search.postings(d, "doc_id", "text"), n, average, search.query_tokens("the license version"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hits = search.scored(d, "doc_id", "text", search.query_tokens("the license version"))
     return hits.orderBy(F.desc("score"), "doc").limit(50).select("doc", F.round("score", 6).alias("score"))
 
 
@@ -504,7 +503,7 @@ def url_canonical(spark, sf_dir):
         len(regexp_extract_all(t, '(?i)art\.|artikel|§|abs\.|ziff\.|\bcomma\b|\blett\.|\blit\.|\balinéa\b|cpv\.|\bcapoverso\b|\blet\.'))::INTEGER AS marker_count FROM v""")
 def legal_density(spark, sf_dir):
     """Scripts and visible text of pages."""
-    return gates.legal_density(table(spark, sf_dir, "pages"), "html").select("page_id", "visible_chars", "script_chars", "marker_count")
+    return gates.legal_density(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "html").select("page_id", "visible_chars", "script_chars", "marker_count")
 
 
 @query(r"""
