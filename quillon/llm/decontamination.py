@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _POSITION_BITS = 31
-#: Rows of the items' side up to which it is broadcast; larger sides are joined by shuffling both.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of the items' side up to which it is broadcast; larger sides are joined by shuffling both.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -51,8 +51,10 @@ def _position(kept: Column) -> Column:
     return kept.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int")
 
 
-def _checked_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _checked_broadcast(df: DataFrame, row_bytes: Column | None = None) -> DataFrame:
+    """``df``, marked for broadcast if its rows, and their summed bytes where they are given, are few enough."""
+    rows, size = df.agg(F.count("*"), F.sum(F.lit(0) if row_bytes is None else row_bytes)).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
@@ -81,7 +83,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
         grams = F.array_distinct(F.flatten(F.array(*[_span(F.lit(0), F.size("ws") - n, lambda at, n=n: F.transform(at, lambda i: F.xxhash64(F.slice("ws", i + 1, F.lit(n)))), "bigint") for n in lengths])))
         short = known.where(F.size("iw") < window).select("item_id", F.xxhash64("iw").alias("h"))
         met = met.unionByName(text_words.select("doc_id", F.explode(grams).alias("h")).join(_checked_broadcast(short), "h").select("doc_id", "item_id", F.lit(None).cast("int").alias("shift")).distinct())
-    with_words = met.join(_checked_broadcast(known), met["item_id"].eqNullSafe(known["item_id"])).select("doc_id", met["item_id"], "shift", "iw")
+    with_words = met.join(_checked_broadcast(known, F.octet_length(F.array_join("iw", " ")) + 16 * F.size("iw")), met["item_id"].eqNullSafe(known["item_id"])).select("doc_id", met["item_id"], "shift", "iw")
     found = with_words.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "iw")).alias("__found"))
     added = ("n_words", "n_hit", "item_ids", "contaminated")
     plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
