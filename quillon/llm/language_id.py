@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Texts that prototypes are learned from at most, chosen by a hash of their id; enough for some dozens of languages.
 SAMPLE = 20_000
+#: Trigrams whose vectors a task holds at a time.
+_SLAB = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -92,9 +94,9 @@ def _encode(encoder: _Encoder, texts: list[str | None]) -> tuple[np.ndarray, np.
     text, codes, has = encoder.trigrams(texts)
     distinct, column = np.unique(codes, return_inverse=True)
     out = np.zeros((len(texts), encoder.dim), dtype=np.float32)
-    for at in range(0, len(distinct), 1 << 14):  # bounds memory where a block has very many distinct trigrams
-        here = (column >= at) & (column < at + (1 << 14))
-        width = min(1 << 14, len(distinct) - at)
+    for at in range(0, len(distinct), _SLAB):  # bounds memory where a block has very many distinct trigrams
+        here = (column >= at) & (column < at + _SLAB)
+        width = min(_SLAB, len(distinct) - at)
         counts = np.bincount(text[here] * width + (column[here] - at), minlength=len(texts) * width).reshape(len(texts), width)
         out += counts.astype(np.float32) @ encoder.vectors(distinct[at : at + width])
     norm = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1))

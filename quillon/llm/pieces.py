@@ -28,7 +28,7 @@ _OTHER = re.compile("[^\x00-\x1b\x20-įı-ſ‐-‧€]")
 class PieceEncoder:
     """Ids of texts for a .json vocabulary of kind "byte" (all bytes kept) or "word" (lower case, white space dropped)."""
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
