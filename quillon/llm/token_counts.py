@@ -18,7 +18,8 @@ def _offsets(encoder: PieceEncoder, chunk: str) -> tuple[np.ndarray, np.ndarray]
     """Where each piece of a chunk ends, and how many tokens have been by then."""
     if encoder.plain(chunk):
         pieces = encoder.split(chunk)
-        return np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(encoder.size[encoder.lookup(pieces)])
+        rows = encoder.lookup(pieces)  # may replace encoder.size
+        return np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(encoder.size[rows])
     encoding = encoder.tokenizer.encode(chunk, add_special_tokens=False)
     ends = np.array([e for _, e in encoding.offsets], dtype=np.int64)
     word = np.array([-1 if w is None else w for w in encoding.word_ids], dtype=np.int64)  # None: a special token, a piece of its own

@@ -142,6 +142,15 @@ def test_counts_in_chunks_are_exact(chunk, overlap):
         assert token_counts.count_in_chunks(encoder, t, chunk, overlap) == len(encoder.tokenizer.encode(t, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("most", [500, 200_000])
+def test_counts_in_chunks_hold_when_the_table_is_replaced(most):
+    encoder = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), most=most)
+    rng = random.Random(3)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(90_000))
+    assert len(set(encoder.split(text))) > 1 << 16
+    assert token_counts.count_in_chunks(encoder, text) == len(encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [*enumerate(ODD), (None, "null id"), (1, "twice")]
