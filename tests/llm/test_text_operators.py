@@ -83,6 +83,32 @@ def test_prefix_tree_emits_shared_turns_once(spark):
         assert (back[c].loss_chars, back[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_prefix_tree_holds_no_path_that_grows_with_the_turns(spark):
+    long = [(5, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(3000)]
+    rows = [*long, *((9, *r[1:]) for r in long[:1200]), (9, 1200, "user", "other"), *((None, *r[1:]) for r in long[:700])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = df.selectExpr("conv_id", "struct(turn, role, text) AS t").repartition("conv_id").sortWithinPartitions("conv_id", "t")
+    chains = turns.mapInArrow(chat_format._chains, "conv_id long, turn int, " + chat_format._NODE)
+    assert "path" not in chains.columns and chains.count() == len(rows)
+    assert max(len(r.prefix) for r in chat_format._paths(chains).collect()) <= 3 * 26
+    nodes, members = chat_format.prefix_tree(df)
+    n = {r.key: r for r in nodes.collect()}
+    assert len(n) == 3001 and members.count() == len(rows)
+    ends = {k: r.token_end for k, r in n.items()}
+    for r in sorted(n.values(), key=lambda r: -r.depth):
+        if r.parent:
+            ends[r.parent] = max(ends[r.parent], ends[r.key])
+    children: dict = {}
+    for r in n.values():
+        children.setdefault(r.parent, []).append((r.token_start, ends[r.key]))
+    for k, found in children.items():  # subtrees of one parent lie side by side behind it
+        at = n[k].token_end if k else 0
+        for start, end in sorted(found):
+            assert start == at
+            at = end
+    assert {r.conv_id: r.n_turns for r in chat_format.read_back(nodes, members).collect()} == {5: 3000, 9: 1201, None: 700}
+
+
 def test_prefix_tree_of_nothing(spark):
     nodes, members = chat_format.prefix_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert nodes.count() == members.count() == 0 == chat_format.read_back(nodes, members).count()
