@@ -341,6 +341,27 @@ def test_history_by_steps_equals_history_from_a_log(spark):
     assert rows(mutation.scd2_from_log(log, "k", ["s"], "t"), "s", "valid_from", "valid_to", "is_current") == [("x", 1, 3, False), ("y", 3, None, True)]
 
 
+def test_scd2_steps_keep_the_history_of_all_orders(spark):
+    from quillon.plans.queries import QUERIES
+    from tests.conftest import MEDIUM
+
+    keeps = [lambda k: k % 2 == 0, lambda k: k % 3 > 0, lambda k: k % 5 > 0]
+    day = lambda i: 1_704_067_200_000_000 + (i - 1) * 86_400_000_000  # noqa: E731 - microseconds of 2024-01-0i
+    want = []
+    for k, status in spark.read.parquet(f"{MEDIUM}/orders.parquet").select("o_orderkey", "o_orderstatus").collect():
+        now = None
+        for i, keep in enumerate(keeps, 1):
+            new = ("X" if k % 7 == i else status) if keep(k) else None
+            if now and now[0] != new:
+                want.append((k, now[0], now[1], day(i)))
+                now = None
+            if new and not now:
+                now = (new, day(i))
+        want += [(k, *now, None)] if now else []
+    got = [tuple(r) for r in QUERIES["scd2_steps"](spark, MEDIUM).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and max(r[0] for r in got) >= 2000
+
+
 def test_retraction_guardrails(spark):
     docs = spark.createDataFrame([(f"d{i}", 1) for i in range(20)] + [("d1", 2)], "document_id string, document_revision int")
     parts = spark.createDataFrame([("d1", "s"), ("d2", "s")], "document_id string, section_id string")
