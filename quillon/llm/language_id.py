@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.columns import others
+
 #: Texts that prototypes are learned from at most, chosen by a hash of their id; enough for some dozens of languages.
 SAMPLE = 20_000
 #: Trigrams whose vectors a task holds at a time.
@@ -140,7 +142,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     no letter, or no language was learned. Equal cosines go to the language that sorts first. Texts of any length
     are read whole. An empty table gives an empty table.
     """
-    keep = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")])
+    keep = docs.select(*others(docs, ("lang_pred", "score")))
     schema = keep.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     languages, prototypes = profiles.languages, profiles.vectors
     dim = prototypes.shape[1] if len(languages) else 64

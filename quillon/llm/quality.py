@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.columns import others
 from quillon.llm.components import ensure_checkpoint_dir
 
 #: Labelled texts learned from at most, and words that get vectors of their own: bounds of the fit only.
@@ -183,7 +184,7 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     Only ``text`` decides, read whole; null, empty and blank texts score as a text without words does. Equal texts
     score alike. Without a model every score is 0.5. An empty table gives an empty table.
     """
-    keep = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")])
+    keep = docs.select(*others(docs, ("score", "predicted")))
     schema = keep.withColumn("score", F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY
 

@@ -1,14 +1,14 @@
 """Substring dedup: remove words covered by a window of words that also starts in a document with a smaller id.
 
-Three passes over the documents, which are dealt once into groups by a hash of their id:
+Three passes over the documents, which are dealt once into groups by a hash of their id and text:
 
 1. Every group sends, for each row of a count-min sketch, the sorted cells its distinct windows fall into
    (a cell at most twice), cut into ranges of cells. The partial sketches of a range are merged in one task
    and each group gets back one bit per cell it sent: is the merged count two or more. Counts are only ever
    too high, so no repeated window is lost. The sketch grows with the input, so its error does not.
 2. Windows whose cells all count two or more go, with the smallest id of the group that has them, to the
-   range of their 96-bit key, where equal windows are grouped exactly. Back goes one bit per window: does
-   another group hold it under a smaller id.
+   range of their 128-bit key, made of two independent hashes of each word, where equal windows are grouped.
+   Back goes one bit per window: does another group hold it under a smaller id.
 3. Each group applies the bits to its own texts.
 
 What is exchanged beside the texts are compressed key differences and bits; no list of the members of a
@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillon.llm import textscan as T
+from quillon.llm.columns import column
 
 _BITS = "g long, kind int, bucket long, bits binary"
 _BLOB = "bucket long, g long, blob binary"
@@ -36,10 +38,12 @@ class _Plan:
 
     def __init__(self, width: int, depth: int, total_bytes: int, group_bytes: int, load: int):
         self.width, self.depth = width, depth
+        # Groups and ranges grow together, so that a group's message to a range does not shrink as the input grows.
+        group_bytes *= min(4.0, max(1.0, math.sqrt(total_bytes / (1 << 30))))
         self.groups = max(1, math.ceil(total_bytes / group_bytes))
         self.cell_bits = max(16, math.ceil(math.log2(max(1, total_bytes / 6 * load))))
-        self.block_bits = min(26, max(16, self.cell_bits - 8))
-        self.range_bits = max(1, math.ceil(math.log2(self.groups)))
+        self.block_bits = min(26, max(16, self.cell_bits - 9))
+        self.range_bits = max(1, math.ceil(math.log2(self.groups)) + 2)
 
 
 class _Windows:
@@ -56,7 +60,7 @@ class _Windows:
         self.at, text = at[keep], text[keep]
         self.ids = ids[text]
         low = T.window_hashes(T.word_hashes(self.raw, self.starts, self.ends, 0), plan.width, 1)[self.at]
-        high = (T.window_hashes(T.word_hashes(self.raw, self.starts, self.ends, 1), plan.width, 2)[self.at] >> np.uint64(32)).astype(np.uint32)
+        high = T.window_hashes(T.word_hashes(self.raw, self.starts, self.ends, 1), plan.width, 2)[self.at]
         order = np.argsort(low)
         a, b = low[order], high[order]
         if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
@@ -162,7 +166,7 @@ def _merge_windows(key, table):
             parts.append(blob[at + 4 : at + 4 + n])
             at += 4 + n
         keys.append(T.unpack_sorted(parts[0]))
-        checks.append(T.unpack_plain(parts[1], "<u4"))
+        checks.append(T.unpack_plain(parts[1], "<u8"))
         leasts.append(T.unpack_plain(parts[2], "<i8"))
     k, c, least = np.concatenate(keys), np.concatenate(checks), np.concatenate(leasts)
     order = np.lexsort((c, k))
@@ -230,8 +234,11 @@ def remove_repeated_spans(docs: DataFrame, width: int = 13, depth: int = 2, grou
 
     Null text has no words. A text shorter than the window loses nothing. A row without an id neither loses words
     nor makes others lose any. Rows that share an id are one document: they do not remove from each other. Ties
-    cannot arise: only a strictly smaller id removes. An empty table gives an empty table. Other columns named
-    ``n_words`` or ``n_removed`` are replaced.
+    cannot arise: only a strictly smaller id removes. An empty table gives an empty table. Other columns may have any
+    name; those named ``n_words`` or ``n_removed`` are replaced.
+
+    Windows are compared by 128 bits; rows are dealt by id and text, so neither rows without an id nor rows that
+    share one meet in one group, unless their texts are equal as well.
 
     ``load`` is the number of sketch cells per word of the input; ``group_bytes`` the text a task holds at a time
     (one text is never cut). Both set costs only, not the result.
@@ -239,10 +246,10 @@ def remove_repeated_spans(docs: DataFrame, width: int = 13, depth: int = 2, grou
     rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_words", "n_removed")]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = _Plan(width, depth, total, group_bytes, load)
-    group: Column = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(plan.groups)).cast("long")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []), group.alias("g"))
+    group: Column = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(plan.groups)).cast("long")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*map(column, rest)).alias("rest")] if rest else []), group.alias("g"))
     counted = dealt.groupBy("g").applyInArrow(_send_cells(plan), _BLOB).groupBy("bucket").applyInArrow(_merge_cells(plan), _BITS)
     exact = dealt.groupBy("g").cogroup(counted.groupBy("g")).applyInArrow(_send_windows(plan), _BLOB).groupBy("bucket").applyInArrow(_merge_windows, _BITS)
-    schema = "doc_id long, text string, n_words long, n_removed long" + (f", rest {dealt.schema['rest'].dataType.simpleString()}" if rest else "")
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), *([dealt.schema["rest"]] if rest else [])])
     out = dealt.groupBy("g").cogroup(counted.unionByName(exact).groupBy("g")).applyInArrow(_remove(plan, normalise), schema)
     return out.select("doc_id", "text", "n_words", "n_removed", *[F.col("rest")[c].alias(c) for c in rest])

@@ -9,9 +9,8 @@ import pyarrow as pa
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Odd multipliers of the two polynomial byte hashes.
-_RADIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_MASK = (1 << 64) - 1
+#: Words longer than this are hashed one by one; the others eight bytes at a time, all at once.
+_LONG = 64
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,16 +42,6 @@ def words(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _powers(radix: int, n: int) -> np.ndarray:
-    out = np.ones(max(1, n), dtype=np.uint64)
-    done = 1
-    while done < len(out):  # doubling: the next block is the known one times radix ** done
-        more = min(done, len(out) - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(radix, done, 1 << 64))
-        done += more
-    return out
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads each input bit over all 64 output bits."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -60,27 +49,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, slice_bytes: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, by prefix sums, then mixed with its length.
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; hashes by different seeds are independent of each other.
 
-    Prefix sums start anew for each slice of words, so memory is bounded by the slice or the longest word.
+    Words of up to 64 bytes are chained eight bytes at a time: each step mixes what was before with the next bytes, so
+    equal results for different words under one seed say nothing of another seed. Longer words take XXH3.
     """
-    out = np.zeros(len(starts), dtype=np.uint64)
-    radix = _RADIX[which]
-    power = inverse = np.zeros(0, dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + slice_bytes, side="right")))
-        low, high = int(starts[at]), int(ends[to - 1])
-        if high - low + 1 > len(power):
-            power = _powers(radix, high - low + 1)
-            inverse = _powers(pow(radix, -1, 1 << 64), high - low + 1)
-        total = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=total[1:])
-        first, last = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (total[last] - total[first]) * inverse[first]
-        at = to
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(_RADIX[1 - which]))
+    import xxhash
+
+    first = np.random.default_rng([seed, 6]).integers(0, 1 << 63, 2, dtype=np.uint64)
+    length = ends - starts
+    out = mix(first[0] + length.astype(np.uint64) * (first[1] | np.uint64(1)))
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8) if len(starts) else padded
+    rest = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+    at = np.flatnonzero(length <= _LONG)
+    done = 0
+    while len(at):
+        chunk = eights[starts[at] + done].view("<u8").ravel() & rest[np.minimum(length[at] - done, 8)]
+        out[at] = mix((out[at] ^ chunk) * np.uint64(0x9E3779B97F4A7C15))
+        done += 8
+        at = at[length[at] > done]
+    for i in np.flatnonzero(length > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
+    return out
 
 
 def multipliers(width: int, seed: int) -> np.ndarray:

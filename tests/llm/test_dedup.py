@@ -75,6 +75,35 @@ def test_spans_of_an_empty_table_and_small_sketch(spark):
     assert sorted(map(tuple, tight)) == sorted(spans_by_brute_force(rows, 5))
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+@pytest.mark.parametrize("letters", [16, 64, 1024, 2048, 4096])
+def test_spans_tell_words_apart_that_polynomials_confuse(spark, letters):
+    same, word = [f"s{i}" for i in range(12)], thue_morse(letters)
+    rows = [(1, " ".join([word, *same])), (2, " ".join([word.translate(str.maketrans("ab", "ba")), *same])), (3, " ".join([word, *same]))]
+    got = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 13}
+
+
+def test_spans_pass_columns_of_any_name_through(spark):
+    df = spark.createDataFrame([(1, "a b c", 1, "x", ("y",))], "doc_id long, text string, `a b` int, `a.b` string, `c``d` struct<`e f`: string>")
+    out = remove_repeated_spans(df)
+    assert out.columns == ["doc_id", "text", "n_words", "n_removed", "a b", "a.b", "c`d"]
+    assert tuple(out.first())[4:] == (1, "x", ("y",))
+
+
+def test_spans_of_many_rows_without_an_id_or_with_one_id(spark):
+    passage = " ".join(f"p{i}" for i in range(13))
+    df = spark.range(30_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit(passage + " "), F.col("id").cast("string")).alias("text"))
+    out = remove_repeated_spans(df.unionByName(spark.createDataFrame([(8, passage)], "doc_id long, text string")), group_bytes=100_000)
+    assert {tuple(r) for r in out.groupBy("doc_id", "n_removed").count().collect()} == {(None, 0, 15_000), (7, 0, 15_000), (8, 13, 1)}
+
+
 def fingerprint_plainly(text):
     w = words_of((text or "").encode().lower().decode() if text and text.isascii() else "".join(c.lower() if c.isascii() else c for c in text or ""))
     shingles = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
