@@ -17,3 +17,14 @@ def others(df: DataFrame, names: Iterable[str]) -> list[Column]:
     """The columns of ``df`` but those of these names, in either case."""
     low = {n.lower() for n in names}
     return [column(c) for c in df.columns if c.lower() not in low]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out

@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Of every ``window - gram + 1`` successive word grams a text keeps the one of least hash, so any two texts that share
-``window`` words in a row keep the same gram there. Kept grams of documents and items are joined by hash; each
-match says where in the document the item would lie, and there the item's windows are compared word by word.
+``window`` words in a row keep the same gram there. A document's kept grams that some item keeps too are extended to
+the windows around them, and these are joined with the items' windows by their words. A gram that very many items
+share is one entry of the first join; pairs arise only where a whole window occurs.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.columns import fresh, others
+from quillon.llm.components import ensure_checkpoint_dir
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_POSITION_BITS = 31
 #: Rows and bytes of the items' side up to which it is broadcast; larger sides are joined by shuffling both.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -29,32 +32,50 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def _span(first: Column, last: Column, f: Callable[[Column], Column], otherwise: str) -> Column:
-    """``f`` of the integers from first to last; of none, where last is smaller, an empty array."""
-    return F.when(last >= first, f(F.sequence(first, F.greatest(first, last)))).otherwise(F.array().cast(f"array<{otherwise}>"))
+def run_hashes(hashes: Column, n: int) -> Column:
+    """The hash of each run of ``n`` words, from the words' hashes; as long as these, with ``n - 1`` at the end that mean nothing."""
+    out = hashes
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(hashes, k + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+    return out
 
 
-def kept_grams(ws: Column, window: int, gram: int) -> Column:
-    """The winnowed grams of a word array as longs: 32 bits of hash, then the position; ties keep the leftmost."""
-    hashed = lambda at: F.shiftleft(F.xxhash64(F.slice(ws, at + 1, F.lit(gram))).bitwiseAND(F.lit((1 << 32) - 1)), _POSITION_BITS).bitwiseOR(at.cast("long"))
+def kept_grams(hashes: Column, window: int, gram: int) -> Column:
+    """The winnowed grams of a text, from its words' hashes, as (h, at, n): hash, first word, and ``window``; ties keep the leftmost."""
     width = window - gram + 1
-    least = lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - (width - 1)), lambda i: F.array_min(F.slice(g, i, F.lit(width)))))
-    grams = lambda n: F.transform(n, hashed)
-    return F.when(F.size(ws) >= window, let(_span(F.lit(0), F.size(ws) - gram, grams, "bigint"), least)).otherwise(F.array().cast("array<bigint>"))
+
+    def placed(runs: Column) -> Column:  # 32 bits of hash, then the position
+        return F.transform(F.slice(runs, 1, F.size(runs) - (gram - 1)), lambda x, i: F.shiftleft(x, 31).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(i.cast("long")))
+
+    def least(g: Column) -> Column:  # of each run of ``width``, by doubling
+        out, have = g, 1
+        while have < width:
+            step = min(have, width - have)
+            out = F.zip_with(out, F.slice(out, step + 1, F.size(g)), lambda a, b: F.least(a, b))
+            have += step
+        return F.array_distinct(F.slice(out, 1, F.size(g) - (width - 1)))
+
+    kept = let(let(run_hashes(hashes, gram), placed), least)
+    marks = F.transform(kept, lambda k: F.struct(F.shiftright(k, 31).alias("h"), k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("at"), F.lit(window).alias("n")))
+    return F.when(F.size(hashes) >= window, marks).otherwise(F.array().cast(_MARKS))
+
+
+def _runs(hashes: Column, n: int) -> Column:
+    return F.transform(run_hashes(hashes, n), lambda x, i: F.struct(x.alias("h"), i.cast("int").alias("at"), F.lit(n).alias("n")))
 
 
-def _hash(kept: Column) -> Column:
-    return F.shiftright(kept, _POSITION_BITS).cast("long")
+_MARKS = "array<struct<h:bigint,at:int,n:int>>"
 
 
-def _position(kept: Column) -> Column:
-    return kept.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int")
+def _small(df: DataFrame, row_bytes: Column) -> bool:
+    """Are the rows of ``df`` and their summed bytes few enough for a broadcast."""
+    rows, size = df.agg(F.count("*"), F.sum(row_bytes)).first()
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
-def _checked_broadcast(df: DataFrame, row_bytes: Column | None = None) -> DataFrame:
-    """``df``, marked for broadcast if its rows, and their summed bytes where they are given, are few enough."""
-    rows, size = df.agg(F.count("*"), F.sum(F.lit(0) if row_bytes is None else row_bytes)).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+def _run(ws: Column, at: Column, n: Column) -> Column:
+    """Words from ``at`` on, as one string; words hold no space, so different runs differ."""
+    return F.array_join(F.slice(ws, at + 1, n), " ")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
@@ -65,43 +86,59 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     inside any occurrence of a window, ``item_ids`` lists the items of which a window occurs.
 
     Null or empty texts have no words and are never hit; items without words hit nothing. An item with a null id
-    hits but is not listed; rows of ``docs`` with a null id are checked only against items if the id is known, so
-    they come back with their words counted and no hit. Repeated documents or items are each treated alike.
-    Columns of ``docs`` with the added names are replaced. An empty table of items hits nothing.
+    hits but is not listed. Rows of ``docs`` are told apart by 128 bits of their id and text, so null ids, repeated
+    ids and repeated rows are treated like any other; likewise repeated items. Other columns of ``docs`` may have
+    any name; those with the added names are replaced. An empty table of items hits nothing.
+
+    The windows that occur are written to the checkpoint folder when this is called: one row for each place.
     """
-    width = window - gram + 1
-    if width < 1:
+    if window < gram:
         raise ValueError("a gram cannot be longer than the window")
-    known = items.select("item_id", words("text").alias("iw")).where(F.size("iw") > 0).distinct()
-    lengths = sorted(r[0] for r in known.where(F.size("iw") < window).select(F.size("iw").alias("n")).distinct().collect())  # fewer than ``window``
-    long_items = known.where(F.size("iw") >= window)
-    item_grams = long_items.select("item_id", F.explode(kept_grams(F.col("iw"), window, gram)).alias("k")).select("item_id", _hash(F.col("k")).alias("h"), _position(F.col("k")).alias("q"))
-    text_words = docs.select("doc_id", words("text").alias("ws"))
-    doc_grams = text_words.select("doc_id", F.explode(kept_grams(F.col("ws"), window, gram)).alias("k")).select("doc_id", _hash(F.col("k")).alias("h"), _position(F.col("k")).alias("p"))
-    met = doc_grams.join(_checked_broadcast(item_grams), "h").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    if lengths:  # short items are looked up by the hash of all their words
-        grams = F.array_distinct(F.flatten(F.array(*[_span(F.lit(0), F.size("ws") - n, lambda at, n=n: F.transform(at, lambda i: F.xxhash64(F.slice("ws", i + 1, F.lit(n)))), "bigint") for n in lengths])))
-        short = known.where(F.size("iw") < window).select("item_id", F.xxhash64("iw").alias("h"))
-        met = met.unionByName(text_words.select("doc_id", F.explode(grams).alias("h")).join(_checked_broadcast(short), "h").select("doc_id", "item_id", F.lit(None).cast("int").alias("shift")).distinct())
-    with_words = met.join(_checked_broadcast(known, F.octet_length(F.array_join("iw", " ")) + 16 * F.size("iw")), met["item_id"].eqNullSafe(known["item_id"])).select("doc_id", met["item_id"], "shift", "iw")
-    found = with_words.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "iw")).alias("__found"))
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    hashed = F.transform("ws", lambda x: F.xxhash64(x))
+    known = items.select(F.col("item_id").cast("string").alias("item"), words("text").alias("ws")).where(F.size("ws") > 0).distinct()
+    n = F.least(F.size("ws"), F.lit(window))
+    item_windows = known.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda s: _run(F.col("ws"), s, n))).alias("w")).distinct()
+    lengths = sorted(r[0] for r in known.where(F.size("ws") < window).select(F.size("ws").alias("n")).distinct().collect())  # fewer than ``window``
+
+    def marks(whole: bool) -> Column:
+        """Of an item (``whole``) its kept grams, or all of it if it is short; of a document what may meet these."""
+
+        def of(hs: Column) -> Column:
+            out = [kept_grams(hs, window, gram)]
+            for k in lengths:
+                fits = F.size(hs) == k if whole else F.size(hs) >= k
+                out.append(F.when(fits, F.slice(_runs(hs, k), 1, F.greatest(F.size(hs) - (k - 1), F.lit(0)))).otherwise(F.array().cast(_MARKS)))
+            return F.concat(*out)
+
+        return let(hashed, of)
+
+    def around(ws: Column, mark: Column) -> Column:
+        """The windows that a mark may stand for: all that hold a kept gram, or the run itself."""
+        low = F.when(mark["n"] < window, mark["at"]).otherwise(F.greatest(F.lit(0), mark["at"] - (window - gram)))
+        high = F.when(mark["n"] < window, mark["at"]).otherwise(F.least(mark["at"], F.size(ws) - window))
+        return F.transform(F.sequence(low, high), lambda s: F.struct(s.alias("at"), mark["n"].alias("n"), _run(ws, s, mark["n"]).alias("w")))
+
+    item_marks = known.select(F.explode(marks(True)).alias("m")).select("m.h").distinct()
+    key = lambda seed: F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
+    text_words = docs.select(key(0).alias("k"), key(1).alias("l"), words("text").alias("ws")).where(F.size("ws") > 0)
+    met = text_words.select("k", "l", "ws", F.explode(marks(False)).alias("m")).select("k", "l", "ws", "m", F.col("m.h").alias("h"))
+    if _small(item_marks, F.lit(8)):
+        near = met.join(F.broadcast(item_marks), "h", "left_semi").select("k", "l", F.explode(around(F.col("ws"), F.col("m"))).alias("x"))
+    else:  # the words do not travel with every gram
+        places = met.select("k", "l", "m", "h").join(item_marks, "h", "left_semi").groupBy("k", "l").agg(F.collect_set("m").alias("ms"))
+        near = text_words.join(places, ["k", "l"]).select("k", "l", F.explode(F.flatten(F.transform("ms", lambda m: around(F.col("ws"), m)))).alias("x"))
+    windows = item_windows.select("w").distinct()
+    windows = F.broadcast(windows) if _small(windows, F.octet_length("w")) else windows
+    spans = near.select("k", "l", "x.*").join(windows, "w", "left_semi").distinct().checkpoint()
+    listed = spans.select("k", "l", "w").distinct().join(item_windows, "w").select("k", "l", F.lit(None).cast("struct<at:int,n:int>").alias("span"), "item")
+    hits = spans.select("k", "l", F.struct("at", "n").alias("span"), F.lit(None).cast("string").alias("item")).unionByName(listed).groupBy("k", "l").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
     added = ("n_words", "n_hit", "item_ids", "contaminated")
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
-
-    def windows(ws: Column) -> Column:
-        """(item id, first word, words) of each window that occurs."""
-
-        def of(x: Column) -> Column:
-            n = F.least(F.size(x["iw"]), F.lit(window))
-            same = lambda s: F.slice(ws, s + x["shift"] + 1, n) == F.slice(x["iw"], s + 1, n)
-            aligned = _span(F.greatest(F.lit(0), -x["shift"]), F.least(F.size(x["iw"]), F.size(ws) - x["shift"]) - n, lambda at: F.transform(F.filter(at, same), lambda s: s + x["shift"]), "int")
-            anywhere = _span(F.lit(0), F.size(ws) - n, lambda at: F.filter(at, lambda s: F.slice(ws, s + 1, n) == x["iw"]), "int")
-            return F.transform(F.when(x["shift"].isNull(), anywhere).otherwise(aligned), lambda s: F.struct(x["item_id"].cast("string").alias("item"), s.alias("at"), n.alias("n")))
-
-        return F.flatten(F.transform(F.col("__found"), of))
-
-    none = F.array().cast("array<struct<item:string,at:int,n:int>>")
-    joined = plain.join(found, "doc_id", "left").withColumn("__of", let(words("text"), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), F.coalesce(F.when(F.col("__found").isNotNull(), windows(ws)), none).alias("windows"))))
-    covered = F.array_distinct(F.flatten(F.transform(F.col("__of.windows"), lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
-    listed = F.array_sort(F.array_distinct(F.filter(F.transform(F.col("__of.windows"), lambda x: x["item"]), lambda i: i.isNotNull())))
-    return joined.select(*[F.col(f"`{c}`") for c in plain.columns], F.col("__of.n").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), listed.alias("item_ids"), (F.size("__of.windows") > 0).alias("contaminated"))
+    k, l, n_words, n_hit, found = fresh(docs, "k", "l", "n", "hit", "found")
+    hits = hits.select(F.col("k").alias(k), F.col("l").alias(l), F.size(covered).cast("long").alias(n_hit), F.col("items").alias(found))
+    plain = docs.select(*others(docs, added), key(0).alias(k), key(1).alias(l), F.size(words("text")).cast("long").alias(n_words))
+    hit = F.coalesce(F.col(n_hit), F.lit(0).cast("long"))
+    out = [hit.alias("n_hit"), F.coalesce(F.col(found), F.array().cast("array<string>")).alias("item_ids"), (hit > 0).alias("contaminated")]
+    return plain.join(hits, [k, l], "left").select(*others(docs, added), F.col(n_words).alias("n_words"), *out)

@@ -210,6 +210,32 @@ def test_contamination_equals_brute_force(spark, short):
     assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got.collect()} == contaminated_by_brute_force(docs, items, 5)
 
 
+def test_contamination_of_null_and_repeated_ids_and_clashing_names(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, item, "a"), (None, "clean", "b"), (1, "x " + item, "c"), (1, "clean too", "d"), (1, "x " + item, "c")]
+    docs = spark.createDataFrame([(*r, 5, 6, 7, 8) for r in rows], "doc_id long, text string, `a.b` string, __found int, __of int, k int, `l m` int")
+    got = contamination(docs, spark.createDataFrame([(1, item), (None, item)], "item_id long, text string"))
+    assert got.columns == [*docs.columns, "n_words", "n_hit", "item_ids", "contaminated"]
+    want = [(i, t, x, 5, 6, 7, 8, len(t.split()), 10 * (item in t), ["1"] * (item in t), item in t) for i, t, x in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_contamination_by_many_items_that_share_a_gram(spark):
+    shared = "in the course of the"
+    items = spark.range(5000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(f"a{k}x"), "id") for k in range(5)], F.lit(shared), *[F.concat(F.lit(f"b{k}x"), "id") for k in range(5)]).alias("text"))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"say {shared} day "), F.when(F.col("id") == 7, F.lit("a0x9 a1x9 a2x9 a3x9 a4x9 in the course of the b0x9")).otherwise("")).alias("text"))
+    assert [(r.doc_id, r.n_hit, r.item_ids) for r in contamination(docs, items).where("contaminated").collect()] == [(7, 11, ["9"])]
+
+
+@pytest.mark.parametrize("rows", [0, 10**9])
+def test_contamination_is_alike_with_and_without_broadcasts(spark, monkeypatch, rows):
+    monkeypatch.setattr("quillon.llm.decontamination.BROADCAST_ROWS", rows)
+    items = [(1, "a b c d e f"), (2, "b c"), (3, "z")]
+    docs = [(1, "x a b c d e f y"), (2, "b b c"), (3, "a b d e f"), (4, "z z"), (5, None), (6, "c d e f g a b c d e"), (7, " ".join(["q"] * 30_000 + ["b", "c"]))]
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5, gram=3)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got.collect()} == contaminated_by_brute_force(docs, items, 5)
+
+
 def test_contamination_of_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in contamination(docs, items).collect()] == [0]
