@@ -20,6 +20,7 @@ from quillon.llm.components import ensure_checkpoint_dir
 # The template's control strings.
 TURN, END, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 _CONTROL = re.compile("|".join(map(re.escape, (TURN, END, OPEN, CLOSE))))
+_ROLE = re.compile(r"((?:\\.|[^\\\n])*)\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -28,6 +29,11 @@ def escape(text: str) -> str:
     return _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
 
 
+def escape_role(role: str) -> str:
+    """As ``escape``, with a backslash before line breaks too: a bare line break ends the role."""
+    return escape(role).replace("\n", "\\\n")
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
@@ -39,7 +45,7 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
         return f"{OPEN} {inner} {CLOSE}", 0, 0
     if role == "assistant":
         return inner + END, 0, len(inner)
-    return f"{TURN}{escape(role)}\n{inner}{END}", 0, 0
+    return f"{TURN}{escape_role(role)}\n{inner}{END}", 0, 0
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -53,8 +59,8 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
             continue
         end = formatted.index(END, at)
         if formatted.startswith(TURN, at):
-            role, text = formatted[at + len(TURN) : end].split("\n", 1)
-            out.append((unescape(role), unescape(text)))
+            role = _ROLE.match(formatted, at + len(TURN))
+            out.append((unescape(role[1]), unescape(formatted[role.end() : end])))
         else:
             out.append(("assistant", unescape(formatted[at:end])))
         at = end + len(END)
@@ -79,8 +85,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, t in zip(batch.column("conv_id").to_pylist(), batch.column("t").to_pylist(), strict=True):
             if held != (conv,):
                 held, i, key, position = (conv,), 0, None, 0
-            # A line break would end the role in the template.
-            role, text = (t["role"] or "").replace("\n", " "), t["text"] or ""
+            role, text = t["role"] or "", t["text"] or ""
             parent, r = key, role.encode()
             key = hashlib.sha256((key or "").encode() + len(r).to_bytes(4, "big") + r + text.encode()).hexdigest()[:32]
             formatted, a, b = format_turn(role, text)
@@ -120,7 +125,7 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     attends to these and to its node's tokens before it.
 
     Turns are ordered by ``turn``, then role and text, so repeated turn numbers have a fixed order; each row is a turn.
-    Null role and text are empty; line breaks in a role become spaces. Rows with a null ``conv_id`` are one
+    Null role and text are empty. Rows with a null ``conv_id`` are one
     conversation. Other columns are not read. An empty table has no nodes. A conversation's turns pass through one
     task in sorted order and are not held together;
     a turn that very many conversations share is one row, found by partial aggregates, and joins on its key are
