@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillon.llm.components import components
 
 _HALF = 32
+#: Parts that each component's fingerprints are dealt into when its least id is handed to them.
+_SALTS = 64
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -156,8 +158,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     ensure_checkpoint_dir(spark)
     prints = prints.checkpoint()
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(distinct.select("fingerprint"), most))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fingerprint", "component_id")
+    roots = components(near_links(distinct.select("fingerprint"), most)).withColumnRenamed("node", "fingerprint")
+    # Only linked fingerprints need their component's least id; a component may hold a third of them, so its key is salted.
+    linked = distinct.join(roots, "fingerprint").withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(_SALTS)))
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")))
+    renamed = linked.join(ids, ["root", "salt"]).select("fingerprint", "component_id")
+    named = distinct.join(renamed.withColumn("found", F.lit(True)), "fingerprint", "left").select("fingerprint", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")

@@ -172,6 +172,24 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        base = rng.choice(rows)[1].split() if rows and rng.random() < 0.5 else [f"v{rng.randrange(400)}" for _ in range(rng.randint(1, 150))]
+        if rng.random() < 0.5:
+            base = [*base[:-1], f"e{i}"]
+        rows.append((1000 - i, " ".join(base)))
+    prints = {i: fingerprint_plainly(t) for i, t in rows}
+    root = reachable(sorted(set(prints.values())), 4)
+    least = {}
+    for i, p in prints.items():
+        least[root[p]] = min(least.get(root[p], i), i)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.fingerprint % 2**64, r.component_id) for r in got} == {i: (p, least[root[p]]) for i, p in prints.items()}
+    assert len(set(least.values())) < len(set(prints.values()))
+
+
 def contaminated_by_brute_force(docs, items, window):
     import re
 
