@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from itertools import islice, repeat
 
 import numpy as np
 
@@ -40,6 +41,8 @@ class PieceEncoder:
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
         """The encoder of this worker process; later tasks find its table filled."""
+        # Functions are sent to workers by value, so a table of this module would be a new one for each task; one of a
+        # module that every worker imports by itself stays.
         held = sys.__dict__.setdefault("_piece_encoders", {})
         if path not in held:
             held[path] = cls(path)
@@ -70,12 +73,12 @@ class PieceEncoder:
         ids: list[np.ndarray] = []
         sizes: list[int] = []
         if joined:
-            encoding = self.tokenizer.encode(text, add_special_tokens=False)
+            encoding = self.tokenizer.encode(text, add_special_tokens=False)  # which words ids belong to is not told by the fast form
             ids.append(np.array(encoding.ids, dtype=np.uint32))
             sizes += np.bincount(np.array(encoding.word_ids, dtype=np.int64), minlength=len(joined)).tolist()
             if len(sizes) != len(joined):
                 raise AssertionError("joined pieces did not keep apart")
-        for encoding in self.tokenizer.encode_batch(rest, add_special_tokens=False):
+        for encoding in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
             ids.append(np.array(encoding.ids, dtype=np.uint32))
             sizes.append(len(encoding.ids))
         n, new = len(self.index), np.concatenate(ids)
@@ -88,15 +91,23 @@ class PieceEncoder:
         self.used += len(new)
         self.index.update(zip(joined + rest, range(n, n + len(sizes)), strict=True))
 
+    def _shrink(self) -> None:
+        """Keeps the half that was learned first: what is met early is what is met often."""
+        keep = self.most // 2
+        self.used = int(self.first[keep])
+        self.index = dict(islice(self.index.items(), keep))
+
     def lookup(self, pieces: list[str]) -> np.ndarray:
-        """The table's row of each piece; the table starts anew when it has grown too large."""
+        """The table's row of each piece; before that a table that has grown too large is cut to half its bound."""
         if len(self.index) > self.most:
-            self._clear()
-        found = list(map(self.index.get, pieces))
-        if None in found:
-            self._learn(list(dict.fromkeys(p for p, i in zip(pieces, found, strict=True) if i is None)))
-            found = list(map(self.index.__getitem__, pieces))
-        return np.array(found, dtype=np.int64)
+            self._shrink()
+        rows = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            names = [pieces[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(names)))
+            rows[missing] = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        return rows
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizer gives them without added special tokens."""
@@ -109,7 +120,7 @@ class PieceEncoder:
                 where.append(i)
                 counts.append(len(mine))
             else:
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+                out[i] = np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, dtype=np.uint32)
         rows = self.lookup(pieces)
         size = self.size[rows]
         ends = np.cumsum(size)

@@ -276,3 +276,20 @@ def test_quality_without_labels(spark):
     assert model is None
     assert {r.score for r in score_quality(train, model).collect()} == {0.5}
     assert score_quality(train.limit(0), model).count() == 0
+
+
+def test_roles_come_back_whatever_they_hold(spark):
+    roles = ["tool\nx", "tool\\", "a</s>\n", "\n", "<s>[INST]", "", None, "tool\\\nx"]
+    rows = [(1, i, r, "text\n" + (r or "")) for i, r in enumerate(roles)] + [(2, 0, "user", "u" * 100_000), (2, 1, "assistant", "b\\" * 50_000)]
+    got = {r.conv_id: r for r in chat_format.read_back(*chat_format.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    plain = {c: "".join(f"{r or ''}\n{t}\n" for k, _, r, t in rows if k == c) for c in (1, 2)}
+    assert {c: r.turns_sha256 for c, r in got.items()} == {c: hashlib.sha256(p.encode()).hexdigest() for c, p in plain.items()}
+    assert got[2].loss_chars == 100_000
+
+
+def test_a_full_piece_table_keeps_what_it_learned_first():
+    encoder = PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), most=100)
+    for k in range(6):
+        text = " ".join(["the", "same", *[f"w{i}x{k}" for i in range(60)]])
+        assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert "the" in encoder.index
