@@ -23,7 +23,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: integers); root is the least node of its component.
 
     Alternates two steps until the links no longer change: every node hands its larger neighbours its least
@@ -35,7 +35,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     ensure_checkpoint_dir(links.sparkSession)
     now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     state = None
-    for _ in range(max_rounds):
+    while True:
         # Large step: among all neighbours and itself, the least; given to the larger neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -48,6 +48,4 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == state:
             break
         state = seen
-    else:
-        raise RuntimeError(f"links did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

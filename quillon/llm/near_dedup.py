@@ -1,17 +1,26 @@
-"""Near-duplicate groups: SimHash fingerprints linked through a multi-index hash table."""
+"""Near-duplicate groups: SimHash fingerprints linked through a multi-index hash table.
+
+Two rules: ``near_duplicates`` links fingerprints of 64 bits at up to four differing bits; ``similar_documents`` links
+documents whose sets of word shingles have, by their fingerprints, a similarity of 0.8 or more.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quillon.llm.components import components
+from quillon.llm import textscan as T
+from quillon.llm.components import components, ensure_checkpoint_dir
 
-_HALF = 32
+#: (word, lowest bit, bits) of the segments of a fingerprint; every value is found under all keys within one bit of each.
+HALVES = ((0, 0, 32), (0, 32, 32))
+SIXTHS = tuple((word, low, 28) for word in range(3) for low in (0, 32))
 #: Parts that each component's fingerprints are dealt into when its least id is handed to them.
 _SALTS = 64
 
@@ -71,47 +80,57 @@ class _Forest:
         return a != b
 
 
-def _grow(values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of ``a`` from ``b``."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _grow(nodes: np.ndarray, values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Links that join those of ``values`` within ``most`` bits: a spanning forest, found breadth first.
 
     Every member is compared once with those not yet reached, so a group of near copies takes about one pass.
     """
-    left = values
+    left = np.arange(len(nodes))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= most
+            near = _far(values[left], values[x]) <= most
             if near.any():
                 found = left[near]
-                yield from ((int(x), int(y)) for y in found)
+                yield from ((int(nodes[x]), int(nodes[y])) for y in found)
                 queue += list(found)
                 left = left[~near]
 
 
-def _verify(most: int):
+def _nodes(values: np.ndarray) -> np.ndarray:
+    """A name of 64 bits for each row: the value itself, or a hash of two words that is one-to-one in each."""
+    return (values[:, 0] if values.shape[1] == 1 else T.mix(values[:, 0]) ^ values[:, 1]).view(np.int64)
+
+
+def _verify(most: int, words: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ascending by key; a key's rows may go on in the next batch."""
         forest = _Forest()
-        keys, values = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        keys, values = np.zeros(0, dtype=np.int64), np.zeros((0, words), dtype=np.uint64)
 
         def links(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            nodes = _nodes(values)
             same = keys[1:] == keys[:-1]
             edge = np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))
-            out = []
-            for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1, strict=True):
-                if j - i == 2:
-                    a, b = int(values[i]), int(values[i + 1])
-                    found = [(a, b)] if (a ^ b).bit_count() <= most else []
-                else:
-                    found = _grow(values[i:j], most)
-                out += [x for x in found if forest.join(*x)]
-            pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+            two = first[last - first == 2]
+            two = two[_far(values[two], values[two + 1]) <= most]
+            out = [x for x in zip(nodes[two].tolist(), nodes[two + 1].tolist(), strict=True) if forest.join(*x)]
+            for i, j in zip(first.tolist(), last.tolist(), strict=True):
+                if j - i > 2:
+                    out += [x for x in _grow(nodes[i:j], values[i:j], most) if forest.join(*x)]
+            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             keys = np.concatenate([keys, np.asarray(batch.column("key"))])
-            values = np.concatenate([values, np.asarray(batch.column("fingerprint")).view(np.uint64)])
+            values = np.concatenate([values, np.stack([np.asarray(batch.column(f"f{i}")).view(np.uint64) for i in range(words)], axis=1)])
             if len(keys) and keys[0] != keys[-1]:
                 cut = int(np.searchsorted(keys, keys[-1]))
                 yield links(keys[:cut], values[:cut])
@@ -121,26 +140,33 @@ def _verify(most: int):
     return f
 
 
-def near_links(fingerprints: DataFrame, most: int = 4) -> DataFrame:
-    """Links (a, b) that connect just the distinct ``fingerprint`` values which chains of at most ``most`` differing bits connect.
+def near_links(fingerprints: DataFrame, values: Sequence[str], segments: Sequence[tuple[int, int, int]], most: int, verified: int) -> DataFrame:
+    """Links (a, b) of the rows (see ``_nodes``) whose first ``verified`` words differ in at most ``most`` bits and
+    any segment in at most two; the links connect just the nodes that chains of such pairs connect.
 
-    Multi-index hashing with two halves: of up to four differing bits, one half holds at most two. Every value
-    enters the table of each half under all keys within one bit of it, and is looked up under the same keys, so
-    two halves within two bits meet at a key midway. What meets is verified on all 64 bits. Within a key, links
-    form a spanning forest, not all pairs; the values at one key share a half to within one bit.
+    Multi-index hashing: every value enters the table of each segment under all keys within one bit of it, and is
+    looked up under the same keys, so two segments within two bits meet at a key midway. What meets is verified on
+    all bits of those words. Within a key, links form a spanning forest, not all pairs. ``values`` are columns of
+    64 bits; the first ``verified`` of them differ from row to row.
     """
-    if not 0 <= most <= 4:
-        raise ValueError("two halves with balls of one bit cover at most four bits")
-    masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << i for i in range(_HALF)))])
-    low = F.col("fingerprint").bitwiseAND(F.lit((1 << _HALF) - 1))
-    high = F.shiftrightunsigned("fingerprint", _HALF)
-    halves = F.array(F.struct(F.lit(0).cast("long").alias("side"), low.alias("half")), F.struct(F.lit(1 << _HALF).alias("side"), high.alias("half")))
-    keyed = (
-        fingerprints.select("fingerprint", F.explode(halves).alias("h"))
-        .select("fingerprint", "h", F.explode(masks).alias("mask"))
-        .select(F.col("h.side").bitwiseOR(F.col("h.half").bitwiseXOR(F.col("mask"))).alias("key"), "fingerprint")
-    )
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(most), "a long, b long")
+    named = fingerprints.select(*[F.col(v).alias(f"f{i}") for i, v in enumerate(values)])
+
+    def keys(number: int, word: int, low: int, bits: int) -> Column:
+        segment = F.shiftrightunsigned(f"f{word}", low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(number << 32))
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in (0, *(1 << i for i in range(bits)))]), lambda m: segment.bitwiseXOR(m))
+
+    keyed = named.select(*[f"f{i}" for i in range(verified)], F.explode(F.concat(*[keys(i, *s) for i, s in enumerate(segments)])).alias("key"))
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(most, verified), "a long, b long")
+
+
+def _named(distinct: DataFrame, node: str, links: DataFrame) -> DataFrame:
+    """``node`` and ``component_id``: the least ``least`` that the links reach from each row of ``distinct``."""
+    roots = components(links).withColumnRenamed("node", node)
+    # Only linked nodes need their component's least id; a component may hold a third of them, so its key is salted.
+    linked = distinct.join(roots, node).withColumn("salt", F.pmod(F.xxhash64(node), F.lit(_SALTS)))
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")))
+    renamed = linked.join(ids, ["root", "salt"]).select(node, "component_id", F.lit(True).alias("found"))
+    return distinct.join(renamed, node, "left").select(node, F.when(F.col("found"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
@@ -151,17 +177,85 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     any other. A null ``doc_id`` takes no part in the least; a component of nulls only has a null id. Repeated
     rows come back as often as they came. An empty table gives an empty table.
     """
-    prints = simhash(docs, shingle)
-    spark = docs.sparkSession
-    from quillon.llm.components import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    prints = prints.checkpoint()
+    if not 0 <= most <= 5:
+        raise ValueError("two halves within two bits each cover at most five differing bits")
+    ensure_checkpoint_dir(docs.sparkSession)
+    prints = simhash(docs, shingle).checkpoint()
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(distinct.select("fingerprint"), most)).withColumnRenamed("node", "fingerprint")
-    # Only linked fingerprints need their component's least id; a component may hold a third of them, so its key is salted.
-    linked = distinct.join(roots, "fingerprint").withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(_SALTS)))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")))
-    renamed = linked.join(ids, ["root", "salt"]).select("fingerprint", "component_id")
-    named = distinct.join(renamed.withColumn("found", F.lit(True)), "fingerprint", "left").select("fingerprint", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    named = _named(distinct, "fingerprint", near_links(distinct, ["fingerprint"], HALVES, most, 1))
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def _set_fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
+    """Three words of SimHash for each text, over its distinct runs of ``shingle`` words; see ``similar_documents``."""
+    raw, offsets = T.text_bytes(column)
+    raw = _LOWER[raw]
+    starts, ends, first = T.words(raw, offsets)
+    hashes = T.word_hashes(raw, starts, ends, 10)
+    at, text = T.window_starts(first, shingle)
+    runs = T.window_hashes(hashes, shingle, 11)[at]
+    counts = np.diff(first)
+    brief = np.flatnonzero((counts > 0) & (counts < shingle))  # shorter texts are one shingle
+    if len(brief):
+        whole = [T.mix(np.array([hashes[first[i] : first[i + 1]] @ T.multipliers(int(counts[i]), 11)], dtype=np.uint64) ^ np.uint64(counts[i]))[0] for i in brief.tolist()]
+        runs, text = np.concatenate([runs, np.array(whole, dtype=np.uint64)]), np.concatenate([text, brief])
+    order = np.lexsort((runs, text))
+    runs, text = runs[order], text[order]
+    new = np.ones(len(runs), dtype=bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (text[1:] != text[:-1])
+    runs, text = runs[new], text[new]
+    out = np.zeros((len(counts), 3), dtype=np.uint64)
+    for word, odd in enumerate(T.multipliers(3, 12)):
+        other = T.mix(runs * odd)
+        ones = np.zeros((len(counts), 64), dtype=np.int64)
+        for low in range(0, len(other), 1 << 16):  # bounds the memory that unpacked bits take
+            part = text[low : low + (1 << 16)]
+            heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            bits = np.unpackbits(other[low : low + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[part[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+        over = ones * 2 > np.bincount(text, minlength=len(counts))[:, None]
+        out[:, word] = np.packbits(over, axis=1).view(">u8").ravel()
+    return out
+
+
+def bits_apart(similarity: float, bits: int = 128) -> int:
+    """The differing bits to be expected of two sets of this Jaccard similarity (those of the angle between them), and one standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id`` and ``component_id``, the least ``doc_id`` that chains of similar documents reach.
+
+    Two documents are similar if the SimHash fingerprints of their sets of ``shingle`` words in a row differ, of 128
+    bits, in no more than sets of that Jaccard similarity do within a standard deviation (23 at 0.8), and in at most
+    two bits of any of six segments of 28 bits, two of which come from a third word. All such pairs are found.
+    What share of pairs that is at which similarity stands in the README.
+
+    Words and the treatment of null, empty and short texts, null ids, repeated rows and empty tables are those of
+    ``near_duplicates``, but for repeated shingles, which count once. Documents with equal 128 bits are one.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    schema = docs.select("doc_id", "text")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(np.asarray(pa.compute.binary_length(batch.column("text")).fill_null(0)).astype(np.int64)) if batch.num_rows else np.zeros(0)
+            low = 0
+            while low < batch.num_rows:  # about a megabyte of texts at a time, or one text
+                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + (1 << 20))))
+                part = batch.slice(low, high - low)
+                low = high
+                values = _set_fingerprints(part.column("text"), shingle)
+                columns = [pa.array(_nodes(values[:, :2])), *[pa.array(values[:, i].view(np.int64)) for i in range(3)]]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "node", "f0", "f1", "f2"])
+
+    out = StructType([schema.schema["doc_id"], *[StructField(c, LongType()) for c in ("node", "f0", "f1", "f2")]])
+    prints = schema.mapInArrow(f, out).checkpoint()
+    distinct = prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("f0", "f1", "f2")])
+    named = _named(distinct.select("node", "least"), "node", near_links(distinct, ["f0", "f1", "f2"], SIXTHS, bits_apart(similarity), 2))
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
