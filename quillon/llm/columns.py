@@ -28,3 +28,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             n += "_"
         out.append(n)
     return out
+
+
+def plainly_named(df: DataFrame, *used: str) -> DataFrame:
+    """``df`` with all columns but the used ones named by position: ``mapInArrow`` does not take names with dots. ``toDF`` undoes it."""
+    return df.toDF(*[c.lower() if c.lower() in used else f"c{i}" for i, c in enumerate(df.columns)])

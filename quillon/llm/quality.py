@@ -1,12 +1,14 @@
 """A quality score from random-indexing word vectors and a small neural network with calibrated probabilities.
 
 Each word has a sparse random index vector. A word's vector is its own index vector plus those of its neighbours
-in the learning sample, at unit length. A text is the mean of its words' vectors, beside the mean of the index vectors
-of its words' shapes, so that words that the sample lacks still say how they look.
+in the learning sample, at unit length; words other than the most frequent ones share vectors by a hash. A text is the
+mean of its words' vectors, beside the mean of the index vectors of its words' shapes, so that words that the sample
+lacks still say how they look.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.columns import others
+from quillon.llm.columns import others, plainly_named
 from quillon.llm.components import ensure_checkpoint_dir
 
-#: Labelled texts learned from at most, and words that get vectors of their own: bounds of the fit only.
-SAMPLE, VOCABULARY = 6_000, 20_000
+#: Labelled texts learned from at most; words that have a vector to themselves, and vectors that all other words share.
+SAMPLE, VOCABULARY, SHARED = 6_000, 20_000, 4_096
 DIM, HIDDEN, SPARSE = 64, 32, 6
 
 
@@ -32,19 +34,30 @@ def index_vector(word: bytes, dim: int = DIM) -> np.ndarray:
     return out
 
 
+# What a byte looks like: upper and lower case, digits, anything beyond ASCII as lower case, all others themselves.
+_LOOKS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+_AGAIN = re.compile(rb"(.)\1+", re.DOTALL)
+
+
 def shape(word: bytes) -> bytes:
-    """How a word looks: runs of upper and lower case, digits, other ASCII and bytes beyond, the first four."""
-    kinds = []
-    for b in word[:16]:
-        k = b"A" if 65 <= b <= 90 else b"a" if 97 <= b <= 122 or b >= 128 else b"0" if 48 <= b <= 57 else bytes([b])
-        if not kinds or kinds[-1] != k:
-            kinds.append(k)
-    return b"\x00" + b"".join(kinds[:4])
+    """How a whole word looks: its runs of upper and lower case, digits, other ASCII and bytes beyond."""
+    return b"\x00" + _AGAIN.sub(rb"\1", word.translate(_LOOKS))
+
+
+def row_of(words: dict[bytes, int], word: bytes) -> int:
+    """The row of a word's vector: its own, or one of SHARED rows after these, which the rarer words share by a hash."""
+    found = words.get(word)
+    return found if found is not None else len(words) + zlib.crc32(word) % SHARED
+
+
+def own_vectors(words: dict[bytes, int]) -> np.ndarray:
+    """The index vectors of all rows."""
+    return np.array([index_vector(w) for w in (*words, *(b"\x01%d" % i for i in range(SHARED)))], dtype=np.float32)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Word vectors of the sample and a network; at most VOCABULARY words, so of bounded size."""
+    """Word vectors of the sample and a network; at most VOCABULARY words and SHARED further vectors, so of bounded size."""
 
     words: dict[bytes, int]
     vectors: np.ndarray
@@ -65,11 +78,11 @@ class _Pooler:
     """Means of word and shape vectors; which rows a word takes is kept until there are too many words."""
 
     def __init__(self, words: dict[bytes, int], vectors: np.ndarray, most: int = 200_000):
-        self.words, self.vectors, self.most = words, np.concatenate([np.zeros((1, DIM), dtype=np.float32), vectors]), most
+        self.words, self.vectors, self.most = words, vectors, most
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[bytes, int] = {}  # row of the vector, then 16 bits for the row of the shape
+        self.codes: dict[bytes, int] = {}  # row of the vector, then 32 bits for the row of the shape
         self.shapes: dict[bytes, int] = {}
         self.looks = np.zeros((0, DIM), dtype=np.float32)
 
@@ -83,7 +96,7 @@ class _Pooler:
             for w in words:
                 if w not in self.codes:
                     look = self.shapes.setdefault(shape(w), len(self.shapes))
-                    self.codes[w] = (self.words.get(w, -1) + 1) << 16 | min(look, 0xFFFF)
+                    self.codes[w] = row_of(self.words, w) << 32 | look
             if len(self.shapes) > len(self.looks):
                 new = list(self.shapes)[len(self.looks) :]
                 self.looks = np.concatenate([self.looks, np.array([index_vector(x) for x in new])])
@@ -91,8 +104,8 @@ class _Pooler:
         codes = np.array(found)
         total = np.zeros(DIM, dtype=np.float64)
         for at in range(0, len(codes), 1 << 14):  # bounds the memory that a very long text takes
-            total += self.vectors[codes[at : at + (1 << 14)] >> 16].sum(axis=0, dtype=np.float32)
-        looks = np.bincount(np.minimum(codes & 0xFFFF, len(self.looks) - 1), minlength=len(self.looks)) @ self.looks
+            total += self.vectors[codes[at : at + (1 << 14)] >> 32].sum(axis=0, dtype=np.float32)
+        looks = np.bincount(codes & 0xFFFFFFFF, minlength=len(self.looks)) @ self.looks
         # The share of words said before within the text, beside the pooled vectors.
         return np.concatenate([total / len(codes), looks / len(codes), [1 - len(set(words)) / len(codes)]]).astype(np.float32)
 
@@ -132,7 +145,8 @@ def _fit(words: dict[bytes, int], vectors: np.ndarray, x: np.ndarray, labels: np
 def learn_quality(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from ``doc_id``, ``text`` and ``label`` (0 or 1) of at most about ``sample`` rows, chosen by a hash of the id.
 
-    Null labels are passed over; null texts are empty. Without rows of both labels there is no model.
+    Null labels are passed over; null texts are empty; rows that repeat or share an id are learned from each; other
+    columns are not read. Without rows of both labels there is no model.
     """
     docs = docs.where(F.col("label").isNotNull())
     share = min(1.0, sample / max(1, docs.count()))
@@ -142,18 +156,17 @@ def learn_quality(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     words = chosen.select(F.explode(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).alias("w"))
     counted = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(VOCABULARY).select("w").collect()
     index = {r.w.encode(): i for i, r in enumerate(counted)}
-    own = np.array([index_vector(w) for w in index], dtype=np.float32).reshape(len(index), DIM)
+    own = own_vectors(index)
     shared = docs.sparkSession.sparkContext.broadcast((index, own))  # bounded by VOCABULARY
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, own = shared.value
-        total = np.zeros((len(index), DIM), dtype=np.float32)
+        total = np.zeros(own.shape, dtype=np.float32)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                n = np.fromiter((index.get(w, -1) for w in text.encode().split()), np.int64)
-                both = (n[:-1] >= 0) & (n[1:] >= 0)
-                np.add.at(total, n[:-1][both], own[n[1:][both]])
-                np.add.at(total, n[1:][both], own[n[:-1][both]])
+                n = np.fromiter((row_of(index, w) for w in text.encode().split()), np.int64)
+                np.add.at(total, n[:-1], own[n[1:]])
+                np.add.at(total, n[1:], own[n[:-1]])
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_pydict({"n": some, "v": list(total[some].astype(np.float64))}, pa.schema([("n", pa.int64()), ("v", pa.list_(pa.float64()))]))
 
@@ -185,18 +198,21 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     score alike. Without a model every score is 0.5. An empty table gives an empty table.
     """
     keep = docs.select(*others(docs, ("score", "predicted")))
-    schema = keep.withColumn("score", F.lit(0.0)).schema
+    plain = plainly_named(keep, "text")
+    schema = plain.withColumn("score", F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        pooler = _Pooler(model.words, model.vectors) if model else _Pooler({}, np.zeros((0, DIM), dtype=np.float32))
+        pooler = _Pooler(model.words, model.vectors) if model else None
         for batch in batches:
-            features = np.array([pooler.pool((t or "").encode().split()) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, 2 * DIM + 1)
-            scores = model.probability(features.astype(np.float64)) if model else np.full(batch.num_rows, 0.5)
+            scores = np.full(batch.num_rows, 0.5)
+            if model:
+                features = np.array([pooler.pool((t or "").encode().split()) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, 2 * DIM + 1)
+                scores = np.round(model.probability(features.astype(np.float64)), 9)  # the same for equal texts wherever they stand in a batch
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    return keep.mapInArrow(f, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return plain.mapInArrow(f, schema).toDF(*keep.columns, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -8,8 +8,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, license_scan, media_matroska, packing, token_counts
+from quillon.llm import chat_format, language_id, license_scan, media_matroska, packing, quality, token_counts
 from quillon.llm.language_id import identify, learn_profiles
 from quillon.llm.pieces import PieceEncoder
 from quillon.llm.quality import learn_quality, score_quality
@@ -293,3 +294,49 @@ def test_a_full_piece_table_keeps_what_it_learned_first():
         text = " ".join(["the", "same", *[f"w{i}x{k}" for i in range(60)]])
         assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert "the" in encoder.index
+
+
+def test_language_scores_equal_a_plain_cosine(spark):
+    """Vectors by dictionaries of single letters: trigrams within words padded by a boundary, letters rotated by their place."""
+    texts = [(1, "abc ab", "x"), (2, "xyz Zx", "y"), (3, "日本 語", "z"), (4, "ab-xy", None)]
+    dim = 256
+    letter = lambda c: np.random.default_rng([c, 9]).integers(0, 2, dim) * 2.0 - 1
+
+    def vector(text):
+        n = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+        out = sum(np.roll(letter(n[i - 1]), 2) * np.roll(letter(n[i]), 1) * letter(n[i + 1]) for i in range(1, len(n) - 1) if n[i])
+        return out / np.linalg.norm(out)
+
+    train = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = identify(train.withColumn("a.b", F.lit(1)), learn_profiles(train, dim=dim)).collect()
+    languages = {g: vector(t) for _, t, g in texts if g}
+    for r in got:
+        cosine = {g: float(v @ vector(r.text)) for g, v in languages.items()}
+        assert r.lang_pred == max(cosine, key=cosine.get) and abs(r.score - max(cosine.values())) < 1e-4
+
+
+def test_letters_beyond_the_table_change_nothing(monkeypatch):
+    text = [" ".join(chr(0x4E00 + i) + chr(0x4E00 + 7 * i) for i in range(300))]
+    want = language_id._encode(language_id._Encoder(64), text)[0]
+    monkeypatch.setattr(language_id, "_LETTERS", 5)
+    assert np.array_equal(want, language_id._encode(language_id._Encoder(64), text)[0])
+
+
+def test_quality_features_equal_plain_means():
+    words = {b"good": 0, b"text": 1}
+    vectors = quality.own_vectors(words)
+    pooler = quality._Pooler(words, vectors, most=3)
+    for text in (b"good text good", b"Rare-1 rare " + b"Q" * 5000 + b" good", b"a b c d e f g h", b"good"):
+        mine = text.split()
+        rows = [vectors[words[w] if w in words else 2 + zlib.crc32(w) % quality.SHARED] for w in mine]
+        looks = [quality.index_vector(quality.shape(w)) for w in mine]
+        want = np.concatenate([np.mean(rows, axis=0), np.mean(looks, axis=0), [1 - len(set(mine)) / len(mine)]])
+        assert np.allclose(pooler.pool(mine), want, atol=1e-5)
+    assert quality.shape(b"AbC12-x" * 9) == b"\x00" + b"AaA0-a" * 9 and quality.shape("éa9".encode()) == b"\x00a0"
+
+
+def test_quality_of_repeated_rows_and_other_names(spark):
+    train = spark.createDataFrame([(i, f"{'good fine' if i % 2 else 'bad! poor?'} w{i}", i % 2, i) for i in range(40)] * 2, "doc_id long, text string, label int, `a.b` int")
+    got = score_quality(train.withColumnRenamed("label", "Score"), learn_quality(train))
+    assert got.columns == ["doc_id", "text", "a.b", "score", "predicted"] and got.count() == 80
+    assert got.groupBy("doc_id").agg(F.count_distinct("score").alias("n")).where("n > 1").count() == 0
