@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.columns import others
+from quillon.llm.columns import others, plainly_named
 
 #: Texts that prototypes are learned from at most, chosen by a hash of their id; enough for some dozens of languages.
 SAMPLE = 20_000
 #: Trigrams whose vectors a task holds at a time.
 _SLAB = 1 << 12
+#: Letters whose vectors a task keeps; those of others are made anew from the letter when they are needed.
+_LETTERS = 2048
 
 
 @dataclass(frozen=True)
@@ -32,25 +34,25 @@ class Profiles:
 
 
 class _Encoder:
-    """Turns batches of texts into trigram counts and vectors; letters get numbers as they are met."""
+    """Turns batches of texts into trigram counts and vectors; a letter's number is its code point, 0 is a boundary."""
 
     def __init__(self, dim: int):
         self.dim = dim
-        self.number = np.full(0x110000, -1, dtype=np.int32)  # -1: not met; 0: no letter, so a boundary
-        self.letters: list[np.ndarray] = [self._vector(0)]
+        self.number = np.full(0x110000, -1, dtype=np.int32)  # -1: not met
+        self.known: dict[int, np.ndarray] = {}
 
     def _vector(self, code: int) -> np.ndarray:
-        return np.random.default_rng([code, 9]).integers(0, 2, self.dim).astype(np.float32) * 2 - 1
+        if code not in self.known:
+            if len(self.known) >= _LETTERS:
+                self.known.clear()
+            self.known[code] = np.random.default_rng([code, 9]).integers(0, 2, self.dim).astype(np.float32) * 2 - 1
+        return self.known[code]
 
     def _numbers(self, codes: np.ndarray) -> np.ndarray:
         out = self.number[codes]
         if (out < 0).any():
             for code in np.unique(codes[out < 0]).tolist():
-                if chr(code).isalpha():
-                    self.number[code] = len(self.letters)
-                    self.letters.append(self._vector(code))
-                else:
-                    self.number[code] = 0
+                self.number[code] = code if chr(code).isalpha() else 0
             out = self.number[codes]
         return out
 
@@ -74,8 +76,10 @@ class _Encoder:
         return text[middle], codes, np.bincount(text[middle], minlength=len(texts)) > 0
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        table = np.array(self.letters, dtype=np.float32)
-        a, b, c = codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF
+        """The vectors of trigrams; only those of their own letters are held together."""
+        letters, at = np.unique(np.concatenate([codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF]), return_inverse=True)
+        table = np.array([self._vector(x) for x in letters.tolist()], dtype=np.float32).reshape(-1, self.dim)
+        a, b, c = at.reshape(3, -1)
         return np.roll(table, 2, axis=1)[a] * np.roll(table, 1, axis=1)[b] * table[c]
 
 
@@ -143,7 +147,8 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     are read whole. An empty table gives an empty table.
     """
     keep = docs.select(*others(docs, ("lang_pred", "score")))
-    schema = keep.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    plain = plainly_named(keep, "text")
+    schema = plain.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     languages, prototypes = profiles.languages, profiles.vectors
     dim = prototypes.shape[1] if len(languages) else 64
 
@@ -162,7 +167,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 scores += [float(min(1.0, max(0.0, c[b]))) if h else 0.0 for c, b, h in zip(cosine, best, has, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return keep.mapInArrow(f, schema)
+    return plain.mapInArrow(f, schema).toDF(*keep.columns, "lang_pred", "score")
 
 
 def held_out(remainder: int, modulus: int, key: str = "doc_id") -> Column:
