@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__
 from quillon.llm.queries import ORACLE, QUERIES
 from tests.conftest import SMALL
-from tests.llm.test_dedup import contaminated_by_brute_force, fingerprint_plainly, reachable, spans_by_brute_force
+from tests.llm.test_dedup import contaminated_by_brute_force, similar_plainly, spans_by_brute_force
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -37,12 +37,8 @@ def test_query_equals_its_sql(spark, name):
 def plain_pipeline(rows, items):
     """Ids with the final text, by brute force; languages reject only texts without letters."""
     rows = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
-    prints = {i: fingerprint_plainly(t) for i, t in rows}
-    root = reachable(sorted(set(prints.values())), 4)
-    least = {}
-    for i, _ in rows:
-        least[root[prints[i]]] = min(least.get(root[prints[i]], i), i)
-    rows = [(i, t) for i, t in rows if least[root[prints[i]]] == i]
+    least = similar_plainly(rows)
+    rows = [(i, t) for i, t in rows if least[i] == i]
     rows = [(i, t if not gone else kept) for (i, t), (_, kept, _, gone) in zip(rows, spans_by_brute_force(rows, 13), strict=True)]
     clean = contaminated_by_brute_force(rows, items, 10)
     return {i: t for i, t in rows if not clean[i][3]}
@@ -70,3 +66,22 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, SMALL)
         assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_near_dedup_stage_treats_rows_without_an_id_like_others(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(80)) for k in "abcd"}
+    rows = [(1, text["a"]), (None, text["a"]), (None, text["a"] + " more"), (None, text["b"]), (None, text["b"]), (None, text["c"]), (5, text["d"]), (5, text["d"]), (6, text["d"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SMALL).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, text["a"]), (None, text["b"]), (None, text["c"]), (5, text["d"]), (5, text["d"])], key=str)
+
+
+def test_language_stage_without_labels_still_drops_texts_without_letters(spark):
+    docs = spark.createDataFrame([(1, "ab", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SMALL).collect()] == [1]
+
+
+def test_decontamination_stage_rejects_rows_without_an_id(spark):
+    items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 80").limit(2).collect()]
+    docs = spark.createDataFrame([(None, items[0]), (None, "clean text"), (2, items[1])], "doc_id long, text string")
+    assert [r.text for r in dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, docs, SMALL).collect()] == ["clean text"]
