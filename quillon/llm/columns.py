@@ -1,10 +1,10 @@
-"""Columns by any name."""
+"""Columns by any name, and batches of texts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def plainly_named(df: DataFrame, *used: str) -> DataFrame:
     """``df`` with all columns but the used ones named by position: ``mapInArrow`` does not take names with dots. ``toDF`` undoes it."""
     return df.toDF(*[c.lower() if c.lower() in used else f"c{i}" for i, c in enumerate(df.columns)])
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Arrow hand texts to Python in batches of at most so many rows, unless the session asks for fewer.
+
+    The default of 10,000 rows is made for numbers; of texts it takes tens of megabytes on both sides of each task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

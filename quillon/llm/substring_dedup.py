@@ -39,7 +39,7 @@ class _Plan:
     def __init__(self, width: int, depth: int, total_bytes: int, group_bytes: int, load: int):
         self.width, self.depth = width, depth
         # Groups and ranges grow together, so that a group's message to a range does not shrink as the input grows.
-        group_bytes *= min(4.0, max(1.0, math.sqrt(total_bytes / (1 << 30))))
+        group_bytes *= min(2.0, max(1.0, math.sqrt(total_bytes / (1 << 30))))
         self.groups = max(1, math.ceil(total_bytes / group_bytes))
         self.cell_bits = max(16, math.ceil(math.log2(max(1, total_bytes / 6 * load))))
         self.block_bits = min(26, max(16, self.cell_bits - 9))
@@ -63,6 +63,7 @@ class _Windows:
         high = T.window_hashes(T.word_hashes(self.raw, self.starts, self.ends, 1), plan.width, 2)[self.at]
         order = np.argsort(low)
         a, b = low[order], high[order]
+        del text, keep
         if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
             order = np.lexsort((high, low))
             a, b = low[order], high[order]
