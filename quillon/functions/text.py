@@ -99,8 +99,8 @@ def ratio(part: Column, whole: Column, places: int = 4) -> Column:
 
 def positive_int(c: Column | str) -> Column:
     """A positive integer, or null: zero is no denominator."""
-    n = F.try_to_number(_c(c).cast("string"), F.lit("999999999")).cast("int")
-    return F.when(n > 0, n)
+    n = F.trim(_c(c).cast("string")).try_cast("decimal(38,0)")
+    return F.when(_c(c).cast("string").rlike(r"^\s*\d+\s*$") & (n > 0), n.try_cast("long"))
 
 
 def modality(c: Column | str) -> Column:
@@ -164,3 +164,17 @@ def jurisdiction(aliases: dict[str, str], *hints: Column | str) -> Column:
     """The first hint that is an id, ``jur_`` and more, or an alias of one."""
     one = lambda h: F.when(h.rlike(r"^jur_[a-z0-9_]+$"), h).otherwise(lookup(h, aliases))
     return F.coalesce(*[one(F.lower(F.trim(_c(h)))) for h in hints])
+
+
+def csv_list(c: Column | str) -> Column:
+    """The distinct entries between commas, trimmed, in order of first appearance; null and blank give none."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(_c(c), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+# Shapes of ids.
+JURISDICTION_TOKEN, PLACE_ID, AUTHORITY_ID = r"^[A-Z]{2}(?:-[A-Z0-9]{1,3})?$", r"^jur_[a-z0-9_]+$", r"^auth_[a-z0-9_]+$"
+
+
+def valid_places(tokens: Column) -> Column:
+    """The entries of a list that are ISO tokens or ids of places or authorities; others are dropped."""
+    return F.filter(tokens, lambda t: t.rlike(JURISDICTION_TOKEN) | t.rlike(PLACE_ID) | t.rlike(AUTHORITY_ID))

@@ -57,8 +57,21 @@ def throughput(df: DataFrame, key: str, status: str, applied: str, rejected: str
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """Exact percentiles by linear interpolation, as columns p50, p90 and so on."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, s).alias(f"p{round(s * 100)}") for s in shares])
+    """Exact percentiles by linear interpolation, as columns p50, p90 and so on.
+
+    Each group's distinct values with their counts come first, then running counts: a group of any size is sorted by
+    Spark, which spills, and not held in one buffer.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(*keys).orderBy("__v")
+    placed = counts.withColumns({"__to": F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(Window.partitionBy(*keys))})
+    columns = []
+    for s in shares:
+        at = F.lit(s) * (F.col("__all") - 1)
+        value_at = lambda rank: F.min(F.when(F.col("__to") > rank, F.col("__v")))
+        low, high = value_at(F.floor(at)), value_at(F.ceil(at))
+        columns.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"p{round(s * 100)}"))
+    return placed.groupBy(*keys).agg(*columns)
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -151,3 +164,50 @@ def observed(df: DataFrame, stage: str) -> tuple[DataFrame, object]:
 
     seen = Observation(stage)
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def first_ids(rows: DataFrame, keys: Sequence[str], value: str, size: int, name: str = "sample") -> DataFrame:
+    """The least ``size`` distinct values of each key, in order (L11); a limited window, so no group is held whole."""
+    distinct = rows.select(*keys, value).where(F.col(value).isNotNull()).distinct()
+    ranked = distinct.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).where(F.col("__rn") <= size)
+    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def approx_distinct(df: DataFrame, keys: Sequence[str], value: str, error: float = 0.02) -> DataFrame:
+    """Distinct values by a sketch with this relative error."""
+    return df.groupBy(*keys).agg(F.approx_count_distinct(value, error).alias("n"))
+
+
+def held_set(df: DataFrame, field: str, most: int = 3000) -> DataFrame:
+    """The distinct values of a field in order, the first ``most``."""
+    value = F.explode(field) if df.schema[field].dataType.typeName() == "array" else F.col(field)
+    return df.select(value.alias("value")).where("value IS NOT NULL").distinct().orderBy("value").limit(most)
+
+
+def existing(df: DataFrame, keys: Sequence[str], field: str) -> DataFrame:
+    """Per key the rows, those that have the field, and those that lack it."""
+    return df.groupBy(*keys).agg(F.count("*").alias("total"), F.count(field).alias("having"), F.count_if(F.col(field).isNull()).alias("lacking"))
+
+
+def nested_facet(df: DataFrame, outer: str, inner: str, outer_size: int, inner_size: int) -> DataFrame:
+    """The most frequent outer values, and within each its most frequent inner ones (A20); ties by value."""
+    counts = df.where(F.col(outer).isNotNull()).groupBy(outer, inner).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(outer).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), outer).limit(outer_size)
+    kept = counts.where(F.col(inner).isNotNull()).join(totals, outer)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(outer).orderBy(F.desc("n"), inner))).where(F.col("rank") <= inner_size)
+
+
+def weekly_kpis(runs: DataFrame, ts: str, failed: Column, codes: str) -> DataFrame:
+    """Per week: runs, failures, and the counters of codes of all its runs merged (A40); ``codes`` is a map of code to count."""
+    by_week = runs.withColumn("week", week(ts))
+    totals = by_week.groupBy("week").agg(F.count("*").alias("runs"), F.count_if(failed).alias("failures"))
+    merged = by_week.select("week", F.explode(codes).alias("code", "n")).groupBy("week", "code").agg(F.sum("n").alias("n")).groupBy("week").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("codes"))
+    return totals.join(merged, "week", "left").withColumn("codes", F.coalesce("codes", F.create_map().cast("map<string,bigint>")))
+
+
+def history_page(df: DataFrame, at: str, tie: str, limit: int, offset: int = 0, **equal: object) -> DataFrame:
+    """A page of a history, newest first, of the rows whose columns equal the given values (L6); absent values filter nothing."""
+    kept = df
+    for column, value in equal.items():
+        kept = kept if value is None else kept.where(F.col(column) == value)
+    return page(kept, [F.desc_nulls_last(at), F.col(tie)], limit, offset)

@@ -47,6 +47,6 @@ def windows(df: DataFrame, text: str, width: int = 6000, overlap: int = 400) ->
 def passages(df: DataFrame, text: str, most: int = 900) -> DataFrame:
     """Paragraphs between blank lines; a text of one paragraph longer than ``most`` is cut after sentences."""
     paragraphs = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
-    sentences = F.filter(F.transform(F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), r"(?<=[.!?]) "), F.trim), lambda p: p != "")
+    sentences = F.filter(F.transform(F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), r"(?<=[.!?]) "), lambda x: F.trim(x)), lambda p: p != "")
     cut = df.withColumn("__p", paragraphs)
     return cut.select(*df.columns, F.posexplode(F.when((F.size("__p") == 1) & (F.length(F.col("__p")[0]) > most), sentences).otherwise(F.col("__p"))).alias("passage_idx", "passage"))

@@ -5,7 +5,7 @@ A pattern's matches are taken natively by ``regexp_extract_all``; only exact off
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -181,3 +181,30 @@ def targets_of(documents: DataFrame) -> DataFrame:
     keys = F.array_compact(F.array(F.concat(F.lit("official_citation:"), F.nullif(F.trim("official_citation"), F.lit(""))), first(PATTERNS["sr"], "sr:", 1), first(PATTERNS["eu_celex"], "celex:", 0), first(r"\bECLI:[A-Z]{2}:[A-Z0-9]+:\d{4}:[A-Za-z0-9._-]+", "ecli:", 0), F.regexp_replace(bgbl, "^at_bgbl:[^:]+:", "at_bgbl:"), bgbl))
     w = Window.partitionBy("document_id", "target_key").orderBy("__pos")
     return documents.select("document_id", F.lit(None).cast("string").alias("section_id"), F.posexplode(keys).alias("__pos", "target_key")).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__pos")
+
+
+def forward(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """What each search text (``q``) names: its key, how that resolves and to which document."""
+    return resolve(queries.withColumn("citation_key", query_key(F.col("q"))), targets)
+
+
+def resolve_on_write(edges: DataFrame, lookup: Callable[[], DataFrame]) -> DataFrame:
+    """Edges resolved against the targets that ``lookup`` reads; if it cannot, they are written as they came."""
+    try:
+        targets = lookup()
+    except Exception:  # whatever kept the targets from being read
+        return edges
+    known = [c for c in ("resolution_status", "target_document_id", "target_section_id") if c in edges.columns]
+    return resolve(edges.drop(*known), targets)
+
+
+def citations_of(edges: DataFrame, document_id: str) -> DataFrame:
+    """A document's own citations, by where they stand."""
+    return edges.where(F.col("source_document_id") == document_id).orderBy("citation_id")
+
+
+def cited_by(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(document_id, n_citations, n_documents): how often others cite each document by any of its keys."""
+    named = edges.select("source_document_id", "citation_key").join(targets.select(F.col("target_key").alias("citation_key"), "document_id").distinct(), "citation_key")
+    others = named.where(~F.col("source_document_id").eqNullSafe(F.col("document_id")))
+    return others.groupBy("document_id").agg(F.count("*").alias("n_citations"), F.count_distinct("source_document_id").alias("n_documents"))

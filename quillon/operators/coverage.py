@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.aggregates import first_ids
+
 DONE = ("completed", "succeeded")
 
 
@@ -122,7 +124,8 @@ def drained(tasks: DataFrame, runs: DataFrame, key: str, done: Column) -> DataFr
 def index_coverage(documents: DataFrame, ids: str, wanted: DataFrame | None, updated: str, sample: int = 25) -> DataFrame:
     """Per id: documents, the newest update, how many lack one and the first sample ids; requested ids that lack any are added."""
     rows = documents.select("document_id", updated, F.explode(F.array_distinct(ids)).alias("key"))
-    held = rows.groupBy("key").agg(F.count("*").alias("documents"), F.max(updated).alias("newest"), F.count_if(F.col(updated).isNull()).alias("missing"), F.slice(F.array_sort(F.collect_set("document_id")), 1, sample).alias("sample"))
+    held = rows.groupBy("key").agg(F.count("*").alias("documents"), F.max(updated).alias("newest"), F.count_if(F.col(updated).isNull()).alias("missing"))
+    held = held.join(first_ids(rows, ["key"], "document_id", sample), "key", "left")
     if wanted is not None:
         held = held.join(wanted.select("key").distinct(), "key", "full_outer").withColumn("documents", F.coalesce("documents", F.lit(0)))
     return held.withColumn("held", F.col("documents") > 0).orderBy(F.desc("documents"), "key")
@@ -193,3 +196,12 @@ def freshness(df: DataFrame, loaded: str, now: Column, warn_hours: int = 2, erro
     """Age of the newest row: pass, warn or error; an empty table is an error."""
     hours = (F.unix_timestamp(now) - F.unix_timestamp(F.col("newest").cast("timestamp"))) / 3600
     return df.agg(F.max(loaded).alias("newest")).withColumn("status", F.when(F.col("newest").isNull() | (hours > error_hours), "error").when(hours > warn_hours, "warn").otherwise("pass"))
+
+
+def schedules_due(schedules: DataFrame, now: Column) -> DataFrame:
+    """Enabled schedules whose previous fire time lies after their last run, or that never ran.
+
+    ``previous_fire`` is worked out where schedules are kept; a schedule that never fired is not due.
+    """
+    fired = F.col("previous_fire")
+    return schedules.where(F.col("enabled") & (fired <= now) & (F.col("last_run").isNull() | (fired > F.col("last_run"))))

@@ -12,7 +12,7 @@ GATES = {"citation_precision": 0.95, "source_type_correct": 0.98, "temporal_accu
 
 def pipe_list(c: Column) -> Column:
     """The distinct entries between pipes."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def overlap(gold: Column, answer: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.text import fold
+
 # Ranks of the levels of law, lower is of higher authority, and the jurisdiction level that enacts each.
 RANKS = {"constitutional": 10, "international": 20, "federal": 30, "cantonal": 40, "municipal": 50}
 ENACTED_BY = {"constitutional": "federal", "international": "international", "federal": "federal", "cantonal": "cantonal", "municipal": "municipal"}
@@ -18,22 +20,28 @@ def rank(level: Column | str) -> Column:
     return out
 
 
-def ancestors(tree: DataFrame, most_depth: int = 32) -> DataFrame:
+def ancestors(tree: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(id, ancestor, distance) with each node itself at 0 (G1, G8); doubling joins, so depth costs its logarithm; cycles end.
 
+    Goes on until no pair is added, or up to ``most_depth`` steps where that is asked for.
+
     ``tree`` has ``id`` and ``parent_id``.
     """
     edges = tree.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance")).distinct()
     known = tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).distinct().unionByName(edges)
-    reach = 1
-    while reach < most_depth:  # paths of up to twice the reach are two known ones
+    reach, pairs = 1, -1
+    while most_depth is None or reach < most_depth:  # paths of up to twice the reach are two known ones
+        if most_depth is None:
+            if (found := known.count()) == pairs:
+                break
+            pairs = found
         a, b = known.alias("a"), known.alias("b")
         known = a.join(b, F.col("a.ancestor") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance")).groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
         reach *= 2
     return known
 
 
-def governing_scopes(tree: DataFrame, most_depth: int = 8) -> DataFrame:
+def governing_scopes(tree: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(id, scope, level): each node, its ancestors, and children of these at the same level as their parent (G1)."""
     path = ancestors(tree, most_depth).join(tree.select(F.col("id").alias("ancestor"), "level"), "ancestor")
     child = tree.select(F.col("parent_id").alias("ancestor"), F.col("id").alias("child"), F.col("level").alias("child_level"))
@@ -71,3 +79,20 @@ def report(levels: DataFrame, documents: DataFrame, k: int) -> DataFrame:
 def preferred_scopes(mentioned: DataFrame, scopes: DataFrame) -> DataFrame:
     """(query_id, scope): the places a query names with all that govern them."""
     return mentioned.join(scopes.select(F.col("id").alias("place"), "scope"), "place").select("query_id", "scope").distinct()
+
+
+def slug(name: Column) -> Column:
+    """A place's name as a slug: folded, with dashes."""
+    return F.regexp_replace(F.regexp_replace(fold(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def place_by_slug(names: DataFrame, column: str, tree: DataFrame) -> DataFrame:
+    """Rows with ``place_id`` of the place whose name has the same slug, the least id of several."""
+    known = tree.groupBy(slug(F.col("name")).alias("__slug")).agg(F.min("id").alias("place_id"))
+    return names.withColumn("__slug", slug(F.col(column))).join(known, "__slug", "left").drop("__slug")
+
+
+def country_of(tree: DataFrame, level: str = "federal") -> DataFrame:
+    """(id, country): the nearest ancestor, or the node itself, at the country's level."""
+    path = ancestors(tree).join(tree.select(F.col("id").alias("ancestor"), "level"), "ancestor").where(F.col("level") == level)
+    return path.groupBy("id").agg(F.min_by("ancestor", F.struct("distance", "ancestor")).alias("country"))

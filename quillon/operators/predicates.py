@@ -110,3 +110,8 @@ def newer_than(df: DataFrame, ts: str, target: DataFrame, null_is: str | None =
     floor = F.coalesce(mark, F.lit("0001-01-01").cast(df.schema[ts].dataType))
     value = F.col(ts) if null_is is None else F.coalesce(ts, F.lit(null_is).cast(df.schema[ts].dataType))
     return df.where(value > floor)
+
+
+def starts_with(field: str, prefix: str) -> Column:
+    """Begins with the prefix; null does not."""
+    return F.coalesce(F.startswith(F.col(field), F.lit(prefix)), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import coverage
+from quillon.operators.aggregates import first_ids
 from quillon.operators.predicates import is_pdf, page_kind
 
 
@@ -54,8 +55,8 @@ def run_preview(captured: DataFrame, sample: int = 10) -> DataFrame:
         F.count_if(is_pdf("content_type", "final_url")).alias("pdfs"),
         F.count_if(kind == "decision").alias("decisions"),
         F.count_if(kind == "boilerplate").alias("boilerplate"),
-        F.slice(F.array_sort(F.collect_set("final_url")), 1, sample).alias("sample"),
     )
+    counts = counts.join(first_ids(captured, ["run_id"], "final_url", sample), "run_id", "left")
     return counts.join(shared, "run_id", "left").fillna({"checksums": 0, "duplicates": 0})
 
 

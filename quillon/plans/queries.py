@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import ids, text
 from quillon.operators import aggregates as A
 from quillon.operators import chunking, citations, coverage, data_quality, evaluation, gates, hierarchy, joins, mutation, predicates, search, sparse, windows
+from quillon.plans.registry import query
 from quillon.sources.tables import spread, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _kind() -> F.Column:
     return F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("started")
 
@@ -576,12 +561,12 @@ def refined_documents(spark, sf_dir):
 
 
 @query("""
-    SELECT DISTINCT c_custkey, s_suppkey FROM customer, supplier WHERE (c_nationkey = s_nationkey OR c_custkey = s_suppkey) AND c_custkey % 20 = 0""")
+    SELECT DISTINCT o_orderkey, c_custkey FROM (
+        SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_orderkey = c_custkey)""")
 def disjunctive_join(spark, sf_dir):
-    """Customers and suppliers of one nation or one key; a tenth of the keys stands for a set of citations."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select("c_custkey", "c_nationkey")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return joins.either_key(c, s, ["c_nationkey", "c_custkey"], ["s_nationkey", "s_suppkey"], "c_custkey").select("c_custkey", F.col("r_s_suppkey").alias("s_suppkey"))
+    """All orders with the customers that they name by either of two keys."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return joins.either_key(o, table(spark, sf_dir, "customer").select("c_custkey"), ["o_custkey", "o_orderkey"], ["c_custkey", "c_custkey"], "o_orderkey").select("o_orderkey", F.col("r_c_custkey").alias("c_custkey"))
 
 
 @query("""
@@ -734,13 +719,14 @@ def disordered_lines(spark, sf_dir):
     return data_quality.disordered(li, ["l_orderkey"], "l_linenumber", "arrival").select("l_orderkey", "l_linenumber", "l_partkey", "before")
 
 
-@query("""
-    WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')), lambda x: x <> '')) AS x FROM documents WHERE length(text) < 900)
-    SELECT doc_id, count(*) AS passages, sum(length(x))::BIGINT AS chars FROM p GROUP BY doc_id""")
+@query(r"""
+    WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: x <> '') AS p, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS flat FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, CASE WHEN len(p) = 1 AND length(p[1]) > 900 THEN list_filter(list_transform(string_split(regexp_replace(flat, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') ELSE p END AS p FROM t)
+    SELECT doc_id, (i - 1)::INTEGER AS passage_idx, sha256(p[i]) AS passage_sha FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM c)""")
 def passages(spark, sf_dir):
-    """Passages of texts short enough not to be cut after sentences."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") < 900).select("doc_id", "text")
-    return chunking.passages(d, "text").groupBy("doc_id").agg(F.count("*").alias("passages"), F.sum(F.length("passage")).alias("chars"))
+    """Passages of all texts; long single paragraphs are cut after sentences."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunking.passages(d, "text").select("doc_id", "passage_idx", F.sha2("passage", 256).alias("passage_sha"))
 
 
 @query(r"""
@@ -769,9 +755,17 @@ def html_sections(spark, sf_dir):
     return normalise.sections(p, "page_id").select("page_id", "ordinal", "title", "depth", "section_type", F.length("content").alias("n_chars"))
 
 
-@query()
+@query("""
+    WITH s AS (
+        SELECT o_orderkey AS k, CASE WHEN k % 2 = 0 THEN CASE WHEN k % 7 = 1 THEN 'X' ELSE o_orderstatus END END AS a1,
+            CASE WHEN k % 3 > 0 THEN CASE WHEN k % 7 = 2 THEN 'X' ELSE o_orderstatus END END AS a2, CASE WHEN k % 5 > 0 THEN CASE WHEN k % 7 = 3 THEN 'X' ELSE o_orderstatus END END AS a3 FROM orders),
+    r AS (
+        SELECT k, a1 AS st, 1 AS f, CASE WHEN a2 IS NOT DISTINCT FROM a1 THEN CASE WHEN a3 IS NOT DISTINCT FROM a1 THEN NULL ELSE 3 END ELSE 2 END AS t FROM s WHERE a1 IS NOT NULL
+        UNION ALL SELECT k, a2, 2, CASE WHEN a3 IS NOT DISTINCT FROM a2 THEN NULL ELSE 3 END FROM s WHERE a2 IS NOT NULL AND a1 IS DISTINCT FROM a2
+        UNION ALL SELECT k, a3, 3, NULL FROM s WHERE a3 IS NOT NULL AND a2 IS DISTINCT FROM a3)
+    SELECT k AS o_orderkey, st AS o_orderstatus, epoch_us(TIMESTAMP '2023-12-31' + to_days(f)) AS from_us, epoch_us(TIMESTAMP '2023-12-31' + to_days(t)) AS to_us FROM r""")
 def scd2_steps(spark, sf_dir):
-    """M3: history by snapshots, three loads of all orders' statuses; the one-pass form has the SQL (scd2_history)."""
+    """M3: history by snapshots, three loads of all orders' statuses."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     history = spark.createDataFrame([], "o_orderkey long, o_orderstatus string, valid_from timestamp, valid_to timestamp")
     for i, keep in enumerate(("o_orderkey % 2 = 0", "o_orderkey % 3 > 0", "o_orderkey % 5 > 0"), 1):

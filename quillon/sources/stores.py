@@ -98,15 +98,14 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _versions(self) -> list[int]:
+    def _versions(self, finished: bool = True) -> list[int]:
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and (not finished or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))))
 
     def read(self) -> DataFrame | None:
         """The newest finished version, or nothing."""
@@ -115,8 +114,8 @@ class VersionedTable:
 
     def write(self, df: DataFrame) -> int:
         """Writes the next version; it counts once its success marker is there."""
-        n = (self._versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={n:09d}")
+        n = (self._versions(finished=False) or [0])[-1] + 1
+        df.write.mode("errorifexists").parquet(f"{self.path}/v={n:09d}")  # two writers cannot take one number
         return n
 
 
@@ -178,3 +177,15 @@ def sparql_rows(bindings: DataFrame, column: str, variables: Sequence[str]) -> D
 def unreplayed(outbox: DataFrame, markers: DataFrame, key: str) -> DataFrame:
     """Outbox files without a marker."""
     return outbox.join(markers.select(key).distinct(), key, "left_anti")
+
+
+def withdrawals(outbox: DataFrame, published: DataFrame, key: str) -> DataFrame:
+    """Withdrawn events for published documents of which the outbox has nothing any more (S27): one row per document, one revision on."""
+    gone = published.join(outbox.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.max("document_revision").alias("document_revision"))
+    return gone.select(key, (F.col("document_revision") + 1).alias("document_revision"), F.lit("withdrawn").alias("kind"))
+
+
+def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of JSON documents, of each ``document_id`` the one of the file that was changed last, by name where times are equal."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("__at", F.struct(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("p")))
+    return rows.groupBy("document_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "__at"]), "__at").alias("d")).select("d.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,13 +58,14 @@ def guarded(stream: DataFrame, key: str, revision: str) -> DataFrame:
     def f(keys: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         top = state.get[0] if state.exists else None
         for frame in frames:
-            out = []
-            for r in frame[revision].tolist():
-                out.append("stale" if top is not None and r < top else "applied")
-                top = r if top is None else max(top, r)
-            yield pd.DataFrame({key: [keys[0]] * len(out), revision: frame[revision].to_numpy(), "outcome": out})
+            mine = frame[revision].to_numpy()
+            if not len(mine):
+                continue
+            before = np.maximum.accumulate(np.concatenate([[mine[0] if top is None else top], mine]))
+            yield pd.DataFrame({key: [keys[0]] * len(mine), revision: mine, "outcome": np.where(mine < before[:-1], "stale", "applied")})
+            top = int(before[-1])
         if top is not None:
-            state.update((int(top),))
+            state.update((top,))
 
     return stream.groupBy(key).applyInPandasWithState(f, f"{key} {kind}, {revision} long, outcome string", "top long", "append", "NoTimeout")
 
@@ -73,20 +75,43 @@ def apply_batches(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merged(old: DataFrame | None, batch: DataFrame, key: str, revision: str) -> DataFrame:
+    """The table after a batch: the row of the greatest revision of each key; equal revisions take the new row.
+
+    A withdrawal is a row like any other here, a tombstone: an older event that comes later does not revive its key.
+    """
+    newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(revision, "event_id")).alias("r")).select("r.*")
+    if old is None:
+        return newest
+    kept = old.join(newest.select(key, F.col(revision).alias("__r")), key, "left").where(F.col("__r").isNull() | (F.col("__r") < F.col(revision))).drop("__r")
+    fresh = newest.join(old.select(key, F.col(revision).alias("__o")), key, "left").where(F.col("__o").isNull() | (F.col("__o") <= F.col(revision))).drop("__o")
+    return kept.unionByName(fresh)
+
+
+def live(table: DataFrame, kind: str = "kind", withdrawn: str = "withdrawn") -> DataFrame:
+    """The rows that readers see: all but tombstones (E5)."""
+    return table.where(~F.col(kind).eqNullSafe(withdrawn))
+
+
+def without_withdrawn(parts: DataFrame, table: DataFrame, key: str, kind: str = "kind", withdrawn: str = "withdrawn") -> DataFrame:
+    """Sections or citations without those of withdrawn documents (E5)."""
+    gone = table.where(F.col(kind).eqNullSafe(withdrawn)).select(key).distinct()
+    return parts.join(gone, key, "left_anti")
+
+
 def apply_to_table(read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], key: str, revision: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps the row of the greatest revision of each key; equal revisions take the new row.
+    """A batch function that puts ``merged`` in place of the table; ``live`` is what readers see of it.
 
-    A row whose ``kind`` is withdrawn removes its key. ``write`` gets the whole new table and is to swap it in at once.
+    A row whose ``kind`` is withdrawn removes its key for readers. ``write`` gets the whole new table and is to swap it in at once.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        old = read()
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(revision, "event_id")).alias("r")).select("r.*")
-        if old is None:
-            write(newest)
-            return
-        kept = old.join(newest.select(key, F.col(revision).alias("__r")), key, "left").where(F.col("__r").isNull() | (F.col("__r") < F.col(revision))).drop("__r")
-        fresh = newest.join(old.select(key, F.col(revision).alias("__o")), key, "left").where(F.col("__o").isNull() | (F.col("__o") <= F.col(revision))).drop("__o")
-        write(kept.unionByName(fresh))
+        write(merged(read(), batch, key, revision))
 
     return apply
+
+
+def with_history(history: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(history, counts by outcome) after a batch that ``outcomes`` has marked: duplicates are counted but not appended."""
+    appended = history.unionByName(marked.where("outcome <> 'ignored_duplicate'").select(*history.columns))
+    return appended, marked.groupBy("outcome").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quillon.plans.queries import ORACLE, QUERIES
+from quillon.plans.registered import ORACLE, QUERIES
 from tests.conftest import ROOT, SMALL
 
 
