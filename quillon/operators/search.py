@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,3 +163,25 @@ def mention_boost(preferred: Sequence[str], field: str = "jurisdiction_ids") ->
     if not preferred:
         return F.lit(0.0)
     return F.when(F.coalesce(F.arrays_overlap(field, F.array(*[F.lit(p) for p in preferred])), F.lit(False)), MENTION_BOOST).otherwise(0.0)
+
+
+def ranked(docs: DataFrame, doc_id: str, q: str, fields: Mapping[str, float], index: Mapping[str, DataFrame] | None = None, phrase_fields: Sequence[str] = (), preferred: Sequence[str] = ()) -> DataFrame:
+    """(doc, score) for a search text, by its shape (R1 to R7): everything for a wildcard, all tokens and no others for
+    a short legal text, any token or a word near one for free text; the best field's weighted BM25 and the boosts add up.
+
+    ``index`` holds the stored postings of each field; where it is missing they are made from ``docs``, once.
+    """
+    shape, tokens = query_shape(q), query_tokens(q)
+    boost = phrase_boost(tokens, fields=phrase_fields) + (mention_boost(preferred) if preferred else F.lit(0.0))
+    if shape == "wildcard":
+        return docs.select(F.col(doc_id).alias("doc"), boost.alias("score"))
+    parts = []
+    for field, weight in fields.items():
+        posted = (index or {}).get(field)
+        posted = postings(docs, doc_id, field) if posted is None else posted
+        sizes = posted.groupBy("doc").agg(F.max("dl").alias("dl")).agg(F.sum("dl").alias("total")).first()
+        n = docs.count()
+        wanted = tokens if shape == "short_legal" else sorted({r.token for r in fuzzy_tokens(posted.select("token"), tokens).select("token").distinct().collect()})  # words near those of one query
+        parts.append(bm25(posted, n, (sizes.total or 0) / max(1, n) or 1.0, wanted, require_all=shape == "short_legal").withColumn("score", F.col("score") * weight))
+    found = reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.max("score").alias("score"))
+    return found.join(docs.select(F.col(doc_id).alias("doc"), boost.alias("__boost")), "doc").select("doc", (F.col("score") + F.col("__boost")).alias("score"))
