@@ -17,12 +17,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quillon.llm import textscan as T
 from quillon.llm.components import components, ensure_checkpoint_dir
+from quillon.llm.skew import join_unique
 
 #: (word, lowest bit, bits) of the segments of a fingerprint; every value is found under all keys within one bit of each.
 HALVES = ((0, 0, 32), (0, 32, 32))
 SIXTHS = tuple((word, low, 28) for word in range(3) for low in (0, 32))
-#: Parts that each component's fingerprints are dealt into when its least id is handed to them.
-_SALTS = 64
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -162,10 +161,10 @@ def near_links(fingerprints: DataFrame, values: Sequence[str], segments: Sequenc
 def _named(distinct: DataFrame, node: str, links: DataFrame) -> DataFrame:
     """``node`` and ``component_id``: the least ``least`` that the links reach from each row of ``distinct``."""
     roots = components(links).withColumnRenamed("node", node)
-    # Only linked nodes need their component's least id; a component may hold a third of them, so its key is salted.
-    linked = distinct.join(roots, node).withColumn("salt", F.pmod(F.xxhash64(node), F.lit(_SALTS)))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")))
-    renamed = linked.join(ids, ["root", "salt"]).select(node, "component_id", F.lit(True).alias("found"))
+    # Only linked nodes need their component's least id; a component may hold a third of them.
+    linked = distinct.join(roots, node)
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    renamed = join_unique(linked, ids, "root", node).select(node, "component_id", F.lit(True).alias("found"))
     return distinct.join(renamed, node, "left").select(node, F.when(F.col("found"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
 
 
@@ -183,7 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     prints = simhash(docs, shingle).checkpoint()
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     named = _named(distinct, "fingerprint", near_links(distinct, ["fingerprint"], HALVES, most, 1))
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return join_unique(prints, named, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -258,4 +257,4 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     prints = schema.mapInArrow(f, out).checkpoint()
     distinct = prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("f0", "f1", "f2")])
     named = _named(distinct.select("node", "least"), "node", near_links(distinct, ["f0", "f1", "f2"], SIXTHS, bits_apart(similarity), 2))
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    return join_unique(prints.select("doc_id", "node"), named, "node", "doc_id").select("doc_id", "component_id")

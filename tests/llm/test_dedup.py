@@ -11,6 +11,7 @@ from quillon.llm.components import components
 from quillon.llm.decontamination import contamination
 from quillon.llm import textscan
 from quillon.llm.near_dedup import HALVES, SIXTHS, bits_apart, near_duplicates, near_links, similar_documents, simhash
+from quillon.llm.skew import join_unique
 from quillon.llm.substring_dedup import remove_repeated_spans
 
 DOCS = "doc_id long, text string, lang string, G string"
@@ -166,6 +167,13 @@ def test_components_of_a_long_chain_a_star_and_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_join_unique_splits_hot_keys_and_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr("quillon.llm.skew.ROWS", 10)
+    left = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS k")
+    out = join_unique(left, left.select("k").distinct().selectExpr("k", "k * 2 AS v").where("k <> 4"), "k", "id")
+    assert sorted((r.id, r.k, r.v) for r in out.collect()) == sorted((i, k, 2 * k) for i in range(1000) for k in [1 if i % 3 == 0 else i] if k != 4)
+
+
 def test_near_duplicates_odd_rows(spark):
     long = " ".join(f"word{i}" for i in range(300))
     rows = [(5, long, "x"), (3, long.upper(), "x"), (9, long + " more", "x"), (1, None, "x"), (2, " ", "x"), (None, "other text here now", "x"), (5, long, "x")]
