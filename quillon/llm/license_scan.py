@@ -10,22 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillon.llm import textscan as T
+from quillon.llm.license_texts import TEMPLATES
 
 #: Templates at most: their index travels with the tasks, so its size is bounded.
 MOST_TEMPLATES = 10_000
 
-# Common license notices.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit-notice", "Released under the MIT License."),
-    ("apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
-    ("gpl-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0."),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache-2.0-header", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("bsd-conditions", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-)
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _SEPARATOR = np.ones(256, dtype=bool)
@@ -72,6 +61,8 @@ class _Index:
         least = threshold * 0.5 / (2 + 0.5 * (1 - threshold))
         self.functions = T.multipliers(bands_needed(least, 1, certainty), 5)
         self.minima = {c: [np.array([T.mix(h * m).min() for h, s in zip(hashes, sizes, strict=True) if s == c]) for m in self.functions] for c in self.classes}
+        # Templates that share half of the smaller one's shingles are rivals for the same words.
+        self.rivals = [[j for j, u in enumerate(self.sets) if j != i and 2 * len(t & u) >= min(len(t), len(u))] for i, t in enumerate(self.sets)]
         self.members = {c: [i for i, s in enumerate(sizes) if s == c] for c in self.classes}
 
 
@@ -107,7 +98,12 @@ def _scan(index: _Index, column: pa.Array, width: int, threshold: float) -> list
         row = int(text[low])
         if share >= threshold and (share, -a) > (best.get((row, t), (0.0, 0, 0))[0], -best.get((row, t), (0.0, 0, 0))[1]):
             best[row, t] = (share, a, b - a)
-    return [(row, index.names[t], share, a - int(first[row]), n) for (row, t), (share, a, n) in sorted(best.items())]
+    out = []
+    for (row, t), (share, a, n) in sorted(best.items()):
+        better = [u for u in index.rivals[t] if (row, u) in best and (best[row, u][0], len(index.sets[u]), -u) > (share, len(index.sets[t]), -t)]
+        if not any(best[row, u][1] < a + n and a < best[row, u][1] + best[row, u][2] for u in better):
+            out.append((row, index.names[t], share, a - int(first[row]), n))
+    return out
 
 
 def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, width: int = 5, threshold: float = 0.8, certainty: float = 0.9999) -> DataFrame:
@@ -119,6 +115,10 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     window at the threshold shares a minimum with the template with probability ``certainty``; what shares one is
     verified on the words. Equal shares go to the first window.
 
+    Of rivals, templates that share half of the smaller one's shingles, whose windows overlap, only the best is
+    reported: by share, then by size, then the earlier one. So a text under one version of a license is not reported
+    under another as well.
+
     Null, empty and short texts hold nothing, nor do templates of fewer than ``width`` words match. Rows with equal or
     null ids are scanned each for itself; other columns are not read. Nothing is exchanged; a task holds one
     megabyte of texts, or one text, at a time.
