@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import ensure_checkpoint_dir
+from quillon.llm.skew import join_unique
 
 # The template's control strings.
 TURN, END, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
@@ -103,7 +104,7 @@ def _paths(chains: DataFrame) -> DataFrame:
     the runs, not with the turns, and of k runs each needs a conversation as long as the runs before it.
     """
     owners = chains.groupBy("key").agg(F.min(F.struct("conv_id")).alias("o"))
-    runs = chains.select("conv_id", "turn", "key").join(owners, "key").groupBy("conv_id", F.col("o.conv_id").alias("owner")).agg(F.max("turn").alias("last"))
+    runs = join_unique(chains.select("conv_id", "turn", "key"), owners, "key", "conv_id").groupBy("conv_id", F.col("o.conv_id").alias("owner")).agg(F.max("turn").alias("last"))
     lists = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("last", "owner"))).alias("runs"))
     named = lambda c: F.when(c.isNull(), F.lit("0" * 18)).otherwise(F.concat(F.lit("01"), F.lpad(F.hex(c), 16, "0")))
     before = F.transform(F.slice("runs", 1, F.size("runs") - 1), lambda r: F.concat(named(r["owner"]), _hex(r["last"])))
@@ -128,8 +129,8 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     Null role and text are empty. Rows with a null ``conv_id`` are one
     conversation. Other columns are not read. An empty table has no nodes. A conversation's turns pass through one
     task in sorted order and are not held together;
-    a turn that very many conversations share is one row, found by partial aggregates, and joins on its key are
-    skew joins that AQE splits. Stream places come from a range partitioning by path and one total per partition.
+    a turn that very many conversations share is one row, found by partial aggregates, and joins on its key deal
+    these conversations into parts. Stream places come from a range partitioning by path and one total per partition.
     """
     spark = conversations.sparkSession
     ensure_checkpoint_dir(spark)
@@ -162,7 +163,7 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     places = ranked.mapInArrow(place, "key string, token_start long")
     # A node's ancestors are read off one conversation that has it.
-    lines = chains.select("conv_id", "turn", "key", "n_tokens").join(places, "key").drop("key").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    lines = join_unique(chains.select("conv_id", "turn", "key", "n_tokens"), places, "key", "conv_id").drop("key").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
 
     def ancestors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         interval = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -192,7 +193,7 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Each conversation read back from the tree: ``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``."""
-    parts = members.join(nodes.select("key", "text", "loss_start", "loss_end"), "key")
+    parts = join_unique(members, nodes.select("key", "text", "loss_start", "loss_end"), "key", "conv_id")
     ordered = parts.select("conv_id", "turn", "text", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
