@@ -7,6 +7,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +75,14 @@ def bm25(index: DataFrame, n_docs: int, average_length: float, tokens: Sequence[
 def scored(docs: DataFrame, doc_id: str, field: str, tokens: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
     """(doc, score) over a table without postings: of texts only their length and the counts of the query's tokens are kept.
 
-    Two passes, one for the corpus and one for the scores; for many queries build the postings once instead.
+    One pass over the texts, whose counts serve the corpus and the scores; for many queries build the postings once instead.
     """
     wanted = sorted(set(tokens))
     if not wanted:
         return docs.select(F.col(doc_id).alias("doc"), F.lit(0.0).alias("score")).limit(0)
     named = F.array(*[F.lit(t) for t in wanted])
     found = docs.select(F.col(doc_id).alias("doc"), analyse(field).alias("t")).select("doc", F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains(named, x)).alias("hits"))
-    slim = found.select("doc", "dl", *[F.size(F.array_remove("hits", t)).alias(f"other{i}") for i, t in enumerate(wanted)], F.size("hits").alias("n_hits"))
+    slim = found.select("doc", "dl", *[F.size(F.array_remove("hits", t)).alias(f"other{i}") for i, t in enumerate(wanted)], F.size("hits").alias("n_hits")).persist(StorageLevel.DISK_ONLY)  # a few integers a text; lost parts are made anew
     tf = [F.col("n_hits") - F.col(f"other{i}") for i in range(len(wanted))]
     stats = slim.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(c > 0).alias(f"df{i}") for i, c in enumerate(tf)]).first()
     score = F.lit(0.0)

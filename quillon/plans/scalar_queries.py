@@ -275,3 +275,42 @@ def session_keys(spark, sf_dir):
     key = windows.session_key("a", "b")
     rows = table(spark, sf_dir, "documents").withColumns({"a": F.when(k == 0, F.col("source")).when(k == 1, " "), "b": F.when(k == 1, F.col("lang"))})
     return rows.select("doc_id", key.alias("session_key"), windows.relative_spread(F.array(n, F.least(n, F.lit(100.0)))).alias("spread"))
+
+
+_LINES = r"""
+    WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls, 'Law ' || doc_id AS title FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT doc_id, title, list_transform(ls, lambda x: trim(regexp_replace(CASE WHEN regexp_matches(x, '^[-*+]\s') THEN regexp_replace(x, '^[-*+]\s+', '') ELSE x END, '\s+', ' ', 'g'), ' ')) AS ls FROM d)"""
+
+
+def _markdown(spark, sf_dir):
+    """Blocks of Markdown around every whole text: a title, an introduction, and headings of two levels."""
+    from quillon.operators import normalise
+
+    d = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    source = F.concat(F.lit("# Law "), F.col("doc_id"), F.lit("\nintro  words\n## Part A\n"), F.col("text"), F.lit("\n### Part  B\n- one\n* two\n## Empty\n"))
+    return d.select("doc_id", source.alias("md")).select("doc_id", normalise.markdown_blocks(F.col("md")).alias("blocks"))
+
+
+@query(_LINES + """
+    SELECT doc_id, 0 AS ordinal, 'Part A' AS title, 1 AS depth, '' AS ancestors, sha256(array_to_string(list_concat(['intro words'], ls), chr(10) || chr(10))) AS content_sha FROM b
+    UNION ALL SELECT doc_id, 1, 'Part B', 2, 'Part A', sha256('one' || chr(10) || chr(10) || 'two') FROM b""")
+def markdown_sections(spark, sf_dir):
+    """Blocks and sections of Markdown; the introduction goes to the first section, an empty one does not count."""
+    from quillon.operators import normalise
+
+    out = normalise.sections(_markdown(spark, sf_dir), "doc_id")
+    return out.select("doc_id", "ordinal", "title", "depth", F.array_join("ancestors", "/").alias("ancestors"), F.sha2("content", 256).alias("content_sha"))
+
+
+@query(_LINES + r""",
+    t AS (SELECT doc_id, title, array_to_string(list_concat(list_concat(['intro words', 'Part A'], ls), ['Part B', 'one', 'two', 'Empty']), chr(10) || chr(10)) AS body, ls FROM b)
+    SELECT doc_id, sha256(title || chr(10) || chr(10) || body) AS text_sha, 'structured_html' AS flavour, sha256(trim(array_to_string(ls, chr(10)), ' ')) AS plain_sha FROM t""")
+def markdown_texts(spark, sf_dir):
+    """The body of blocks with the title in front, the flavour, and plain text as one paragraph."""
+    from quillon.operators import normalise
+
+    b = _markdown(spark, sf_dir)
+    title = F.filter("blocks", lambda x: x["type"] == "title")[0]["text"]
+    body = normalise.body_text(F.col("blocks"))
+    own = F.array_join(F.transform(F.slice("blocks", 4, F.size("blocks") - 7), lambda x: x["text"]), "\n")
+    return b.select("doc_id", F.sha2(normalise.full_text(title, body), 256).alias("text_sha"), normalise.flavour(F.col("blocks")).alias("flavour"), F.sha2(normalise.plain_blocks(own)[0]["text"], 256).alias("plain_sha"))
