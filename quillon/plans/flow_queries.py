@@ -137,7 +137,7 @@ def search_ranked(spark, sf_dir):
 
 @query(r"""
     SELECT doc_id, CASE WHEN instr(lower(coalesce(text, '')), 'license') > 0 THEN substr(text, greatest(1, instr(lower(text), 'license') - 50), 200) WHEN doc_id % 2 = 0 THEN 'regeste' WHEN text IS NOT NULL THEN substr(text, 1, 400) ELSE '' END AS fragment,
-        CASE WHEN contains(' ' || array_to_string(""" + _WORDS.format(c="text") + r""", ' ') || ' ', ' the license ') THEN 8.0 ELSE 0.0 END AS boost FROM documents""")
+        CASE WHEN contains(' ' || array_to_string(""" + _WORDS.format(c="text") + r""", ' ') || ' ', ' the license ') THEN 8.0 ELSE 0.0 END::DOUBLE AS boost FROM documents""")
 def search_fragments(spark, sf_dir):
     """The fragment around the first hit with its fallbacks, and the boost of a phrase."""
     d = spread(table(spark, sf_dir, "documents")).withColumn("title", F.col("text"))

@@ -166,7 +166,7 @@ def force_windows(spark, sf_dir):
 
 @query("""
     WITH c AS (SELECT doc_id, n_chars % 4 AS n FROM documents WHERE n_chars % 4 > 0)
-    SELECT doc_id, n AS n_citations, CASE WHEN n = 3 THEN 0 ELSE n END AS n_keys, CASE WHEN n = 3 THEN 0.78 ELSE 0.95 END AS confidence, CASE WHEN n = 2 THEN 'case_law_reference' ELSE 'statute_reference' END AS insight_type
+    SELECT doc_id, n AS n_citations, CASE WHEN n = 3 THEN 0 ELSE n END AS n_keys, CASE WHEN n = 3 THEN 0.78 ELSE 0.95 END::DOUBLE AS confidence, CASE WHEN n = 2 THEN 'case_law_reference' ELSE 'statute_reference' END AS insight_type
     FROM c WHERE CASE WHEN n = 3 THEN 0.78 ELSE 0.95 END >= 0.75""")
 def insights(spark, sf_dir):
     """Passages with citations become insights, of a confidence that keys raise."""

@@ -342,7 +342,7 @@ def test_history_by_steps_equals_history_from_a_log(spark):
 
 
 def test_scd2_steps_keep_the_history_of_all_orders(spark):
-    from quillon.plans.queries import QUERIES
+    from quillon.plans.registered import QUERIES
     from tests.conftest import MEDIUM
 
     keeps = [lambda k: k % 2 == 0, lambda k: k % 3 > 0, lambda k: k % 5 > 0]
