@@ -90,7 +90,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_chat_format, op4_media_matroska, op5_benchmark_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_language_id, op10_simhash_near_dedup)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.prefix_trie import ordered_turns, prefix_trie, rebuilt
+
+    return prefix_trie(*rebuilt(*ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.fill_in_middle import fill_in_middle, restore
+
+    out = fill_in_middle(_documents(spark, sf_dir))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(out), 256).alias("restored_sha256"))
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.odd_sketch import minhash_near_duplicates
+
+    return minhash_near_duplicates(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_chat_format, op4_media_matroska, op5_benchmark_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_language_id, op10_simhash_near_dedup, op11_prefix_trie, op12_fill_in_middle, op13_minhash_near_dedup)}
 
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
@@ -139,4 +158,69 @@ ORACLE: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 4 ELSE n + length(role) + 8 END)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_prefix_trie": r"""
+        WITH o AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+            FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (  -- CRC-32 of the decimal id, a byte and then a bit at a time
+            SELECT DISTINCT c, (4294967295 - list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::BIGINT) ELSE y // 2 END))) % 4 AS h
+            FROM o),
+        heads AS (
+            SELECT h.c, o.p, o.role, o.text FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.p <= h.h),
+        taken AS (SELECT h.c, h.h, count(heads.p) AS k FROM h LEFT JOIN heads USING (c) GROUP BY h.c, h.h),
+        turns AS (
+            SELECT c, p, role, text FROM heads
+            UNION ALL SELECT o.c, o.p - h + k, role, text FROM o JOIN taken USING (c) WHERE o.p > h),
+        per AS (SELECT taken.c, count(p) AS n, list(sha256(concat(length(role), ':', role, text)) ORDER BY p) FILTER (p IS NOT NULL) AS ds,
+                list(len(list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> ''))::BIGINT ORDER BY p) FILTER (p IS NOT NULL) AS ws
+            FROM taken LEFT JOIN turns USING (c) GROUP BY taken.c),
+        spot AS (
+            SELECT c, n, d, CASE WHEN d = 0 THEN '' ELSE sha256(array_to_string(ds[1:d], ' ')) END AS k, CASE WHEN d = 0 THEN 0 ELSE ws[d] END AS w
+            FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM per)),
+        node AS (
+            SELECT d, k, min(c) AS c, count(*) AS n_convs, max(w) AS w,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends
+            FROM spot GROUP BY d, k),
+        up AS (
+            SELECT DISTINCT x.d, x.k, y.d AS above, y.k AS above_k FROM spot x JOIN spot y ON x.c = y.c AND y.d <= x.d),
+        kids AS (SELECT above AS d, above_k AS k, count(*) AS n FROM up WHERE above = d - 1 GROUP BY 1, 2),
+        below AS (
+            SELECT u.above AS d, u.above_k AS k, sum((v.n_convs - 1) * v.w) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+            FROM up u JOIN node v ON v.d = u.d AND v.k = u.k LEFT JOIN kids ON kids.d = u.d AND kids.k = u.k GROUP BY 1, 2)
+        SELECT node.c::BIGINT AS conv_id, node.d::BIGINT AS depth, p.c::BIGINT AS parent_conv_id, node.n_convs::BIGINT AS n_convs,
+            coalesce(kids.n, 0)::BIGINT AS n_children, below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, node.ends AS ends_sha256
+        FROM node JOIN below ON below.d = node.d AND below.k = node.k LEFT JOIN kids ON kids.d = node.d AND kids.k = node.k
+            LEFT JOIN up ON up.d = node.d AND up.k = node.k AND up.above = node.d - 1 LEFT JOIN node p ON p.d = up.above AND p.k = up.above_k""",
+    "op12_fill_in_middle": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+') AS u,
+                sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        h AS (
+            SELECT *, len(u) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM t),
+        f AS (
+            SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+        c AS (
+            SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS z FROM f)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM c""",
+    "op13_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS k
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both_ AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        link AS (
+            SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 85 * (x.n + y.n - same)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+        least_id AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM w JOIN least_id USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }

@@ -1,4 +1,4 @@
-"""A join whose left side may hold very many rows of one key."""
+"""Rows of one key together, and a join whose left side may hold very many rows of one key."""
 
 from __future__ import annotations
 
@@ -22,3 +22,13 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFra
     dealt = left.join(hot, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0).cast("long"))).drop("__parts")
     given = right.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1).cast("long")) - 1))).drop("__parts")
     return dealt.join(given, [key, "__part"]).drop("__part")
+
+
+def together(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with rows of equal keys in one partition, by a hash of the keys.
+
+    ``repartition`` by the plain columns is left out by the optimizer where a join below deals by the same columns; if
+    that join becomes a broadcast join while it runs, its shuffle may be read without regard to keys. No operator
+    below deals by this hash, so the exchange always stays.
+    """
+    return df.repartition(F.xxhash64(*keys))

@@ -17,7 +17,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
 def test_all_numbers_are_registered():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
     assert "pipeline" in __spark_entry__.queries()
 
 
