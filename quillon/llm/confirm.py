@@ -23,7 +23,7 @@ from quillon.llm.skew import join_unique, together
 #: Up to so many documents under a key are compared by their bitmaps; under a larger key all are taken for candidates.
 KEY_ROWS = 2_000
 #: Families of up to so many members and shingles are one task's work; larger ones are dealt into parts.
-FAMILY_ROWS, FAMILY_SHINGLES = 2_000, 1 << 21
+FAMILY_ROWS, FAMILY_SHINGLES = 10_000, 1 << 22
 #: Members that the first round holds against a large family; each further round takes twice as many, up to the last number.
 PIVOTS, MOST_PIVOTS = 8, 512
 
@@ -203,11 +203,13 @@ class _Rule:
     def __init__(self, least: int, of: int, limit: int):
         self.least, self.of, self.limit = least, of, limit
 
-    def holds(self, a: np.ndarray, b: np.ndarray) -> bool:
-        if self.of * min(len(a), len(b)) < self.least * max(len(a), len(b)):
-            return False
-        same = len(np.intersect1d(a, b, assume_unique=True))
-        return self.of * same >= self.least * (len(a) + len(b) - same)
+    def holds(self, one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Whether it is, of one set and each of some others (none empty); all are looked up at once."""
+        sizes = np.fromiter(map(len, others), np.int64, len(others))
+        flat = np.concatenate(others)
+        there = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+        same = np.add.reduceat(there, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return self.of * same >= self.least * (len(one) + sizes - same)
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -219,16 +221,21 @@ def _whole_families(rule: _Rule):
         """Rows come sorted by family, the most central first."""
         for rows in _runs_of(batches, "family"):
             nodes, bits, sets = rows.column("node").to_pylist(), _bitmaps(rows.column("bits")), _sets(rows.column("shingles"))
-            forest, out = Forest(), []
+            out = []
             label = np.array(nodes, dtype=np.int64)  # the class of each member
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
             for x in range(len(nodes) - 1):
                 others = np.flatnonzero(label[x + 1 :] != label[x]) + x + 1
-                for y in others[_apart(bits[others], bits[x]) <= rule.limit].tolist():
-                    if label[y] != label[x] and rule.holds(sets[x], sets[y]):
-                        forest.join(nodes[x], nodes[y])
-                        out.append((nodes[x], nodes[y]))
-                        label[label == label[y]] = label[x]
-                if (label == label[0]).all():
+                fits = rule.of * np.minimum(size[others], size[x]) >= rule.least * np.maximum(size[others], size[x])
+                others = others[fits]
+                others = others[_apart(bits[others], bits[x]) <= rule.limit]
+                for low in range(0, len(others), 256):  # bounds the memory of one look-up
+                    part = others[low : low + 256]
+                    for y in part[rule.holds(sets[x], [sets[y] for y in part.tolist()])].tolist():
+                        if label[y] != label[x]:
+                            out.append((nodes[x], nodes[y]))
+                            label[label == label[y]] = label[x]
+                if (label == label[x]).all():
                     break
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
@@ -254,11 +261,12 @@ def _against_pivots(rule: _Rule):
                     continue
                 if table is None:
                     table = np.array([p[3] for p in pivots])
-                for k in np.flatnonzero(_apart(table, bits[i]) <= rule.limit).tolist():
-                    other, its_label, its, _ = pivots[k]
-                    if forest.root(label) != forest.root(its_label) and rule.holds(mine, its):
-                        forest.join(label, its_label)
-                        out.append((other, node))
+                near = [pivots[k] for k in np.flatnonzero(_apart(table, bits[i]) <= rule.limit).tolist()]
+                near = [p for p in near if forest.root(label) != forest.root(p[1])]
+                if near:
+                    for (other, its_label, _, _), linked in zip(near, rule.holds(mine, [p[2] for p in near]).tolist(), strict=True):
+                        if linked and forest.join(label, its_label):
+                            out.append((other, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return f
@@ -275,7 +283,7 @@ def _large_families(members: DataFrame, sizes: DataFrame, rule: _Rule) -> DataFr
     links = spark.createDataFrame([], "a long, b long")
     used = spark.createDataFrame([], "node long")
     labels = parted.select("node", F.col("node").alias("label"))
-    count = PIVOTS
+    count, few = PIVOTS, int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         waiting = parted.select("family", "node", "score").join(used, "node", "left_anti").join(labels, "node")
         open_ = waiting.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("family").checkpoint()
@@ -288,8 +296,8 @@ def _large_families(members: DataFrame, sizes: DataFrame, rule: _Rule) -> DataFr
         given = now.join(pivots, "node", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of_parts") - 1))).withColumn("kind", F.lit(0))
         rows = given.select(columns).unionByName(now.withColumn("kind", F.lit(1)).select(columns))
         found = together(rows, "family", "part").sortWithinPartitions("family", "part", "kind", "node").mapInArrow(_against_pivots(rule), "a long, b long")
-        links = links.unionByName(found).checkpoint()
-        used = used.unionByName(pivots).checkpoint()
+        links = links.unionByName(found).coalesce(few).checkpoint()
+        used = used.unionByName(pivots).coalesce(few).checkpoint()
         labels = parted.select("node").join(components(links).withColumnRenamed("root", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label")).checkpoint()
         count = min(2 * count, MOST_PIVOTS)
 

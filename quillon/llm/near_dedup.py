@@ -1,27 +1,30 @@
 """Near-duplicate groups: SimHash fingerprints linked through a multi-index hash table.
 
-Two rules: ``near_duplicates`` links fingerprints of 64 bits at up to four differing bits; ``similar_documents`` links
-documents whose sets of word shingles have, by their fingerprints, a similarity of 0.8 or more.
+Two rules: ``near_duplicates`` links fingerprints of 64 bits at up to four differing bits; ``similar_documents`` takes its
+candidates from fingerprints of more bits and links documents whose sets of word shingles are similar enough.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quillon.llm import textscan as T
-from quillon.llm.components import components, ensure_checkpoint_dir
-from quillon.llm.skew import join_unique
+from quillon.llm.components import ensure_checkpoint_dir
+from quillon.llm.confirm import Forest, named_groups, similar_groups
+from quillon.llm.skew import join_unique, together
 
-#: (word, lowest bit, bits) of the segments of a fingerprint; every value is found under all keys within one bit of each.
-HALVES = ((0, 0, 32), (0, 32, 32))
-SIXTHS = tuple((word, low, 28) for word in range(3) for low in (0, 32))
+#: (lowest bit, bits) of the segments of a fingerprint; every value is found under all keys within one bit of each.
+HALVES = ((0, 32), (32, 32))
+#: Keys with more rows than this are split by the quarters of the other half.
+KEY_ROWS = 1_000
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -61,75 +64,45 @@ def simhash(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return schema.mapInArrow(f, f"doc_id {schema.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 
 
-class _Forest:
-    """Union-find over the fingerprints that one task has seen linked."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = x = self.up.get(y, y)
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of each row of ``a`` from ``b``."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
-
-def _grow(nodes: np.ndarray, values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def _grow(values: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Links that join those of ``values`` within ``most`` bits: a spanning forest, found breadth first.
 
     Every member is compared once with those not yet reached, so a group of near copies takes about one pass.
     """
-    left = np.arange(len(nodes))
+    left = np.arange(len(values))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = _far(values[left], values[x]) <= most
+            near = np.bitwise_count(values[left] ^ values[x]) <= most
             if near.any():
-                found = left[near]
-                yield from ((int(nodes[x]), int(nodes[y])) for y in found)
-                queue += list(found)
+                yield from ((int(x), int(y)) for y in left[near])
+                queue += left[near].tolist()
                 left = left[~near]
 
 
-def _nodes(values: np.ndarray) -> np.ndarray:
-    """A name of 64 bits for each row: the value itself, or a hash of two words that is one-to-one in each."""
-    return (values[:, 0] if values.shape[1] == 1 else T.mix(values[:, 0]) ^ values[:, 1]).view(np.int64)
-
-
-def _verify(most: int, words: int):
+def _verify(most: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ascending by key; a key's rows may go on in the next batch."""
-        forest = _Forest()
-        keys, values = np.zeros(0, dtype=np.int64), np.zeros((0, words), dtype=np.uint64)
+        forest = Forest()
+        keys, values = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
         def links(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            nodes = _nodes(values)
             same = keys[1:] == keys[:-1]
             edge = np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))
             first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
             two = first[last - first == 2]
-            two = two[_far(values[two], values[two + 1]) <= most]
-            out = [x for x in zip(nodes[two].tolist(), nodes[two + 1].tolist(), strict=True) if forest.join(*x)]
+            two = two[np.bitwise_count((values[two] ^ values[two + 1]).view(np.uint64)) <= most]
+            out = [x for x in zip(values[two].tolist(), values[two + 1].tolist(), strict=True) if forest.join(*x)]
             for i, j in zip(first.tolist(), last.tolist(), strict=True):
                 if j - i > 2:
-                    out += [x for x in _grow(nodes[i:j], values[i:j], most) if forest.join(*x)]
+                    out += [x for a, b in _grow(values[i:j].view(np.uint64), most) if forest.join(*(x := (int(values[i + a]), int(values[i + b]))))]
             pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             keys = np.concatenate([keys, np.asarray(batch.column("key"))])
-            values = np.concatenate([values, np.stack([np.asarray(batch.column(f"f{i}")).view(np.uint64) for i in range(words)], axis=1)])
+            values = np.concatenate([values, np.asarray(batch.column("fingerprint"))])
             if len(keys) and keys[0] != keys[-1]:
                 cut = int(np.searchsorted(keys, keys[-1]))
                 yield links(keys[:cut], values[:cut])
@@ -139,33 +112,33 @@ def _verify(most: int, words: int):
     return f
 
 
-def near_links(fingerprints: DataFrame, values: Sequence[str], segments: Sequence[tuple[int, int, int]], most: int, verified: int) -> DataFrame:
-    """Links (a, b) of the rows (see ``_nodes``) whose first ``verified`` words differ in at most ``most`` bits and
-    any segment in at most two; the links connect just the nodes that chains of such pairs connect.
-
-    Multi-index hashing: every value enters the table of each segment under all keys within one bit of it, and is
-    looked up under the same keys, so two segments within two bits meet at a key midway. What meets is verified on
-    all bits of those words. Within a key, links form a spanning forest, not all pairs. ``values`` are columns of
-    64 bits; the first ``verified`` of them differ from row to row.
-    """
-    named = fingerprints.select(*[F.col(v).alias(f"f{i}") for i, v in enumerate(values)])
-
-    def keys(number: int, word: int, low: int, bits: int) -> Column:
-        segment = F.shiftrightunsigned(f"f{word}", low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(number << 32))
-        return F.transform(F.array(*[F.lit(m).cast("long") for m in (0, *(1 << i for i in range(bits)))]), lambda m: segment.bitwiseXOR(m))
+def _ball(value: Column, low: int, bits: int, number: int) -> Column:
+    """All keys within one bit of a segment of the value, with the segment's number above them."""
+    segment = F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(number << bits))
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in (0, *(1 << i for i in range(bits)))]), lambda m: segment.bitwiseXOR(m))
 
-    keyed = named.select(*[f"f{i}" for i in range(verified)], F.explode(F.concat(*[keys(i, *s) for i, s in enumerate(segments)])).alias("key"))
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(most, verified), "a long, b long")
 
+def near_links(fingerprints: DataFrame, most: int) -> DataFrame:
+    """Links (a, b) of ``fingerprint`` (64 bits, distinct) that connect just what chains of values within ``most`` bits
+    (five at most) connect.
 
-def _named(distinct: DataFrame, node: str, links: DataFrame) -> DataFrame:
-    """``node`` and ``component_id``: the least ``least`` that the links reach from each row of ``distinct``."""
-    roots = components(links).withColumnRenamed("node", node)
-    # Only linked nodes need their component's least id; a component may hold a third of them.
-    linked = distinct.join(roots, node)
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    renamed = join_unique(linked, ids, "root", node).select(node, "component_id", F.lit(True).alias("found"))
-    return distinct.join(renamed, node, "left").select(node, F.when(F.col("found"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    Multi-index hashing: of so many bits one half holds at most two. Every value enters the table of each half under all
+    keys within one bit of it, and is looked up under the same keys, so two halves within two bits meet at a key
+    midway. What meets is verified on all bits. A key with more than KEY_ROWS rows is split by the other half in the
+    same manner: one of that half's quarters differs in at most two bits. Within a key, links form a spanning forest.
+    """
+    if not 0 <= most <= 5:
+        raise ValueError("two halves within two bits each cover at most five differing bits")
+    value = F.col("fingerprint")
+    ball = F.concat(*[_ball(value, low, bits, i) for i, (low, bits) in enumerate(HALVES)])
+    keyed = fingerprints.select("fingerprint", F.explode(ball).alias("key"))
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS).select("key").checkpoint()
+    if not hot.isEmpty():
+        other = F.when(F.shiftright("key", 32) == 0, F.shiftrightunsigned(value, 32)).otherwise(value)  # the half that the key is not of
+        quarters = F.concat(*[_ball(other, low, 16, i) for i, low in enumerate((0, 16))])
+        split = keyed.join(hot, "key", "left_semi").select("fingerprint", "key", F.explode(quarters).alias("quarter")).select("fingerprint", F.xxhash64("key", "quarter").alias("key"))
+        keyed = keyed.join(hot, "key", "left_anti").select("fingerprint", "key").unionByName(split)
+    return together(keyed, "key").sortWithinPartitions("key").mapInArrow(_verify(most), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
@@ -176,85 +149,86 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     any other. A null ``doc_id`` takes no part in the least; a component of nulls only has a null id. Repeated
     rows come back as often as they came. An empty table gives an empty table.
     """
-    if not 0 <= most <= 5:
-        raise ValueError("two halves within two bits each cover at most five differing bits")
     ensure_checkpoint_dir(docs.sparkSession)
     prints = simhash(docs, shingle).checkpoint()
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    named = _named(distinct, "fingerprint", near_links(distinct, ["fingerprint"], HALVES, most, 1))
+    named = named_groups(distinct, "fingerprint", near_links(distinct.select("fingerprint"), most))
     return join_unique(prints, named, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
-
-
-def _set_fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
-    """Three words of SimHash for each text, over its distinct runs of ``shingle`` words; see ``similar_documents``."""
-    raw, offsets = T.text_bytes(column)
-    raw = _LOWER[raw]
-    starts, ends, first = T.words(raw, offsets)
-    hashes = T.word_hashes(raw, starts, ends, 10)
-    at, text = T.window_starts(first, shingle)
-    runs = T.window_hashes(hashes, shingle, 11)[at]
-    counts = np.diff(first)
-    brief = np.flatnonzero((counts > 0) & (counts < shingle))  # shorter texts are one shingle
-    if len(brief):
-        whole = [T.mix(np.array([hashes[first[i] : first[i + 1]] @ T.multipliers(int(counts[i]), 11)], dtype=np.uint64) ^ np.uint64(counts[i]))[0] for i in brief.tolist()]
-        runs, text = np.concatenate([runs, np.array(whole, dtype=np.uint64)]), np.concatenate([text, brief])
-    order = np.lexsort((runs, text))
-    runs, text = runs[order], text[order]
-    new = np.ones(len(runs), dtype=bool)
-    new[1:] = (runs[1:] != runs[:-1]) | (text[1:] != text[:-1])
-    runs, text = runs[new], text[new]
-    out = np.zeros((len(counts), 3), dtype=np.uint64)
-    for word, odd in enumerate(T.multipliers(3, 12)):
-        other = T.mix(runs * odd)
-        ones = np.zeros((len(counts), 64), dtype=np.int64)
-        for low in range(0, len(other), 1 << 16):  # bounds the memory that unpacked bits take
+#: Bits of a segment that may be flipped, its least certain ones, and how many of them at a time.
+WEAK, FLIPS = 4, 2
+#: The share of pairs at the threshold that has to meet in some segment.
+RECALL = 0.98
+
+
+@cache
+def segments_needed(width: int, similarity: float, recall: float = RECALL) -> int:
+    """Segments of ``width`` bits that two sets of this similarity need to meet in one with probability ``recall``.
+
+    A segment's chance to meet is counted over 40,000 pairs of made segments, whose bits are signs of correlated normal sums.
+    """
+    rng = np.random.default_rng(21)
+    shared = 2 * similarity / (1 + similarity)  # the correlation of both sets' sums of random signs
+    x, a, b = (rng.normal(size=(40_000, width)) for _ in range(3))
+    a, b = math.sqrt(shared) * x + math.sqrt(1 - shared) * a, math.sqrt(shared) * x + math.sqrt(1 - shared) * b
+    differ = (a > 0) ^ (b > 0)
+    weak_a, weak_b = (np.argsort(np.argsort(np.abs(v), axis=1), axis=1) < WEAK for v in (a, b))
+    of_a, of_b, of_both = ((differ & w).sum(axis=1) for w in (weak_a & ~weak_b, weak_b & ~weak_a, weak_a & weak_b))
+    meets = ~(differ & ~weak_a & ~weak_b).any(axis=1) & (of_a <= FLIPS) & (of_b <= FLIPS) & (of_a + of_b + of_both <= 2 * FLIPS)
+    return math.ceil(math.log(1 - recall) / math.log(1 - meets.mean()))
+
+
+def bits_apart(similarity: float, bits: int, deviations: float = 5.2) -> int:
+    """The differing bits to be expected of two sets of this Jaccard similarity (those of the angle between them), and some standard deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
+
+def set_sums(runs: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
+    """For each set (none empty) and each of 64 bits of ``words`` hashes: in how many more shingles it is set than not."""
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), words, 64), dtype=np.int32)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    for word, odd in enumerate(T.multipliers(words, 12)):
+        for low in range(0, len(runs), 1 << 16):  # bounds the memory that unpacked bits take
             part = text[low : low + (1 << 16)]
             heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            bits = np.unpackbits(other[low : low + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones[part[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
-        over = ones * 2 > np.bincount(text, minlength=len(counts))[:, None]
-        out[:, word] = np.packbits(over, axis=1).view(">u8").ravel()
-    return out
+            bits = np.unpackbits(T.mix(runs[low : low + (1 << 16)] * odd).view(np.uint8).reshape(-1, 8), axis=1)
+            out[part[heads], word] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+    return 2 * out.reshape(len(sizes), -1) - sizes[:, None].astype(np.int32)
 
 
-def bits_apart(similarity: float, bits: int = 128) -> int:
-    """The differing bits to be expected of two sets of this Jaccard similarity (those of the angle between them), and one standard deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+def segment_keys(sums: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """All keys of each segment: its bits with up to FLIPS of its WEAK least certain ones flipped, and its number."""
+    parts = sums[:, : width * segments].reshape(-1, segments, width)
+    powers = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    base = ((parts > 0) * powers).sum(axis=2, dtype=np.uint64)
+    weak = powers[np.argsort(np.abs(parts), axis=2, kind="stable")[:, :, :WEAK]]
+    flips = [c for k in range(FLIPS + 1) for c in combinations(range(WEAK), k)]
+    keys = np.stack([base ^ weak[:, :, list(c)].sum(axis=2, dtype=np.uint64) for c in flips], axis=2)
+    return T.mix(keys * np.uint64(0x9E3779B97F4A7C15) + np.arange(segments, dtype=np.uint64)[:, None]).reshape(len(sums), segments * len(flips))
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, least: int = 80, of: int = 100) -> DataFrame:
     """``doc_id`` and ``component_id``, the least ``doc_id`` that chains of similar documents reach.
 
-    Two documents are similar if the SimHash fingerprints of their sets of ``shingle`` words in a row differ, of 128
-    bits, in no more than sets of that Jaccard similarity do within a standard deviation (23 at 0.8), and in at most
-    two bits of any of six segments of 28 bits, two of which come from a third word. All such pairs are found.
-    What share of pairs that is at which similarity stands in the README.
+    Two documents are similar if the intersection of their sets of ``shingle`` words in a row is at least ``least`` / ``of``
+    of the union; every link is confirmed on whole sets. Candidates come from multi-index hashing of SimHash bits over
+    the sets: each segment is entered in its table, and looked up, under all keys in the ball around it that flipping
+    up to FLIPS of its least certain bits spans. The segments are as long as the number of documents asks for, six bits
+    longer than its logarithm, and so many that a pair at the threshold meets with probability RECALL; the README has
+    the shares found by measurement. More alike pairs are found the more surely.
 
     Words and the treatment of null, empty and short texts, null ids, repeated rows and empty tables are those of
-    ``near_duplicates``, but for repeated shingles, which count once. Documents with equal 128 bits are one.
+    ``near_duplicates``, but repeated shingles count once, and texts without words are linked with nothing.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    schema = docs.select("doc_id", "text")
+    width = max(24, math.ceil(math.log2(max(1, docs.count()))) + 6)
+    segments = segments_needed(width, least / of)
+    words = -(-width * segments // 64)
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.cumsum(np.asarray(pa.compute.binary_length(batch.column("text")).fill_null(0)).astype(np.int64)) if batch.num_rows else np.zeros(0)
-            low = 0
-            while low < batch.num_rows:  # about a megabyte of texts at a time, or one text
-                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + (1 << 20))))
-                part = batch.slice(low, high - low)
-                low = high
-                values = _set_fingerprints(part.column("text"), shingle)
-                columns = [pa.array(_nodes(values[:, :2])), *[pa.array(values[:, i].view(np.int64)) for i in range(3)]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "node", "f0", "f1", "f2"])
-
-    out = StructType([schema.schema["doc_id"], *[StructField(c, LongType()) for c in ("node", "f0", "f1", "f2")]])
-    prints = schema.mapInArrow(f, out).checkpoint()
-    distinct = prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("f0", "f1", "f2")])
-    named = _named(distinct.select("node", "least"), "node", near_links(distinct, ["f0", "f1", "f2"], SIXTHS, bits_apart(similarity), 2))
-    return join_unique(prints.select("doc_id", "node"), named, "node", "doc_id").select("doc_id", "component_id")
+    def signature(runs: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums = set_sums(runs, offsets, words)
+        return segment_keys(sums, width, segments), np.packbits(sums > 0, axis=1)
+
+    return similar_groups(docs, shingle, least, of, signature, bits_apart(least / of, 64 * words)).select("doc_id", "component_id")

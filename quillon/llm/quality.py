@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -142,9 +142,12 @@ def _fit(words: dict[bytes, int], vectors: np.ndarray, x: np.ndarray, labels: np
     return model
 
 
-def learn_quality(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def learn_quality(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, least: int = 2) -> Model | None:
     """A model from ``doc_id``, ``text`` and ``label`` (0 or 1) of at most about ``sample`` rows, chosen by a hash of the id.
 
+    Words that occur at least ``least`` times in the sample, the ``vocabulary`` most frequent ones, have a vector each; all
+    others share SHARED vectors by a hash, in learning and in scoring alike. Both bound the model, not what is scored.
+
     Null labels are passed over; null texts are empty; rows that repeat or share an id are learned from each; other
     columns are not read. Without rows of both labels there is no model.
     """
@@ -154,10 +157,10 @@ def learn_quality(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     ensure_checkpoint_dir(docs.sparkSession)
     chosen = chosen.select("doc_id", F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text")).checkpoint()
     words = chosen.select(F.explode(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).alias("w"))
-    counted = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(VOCABULARY).select("w").collect()
+    counted = words.groupBy("w").count().where(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(vocabulary).select("w").collect()
     index = {r.w.encode(): i for i, r in enumerate(counted)}
     own = own_vectors(index)
-    shared = docs.sparkSession.sparkContext.broadcast((index, own))  # bounded by VOCABULARY
+    shared = docs.sparkSession.sparkContext.broadcast((index, own))  # bounded by ``vocabulary``
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, own = shared.value
@@ -175,7 +178,7 @@ def learn_quality(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     for r in sums:
         total[r.n] += np.array(r.v, dtype=np.float32)
     unit = total / np.maximum(1e-6, np.linalg.norm(total, axis=1, keepdims=True))
-    learned = docs.sparkSession.sparkContext.broadcast((index, unit))  # bounded by VOCABULARY
+    learned = docs.sparkSession.sparkContext.broadcast((index, unit))  # bounded by ``vocabulary``
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooler = _Pooler(*learned.value)
@@ -200,10 +203,11 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     keep = docs.select(*others(docs, ("score", "predicted")))
     plain = plainly_named(keep, "text")
     schema = plain.withColumn("score", F.lit(0.0)).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY
+    # Plain values: a class would have to be imported by the workers, which need not have this package.
+    shared = docs.sparkSession.sparkContext.broadcast(model and tuple(getattr(model, f.name) for f in fields(model)))  # bounded by the fit's vocabulary
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value) if shared.value else None
         pooler = _Pooler(model.words, model.vectors) if model else None
         for batch in batches:
             scores = np.full(batch.num_rows, 0.5)

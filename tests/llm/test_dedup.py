@@ -2,15 +2,14 @@
 
 import random
 
-import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
 from quillon.llm.decontamination import contamination
-from quillon.llm import textscan
-from quillon.llm.near_dedup import HALVES, SIXTHS, bits_apart, near_duplicates, near_links, similar_documents, simhash
+from quillon.llm import near_dedup
+from quillon.llm.near_dedup import near_duplicates, near_links, segments_needed, similar_documents, simhash
 from quillon.llm.skew import join_unique
 from quillon.llm.substring_dedup import remove_repeated_spans
 
@@ -139,9 +138,11 @@ def reachable(values, most):
     return {v: root(v) for v in values}
 
 
-def test_links_join_what_chains_of_near_values_join(spark):
+@pytest.mark.parametrize("key_rows", [1000, 2])
+def test_links_join_what_chains_of_near_values_join(spark, monkeypatch, key_rows):
+    monkeypatch.setattr(near_dedup, "KEY_ROWS", key_rows)
     rng = random.Random(5)
-    values = {0, 2**64 - 1, 2**63}
+    values = {0, 2**64 - 1, 2**63, *(rng.getrandbits(32) for _ in range(40)), *(rng.getrandbits(32) << 32 | 5 for _ in range(40))}
     for _ in range(30):
         x = rng.getrandbits(64)
         for _ in range(rng.randint(1, 8)):
@@ -150,7 +151,7 @@ def test_links_join_what_chains_of_near_values_join(spark):
                 x ^= 1 << b
     values = sorted(values)
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    links = near_links(spark.createDataFrame([(v,) for v in signed], "fingerprint long"), ["fingerprint"], HALVES, 4, 1)
+    links = near_links(spark.createDataFrame([(v,) for v in signed], "fingerprint long"), 4)
     roots = {r.node: r.root for r in components(links).collect()}
     want = reachable(values, 4)
     groups, expected = {}, {}
@@ -200,36 +201,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len(set(least.values())) < len(set(prints.values()))
 
 
-def set_print_plainly(text):
-    """Three words of 64 bits over the set of 5-word shingles; the hashes of words are the operator's own."""
-    w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
-    if not w:
-        return 0
-    hashes = [int(textscan.word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]), 10)[0]) for x in w]
-    n = min(5, len(w))
-    odd = textscan.multipliers(n, 11).tolist()
-    one = lambda x: int(textscan.mix(np.array([x % 2**64], dtype=np.uint64))[0])
-    runs = {one(sum(h * m for h, m in zip(hashes[i : i + n], odd, strict=True)) % 2**64 ^ (n if n < 5 else 0)) for i in range(len(w) - n + 1)}
-    bits = lambda rs: sum(1 << i for i in range(64) if 2 * sum(r >> i & 1 for r in rs) > len(runs))
-    return sum(bits([one(r * m) for r in runs]) << 64 * k for k, m in enumerate(textscan.multipliers(3, 12).tolist()))
-
-
-def similar_plainly(rows):
-    """The least id of each document's component, by comparing all pairs of fingerprints."""
-    prints = {i: set_print_plainly(t) for i, t in rows}
-    up = {i: i for i in prints}
+def similar_plainly(rows, shingle=5, least=80):
+    """The least id of each document's component, by comparing all pairs of shingle sets."""
+    sets = {}
+    for i, t in rows:
+        w = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} or ({tuple(w)} if w else set())
+    up = {i: i for i in sets}
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for a in sorted(prints):
-        for b in sorted(prints):
-            x = prints[a] ^ prints[b]
-            if a < b and (x & (1 << 128) - 1).bit_count() <= 23 and any((x >> 64 * w + low & (1 << n) - 1).bit_count() <= 2 for w, low, n in SIXTHS):
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
                 up[max(root(a), root(b))] = min(root(a), root(b))
-    return {i: root(i) for i in prints}
+    return {i: root(i) for i in sets}
+
+
+def changed(rng, base, share):
+    return [f"e{rng.randrange(10**6)}" if rng.random() < share else w for w in base]
 
 
 def test_similar_documents_equal_brute_force(spark):
@@ -237,31 +230,50 @@ def test_similar_documents_equal_brute_force(spark):
     rows = [(900, None), (901, ""), (902, "A b"), (903, "a B"), (904, "b a")]
     for i in range(100):
         base = (rng.choice(rows)[1] or "z").split() if i > 5 and rng.random() < 0.6 else [f"v{rng.randrange(3000)}" for _ in range(rng.choice([3, 40, 200, 700]))]
-        for _ in range(rng.randint(0, 4)):
-            base = [*base, "x"]
-            base[rng.randrange(len(base))] = f"e{rng.randrange(50)}"
-        rows.append((i, " ".join(base)))
+        rows.append((i, " ".join(changed(rng, base, rng.choice([0, 0.004, 0.01, 0.05])))))
     rows.append((999, " ".join(f"v{k}" for k in range(50_000))))
     got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = similar_plainly(rows)
     assert {r.doc_id: r.component_id for r in got} == want
-    assert want[901] == 900 and want[903] == want[902] != want[904] and len(set(want.values())) < 95
+    assert want[901] == 901 and want[903] == want[902] != want[904] and len(set(want.values())) < 95
 
 
-def test_similar_documents_catches_and_spares(spark):
-    """Texts with one word in eighty changed are similar; texts that share a third of their words are not, nor is a phrase that fills texts."""
-    assert bits_apart(0.8) == 23
+def test_similar_documents_recall_at_the_threshold_and_no_link_below(spark):
+    """Pairs of 300 words with ever more changed: of those of similarity 0.8 to 0.83 at least 0.95 are linked, of those below none."""
     rng = random.Random(13)
     rows = []
+    for i in range(900):
+        base = [f"v{rng.randrange(50_000)}" for _ in range(300)]
+        rows += [(i, " ".join(base)), (10_000 + i, " ".join(changed(rng, base, rng.choice([0.018, 0.024, 0.03]))))]
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    text = dict(rows)
+
+    def similarity(i):
+        a, b = ({tuple(w[k : k + 5]) for k in range(296)} for w in (text[i].split(), text[10_000 + i].split()))
+        return len(a & b) / len(a | b)
+
+    alike = {i: similarity(i) for i in range(900)}
+    near = [i for i, s in alike.items() if 0.8 <= s < 0.83]
+    assert len(near) > 60 and sum(got[10_000 + i] == i for i in near) >= 0.95 * len(near)
+    assert all(got[10_000 + i] == 10_000 + i for i, s in alike.items() if s < 0.8)
+    above = [i for i, s in alike.items() if s >= 0.83]
+    assert sum(got[10_000 + i] == i for i in above) >= 0.98 * len(above)
+
+
+def test_segments_grow_with_their_width():
+    assert 5 < segments_needed(24, 0.8) < segments_needed(30, 0.8) < segments_needed(40, 0.8) < 90
+
+
+def test_similar_documents_spare_shared_halves_and_phrases(spark):
+    rng = random.Random(14)
+    rows = []
     for i in range(60):
         base = [f"v{rng.randrange(5000)}" for _ in range(300)]
         rows.append((i, " ".join(base)))
-        rows.append((1000 + i, " ".join(w if k % 80 else f"n{i}" for k, w in enumerate(base))))
         rows.append((2000 + i, " ".join([*base[:100], *[f"o{rng.randrange(5000)}" for _ in range(200)]])))
         rows.append((3000 + i, " ".join([*(["the same phrase over and over"] * 60), *[f"p{rng.randrange(5000)}" for _ in range(120)]])))
-    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[1000 + i] == i for i in range(60)) >= 54
-    assert all(got[k + i] == k + i for i in range(60) for k in (0, 2000, 3000))
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc_id == r.component_id for r in got)
 
 
 def contaminated_by_brute_force(docs, items, window):

@@ -76,6 +76,26 @@ def test_near_dedup_stage_treats_rows_without_an_id_like_others(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, text["a"]), (None, text["b"]), (None, text["c"]), (5, text["d"]), (5, text["d"])], key=str)
 
 
+def test_near_dedup_stage_has_a_rule_for_ties_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text, lang, "s", i % 3) for i, lang in enumerate(["en", "de", "fr", "en", "de", "fr"])] + [(2**63 - 5, "last id", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars int")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    got = [sorted(stage(spark, docs.repartition(n), SMALL).collect(), key=str) for n in (1, 3, 5)]
+    assert len(got[0]) == 2 and got[0] == got[1] == got[2]
+
+
+def test_substring_stage_cuts_passages_of_rows_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, f"{passage} own a"), (7, passage), (None, f"{passage} own b"), (None, f"{passage} own b"), (None, None), (None, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id int, text string, lang string, `a.b` string, n_chars int").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["substring_dedup"](spark, docs, SMALL)
+    assert got.schema == docs.schema
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id is not None) == [(7, passage)]
+    rest = sorted(r.text or "" for r in got.collect() if r.doc_id is None)
+    # Of the two equal rows the first loses what stands in others' texts, the second also what it shares with the first.
+    assert rest[0] == "" and rest[-1] == "short" and sum(passage in t for t in rest) == 0 and sum(len(t) for t in rest) < 40
+
+
 def test_language_stage_without_labels_still_drops_texts_without_letters(spark):
     docs = spark.createDataFrame([(1, "ab", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SMALL).collect()] == [1]
