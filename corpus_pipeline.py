@@ -6,10 +6,10 @@ packed pieces. The driver of a run may write each stage's result as Parquet and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.columns import small_batches
+from quillon.llm.columns import column, identified, small_batches
 from quillon.llm.components import ensure_checkpoint_dir
 from quillon.llm.decontamination import contamination
 from quillon.llm.language_id import identify, learn_profiles
@@ -27,27 +27,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs, profiles).where("lang_pred <> 'und'").select(*docs.columns)
 
 
+def _as_before(df: DataFrame, made: Column, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, made ids null again."""
+    own = F.when(~made, F.col("doc_id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return df.select(*[own if c == "doc_id" else column(c) for c in docs.columns])
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents of similar shingle sets the one with the least id stays; rows that share an id are one document.
 
-    A row without an id is a document of its own that gives way to any with an id; of such rows with equal texts one is kept.
+    A row without an id is a document of its own that gives way to any with an id, and to one whose hash of all columns
+    is less; of equal rows without an id one stays.
     """
     small_batches(spark)
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("text"), 2)))
-    stay = similar_documents(docs.select(own.alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stay, own == F.col("stays"), "left_semi").select(*docs.columns)
-    if docs.where("doc_id IS NULL").isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").unionByName(kept.where("doc_id IS NULL").dropDuplicates(["text"]))
+    ids, made = identified(docs)
+    stay = similar_documents(ids.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    return _as_before(ids.join(stay, "doc_id", "left_semi"), made, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages from all but the first document that has them; documents stay, perhaps with empty text."""
+    """Cuts repeated passages from all but the first document that has them; documents stay, perhaps with empty text.
+
+    Rows without an id come after all others, by a hash of all columns; of equal ones the first keeps its passages.
+    """
     small_batches(spark)
-    out = remove_repeated_spans(docs, normalise=False)
+    ids, made = identified(docs)
+    out = remove_repeated_spans(ids, normalise=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return _as_before(out, made, docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
