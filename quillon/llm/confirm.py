@@ -161,17 +161,17 @@ def _runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def _forests(limit: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the rows of each key, links of bitmaps within ``limit`` bits: a spanning forest, found breadth first."""
+        """Of the rows of each key, sorted by node, what chains of bitmaps within ``limit`` bits join: links to its least node."""
         forest = Forest()
         for rows in _runs_of(batches, "key"):
             nodes, bits = rows.column("node").to_pylist(), _bitmaps(rows.column("bits"))
             left, out = np.arange(len(nodes)), []
             while len(left) > 1:
-                queue, left = [left[0]], left[1:]
+                queue, least, left = [left[0]], nodes[left[0]], left[1:]
                 while queue and len(left):
                     x = queue.pop()
                     near = _apart(bits[left], bits[x]) <= limit
-                    out += [(nodes[x], nodes[y]) for y in left[near].tolist()]
+                    out += [(least, nodes[y]) for y in left[near].tolist()]  # the same for many keys of near copies
                     queue += left[near].tolist()
                     left = left[~near]
             out = [x for x in out if forest.join(*x)]
@@ -180,16 +180,49 @@ def _forests(limit: int):
     return f
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and node those whose key has several: ``node``, ``key``, ``met`` (the key's rows) and ``least`` (its least node).
+
+    Beyond KEY_ROWS rows a key's further rows are passed on as they come, with one more than that as their number.
+    """
+
+    def out(key: int, nodes: list[int], met: int, least: int) -> pa.RecordBatch:
+        n = len(nodes)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.full(n, key)), pa.array(np.full(n, met)), pa.array(np.full(n, least))], ["node", "key", "met", "least"])
+
+    held_key, held, least, hot = None, [], None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, nodes = np.asarray(batch.column("key")), np.asarray(batch.column("node"))
+        heads = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        ends = np.append(heads[1:], len(keys))
+        several = (ends - heads > 1) | (heads == 0) | (ends == len(keys))  # others are alone within the batch
+        made = []
+        for a, b in zip(heads[several].tolist(), ends[several].tolist(), strict=True):
+            if keys[a] != held_key:
+                if len(held) > 1 and not hot:
+                    made.append(out(held_key, held, len(held), least))
+                held_key, held, least, hot = int(keys[a]), [], int(nodes[a]), False
+            held += nodes[a:b].tolist()
+            if hot or len(held) > KEY_ROWS:
+                made.append(out(held_key, held, KEY_ROWS + 1, least))
+                held, hot = [], True
+        if made:
+            yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+    if len(held) > 1 and not hot:
+        yield out(held_key, held, len(held), least)
+
+
 def families(distinct: DataFrame, limit: int) -> DataFrame:
     """``node``, ``family`` and ``score`` of every row of ``distinct`` (``node``, ``keys``, ``bits``) that is any other's candidate.
 
     Candidates share a key and differ in at most ``limit`` bits; of a key with more than KEY_ROWS rows all are taken for
     candidates of its least node. ``score`` counts the rows met under all keys: of near copies of one text that text
-    has the most. The keys' rows are counted by partial aggregates, and hot keys' joins are left to AQE to split.
+    has the most. Keys cross the network once; what is alone under its key ends there.
     """
     keyed = distinct.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("met"), F.min("node").alias("least")).where("met > 1")
-    near = keyed.join(shared, "key").checkpoint()
+    near = together(keyed, "key").sortWithinPartitions("key", "node").mapInArrow(_met, "node long, key long, met long, least long").checkpoint()
     scores = near.groupBy("node").agg(F.sum("met").alias("score"))
     few = near.where(F.col("met") <= KEY_ROWS).select("node", "key").join(distinct.select("node", "bits"), "node")
     links = together(few, "key").sortWithinPartitions("key", "node").mapInArrow(_forests(limit), "a long, b long")

@@ -8,7 +8,7 @@ share is one entry of the first join; pairs arise only where a whole window occu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,9 +78,16 @@ def _run(ws: Column, at: Column, n: Column) -> Column:
     return F.array_join(F.slice(ws, at + 1, n), " ")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
+#: What is made of a document's items unless other columns are asked for.
+ITEM_IDS: Mapping[str, Callable[[Column], Column]] = {"item_ids": lambda ids: ids}
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5, lists: Mapping[str, Callable[[Column], Column]] = ITEM_IDS) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``item_ids`` (strings, ascending) and ``contaminated`` added.
 
+    ``lists`` names other columns to be made of the array of ids in place of ``item_ids``. They are made once for each
+    different list, not for each document: items that share windows and documents that share hits are never paired.
+
     ``docs`` has ``doc_id`` and ``text``, ``items`` has ``item_id`` and ``text``. A window is ``window`` successive
     words of an item; an item of fewer words, but not none, is one window. ``n_hit`` counts the document's words
     inside any occurrence of a window, ``item_ids`` lists the items of which a window occurs.
@@ -129,16 +136,22 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     else:  # the words do not travel with every gram
         places = met.select("k", "l", "m", "h").join(item_marks, "h", "left_semi").groupBy("k", "l").agg(F.collect_set("m").alias("ms"))
         near = text_words.join(places, ["k", "l"]).select("k", "l", F.explode(F.flatten(F.transform("ms", lambda m: around(F.col("ws"), m)))).alias("x"))
-    windows = item_windows.select("w").distinct()
-    windows = F.broadcast(windows) if _small(windows, F.octet_length("w")) else windows
-    spans = near.select("k", "l", "x.*").join(windows, "w", "left_semi").distinct().checkpoint()
-    listed = spans.select("k", "l", "w").distinct().join(item_windows, "w").select("k", "l", F.lit(None).cast("struct<at:int,n:int>").alias("span"), "item")
-    hits = spans.select("k", "l", F.struct("at", "n").alias("span"), F.lit(None).cast("string").alias("item")).unionByName(listed).groupBy("k", "l").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    # Windows of the same items name one list of them; its digest travels in place of the items.
+    grouped = item_windows.groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("of", F.sha2(F.to_json("items"), 256)).checkpoint()
+    known_lists = grouped.select("of", "items").dropDuplicates(["of"])
+    windows = grouped.select("w", "of")
+    windows = F.broadcast(windows) if _small(windows, F.octet_length("w") + 64) else windows
+    spans = near.select("k", "l", "x.*").join(windows, "w").select("k", "l", "at", "n", "of").distinct().checkpoint()
+    hits = spans.groupBy("k", "l").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_sort(F.collect_set("of")).alias("of")).withColumn("lists", F.sha2(F.array_join("of", ","), 256))
+    each = hits.select("lists", "of").dropDuplicates(["lists"]).select("lists", F.explode("of").alias("of")).join(known_lists, "of")
+    merged = each.groupBy("lists").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("ids"))
+    made = merged.select("lists", *[f(F.col("ids")).alias(f"__{c}") for c, f in lists.items()])
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
-    added = ("n_words", "n_hit", "item_ids", "contaminated")
+    added = ("n_words", "n_hit", *lists, "contaminated")
     k, l, n_words, n_hit, found = fresh(docs, "k", "l", "n", "hit", "found")
-    hits = hits.select(F.col("k").alias(k), F.col("l").alias(l), F.size(covered).cast("long").alias(n_hit), F.col("items").alias(found))
+    hits = hits.select(F.col("k").alias(k), F.col("l").alias(l), F.size(covered).cast("long").alias(n_hit), "lists").join(made, "lists").select(k, l, n_hit, F.struct(*[F.col(f"__{c}").alias(c) for c in lists]).alias(found))
     plain = docs.select(*others(docs, added), key(0).alias(k), key(1).alias(l), F.size(words("text")).cast("long").alias(n_words))
     hit = F.coalesce(F.col(n_hit), F.lit(0).cast("long"))
-    out = [hit.alias("n_hit"), F.coalesce(F.col(found), F.array().cast("array<string>")).alias("item_ids"), (hit > 0).alias("contaminated")]
+    nothing = F.array().cast("array<string>")
+    out = [hit.alias("n_hit"), *[F.coalesce(F.col(found)[c], f(nothing)).alias(c) for c, f in lists.items()], (hit > 0).alias("contaminated")]
     return plain.join(hits, [k, l], "left").select(*others(docs, added), F.col(n_words).alias("n_words"), *out)

@@ -1,4 +1,6 @@
-"""Public license texts, headers and notices that the license scan looks for."""
+"""Public license texts, headers and notices that the license scan looks for; whole bodies are files in the folder ``licenses``."""
+
+from importlib import resources
 
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
@@ -8,7 +10,7 @@ _BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
 _FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this program."
 
 # Wordings as their owners publish them, in one line each.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+_SHORT: tuple[tuple[str, str], ...] = (
     ("mit-notice", "Released under the MIT License."),
     ("apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
     ("gpl-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
@@ -37,3 +39,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
     ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
 )
+
+
+def bodies() -> tuple[tuple[str, str], ...]:
+    """(name, text) of each whole license body, by name."""
+    files = sorted((f for f in resources.files(__package__).joinpath("licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return tuple((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files)
+
+
+TEMPLATES: tuple[tuple[str, str], ...] = (*_SHORT, *bodies())

@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
 #: Bits of a segment that may be flipped, its least certain ones, and how many of them at a time.
 WEAK, FLIPS = 4, 2
 #: The share of pairs at the threshold that has to meet in some segment.
-RECALL = 0.98
+RECALL = 0.97
 
 
 @cache
@@ -216,14 +216,14 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: int = 80, of: in
     Two documents are similar if the intersection of their sets of ``shingle`` words in a row is at least ``least`` / ``of``
     of the union; every link is confirmed on whole sets. Candidates come from multi-index hashing of SimHash bits over
     the sets: each segment is entered in its table, and looked up, under all keys in the ball around it that flipping
-    up to FLIPS of its least certain bits spans. The segments are as long as the number of documents asks for, six bits
+    up to FLIPS of its least certain bits spans. The segments are as long as the number of documents asks for, eight bits
     longer than its logarithm, and so many that a pair at the threshold meets with probability RECALL; the README has
     the shares found by measurement. More alike pairs are found the more surely.
 
     Words and the treatment of null, empty and short texts, null ids, repeated rows and empty tables are those of
     ``near_duplicates``, but repeated shingles count once, and texts without words are linked with nothing.
     """
-    width = max(24, math.ceil(math.log2(max(1, docs.count()))) + 6)
+    width = max(24, math.ceil(math.log2(max(1, docs.count()))) + 8)
     segments = segments_needed(width, least / of)
     words = -(-width * segments // 64)
 

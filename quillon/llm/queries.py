@@ -48,8 +48,9 @@ def op4_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.decontamination import contamination
 
-    out = contamination(spread(_documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+    lists = {"n_items": lambda ids: F.size(ids).cast("long"), "items_sha256": lambda ids: F.sha2(F.array_join(ids, ","), 256)}
+    out = contamination(spread(_documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), lists=lists)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

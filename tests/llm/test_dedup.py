@@ -340,6 +340,16 @@ def test_contamination_is_alike_with_and_without_broadcasts(spark, monkeypatch,
     assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got.collect()} == contaminated_by_brute_force(docs, items, 5)
 
 
+def test_contamination_by_a_window_of_many_items_in_many_documents(spark):
+    """Two thousand items share a window with two thousand documents: lists are made once, pairs never."""
+    shared = " ".join(f"s{i}" for i in range(10))
+    items = spark.range(2000).selectExpr("id AS item_id", f"concat('{shared} own', id) AS text")
+    docs = spark.range(2000).selectExpr("id AS doc_id", f"concat('a b {shared} c', id) AS text")
+    out = contamination(docs, items, lists={"n": lambda ids: F.size(ids), "least": lambda ids: F.array_min(ids)})
+    assert out.columns == ["doc_id", "text", "n_words", "n_hit", "n", "least", "contaminated"]
+    assert [tuple(r) for r in out.groupBy("n", "least", "n_hit", "contaminated").count().collect()] == [(2000, "0", 10, True, 2000)]
+
+
 def test_contamination_of_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in contamination(docs, items).collect()] == [0]

@@ -2,6 +2,8 @@
 
 import importlib
 import os
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 
 import __spark_entry__
 from quillon.llm.queries import ORACLE, QUERIES
-from tests.conftest import SMALL
+from tests.conftest import ROOT, SMALL
 from tests.llm.test_dedup import contaminated_by_brute_force, similar_plainly, spans_by_brute_force
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -34,6 +36,30 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(tuple(r[n] for n in names) for r in want)
 
 
+def test_every_query_runs_where_workers_lack_the_package(tmp_path):
+    """The driver alone finds the package; workers start in another folder and have no path to it."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+from quillon.llm.queries import QUERIES
+import corpus_pipeline
+def found(batches):
+    import importlib.util, pyarrow as pa
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({{"n": [int(importlib.util.find_spec("quillon") is not None)]}})
+assert spark.range(1).mapInArrow(found, "n long").collect()[0].n == 0
+for name, f in [*QUERIES.items(), ("pipeline", corpus_pipeline.run)]:
+    assert f(spark, {SMALL!r}).count() > 0 or name == "op2_license_scan", name
+print("ALL", len(QUERIES) + 1)
+"""
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(":") if p and os.path.realpath(p) != os.path.realpath(ROOT)]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | ({"PYTHONPATH": ":".join(paths)} if paths else {})
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=False)
+    assert "ALL 14" in out.stdout, out.stderr[-3000:]
+
+
 def plain_pipeline(rows, items):
     """Ids with the final text, by brute force; languages reject only texts without letters."""
     rows = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, language_id, license_scan, media_matroska, packing, quality, token_counts
+from quillon.llm import chat_format, language_id, license_scan, license_texts, media_matroska, packing, quality, token_counts
 from quillon.llm.language_id import identify, learn_profiles
 from quillon.llm.pieces import PieceEncoder
 from quillon.llm.quality import learn_quality, score_quality
@@ -35,7 +35,7 @@ def test_licenses_equal_brute_force(spark):
                 want[i, name] = len(s & mine) / len(s)
     sets = {name: license_scan.shingles(license_scan.scan_words(t), 5) for name, t in license_scan.TEMPLATES}
     order = {name: k for k, name in enumerate(sets)}
-    rank = lambda i, n: (want[i, n], len(sets[n]), -order[n])
+    rank = lambda i, n: (round(want[i, n] * len(sets[n])), want[i, n], len(sets[n]), -order[n])
     beaten = {(i, n) for i, n in want for j, m in want if i == j and m != n and 2 * len(sets[n] & sets[m]) >= min(len(sets[n]), len(sets[m])) and rank(i, m) > rank(i, n)}
     want = {k: v for k, v in want.items() if k not in beaten}
     assert set(got) == set(want) and got[10_000, "mit-grant"] == 1.0 and got[10_003, "mit-grant"] == 1.0
@@ -51,6 +51,49 @@ def test_each_license_is_found_as_itself_alone(spark):
     assert len(got) == len(rows) and {(r.doc_id, r.template, r.containment) for r in got} == {(i, n, 1.0) for i, n in names.items()}
 
 
+def test_whole_bodies_with_changes_are_found_and_others_are_not(spark):
+    bodies = dict(license_texts.bodies())
+    assert len(bodies) >= 12 and min(len(t.split()) for t in bodies.values()) > 700
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i, (name, text) in enumerate(bodies.items()):
+        words = text.split()
+        cut = len(words) // 3
+        rows.append((i, " ".join(["before"] * 40 + words + ["after"] * 300)))
+        # A tenth of the words changed, in one passage; and words changed here and there, up to a share that five words in a row still survive.
+        rows.append((100 + i, " ".join([*words[:cut], *(f"other{k}" for k in range(len(words) // 10)), *words[cut + len(words) // 10 :]])))
+        rows.append((200 + i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(999)}" for w in words)))
+        rows.append((300 + i, " ".join(w if rng.random() > 0.1 else f"x{rng.randrange(999)}" for w in words)))  # 0.9 ** 5 of the runs are left: below the threshold
+        want |= {(i, name), (100 + i, name), (200 + i, name)}
+    vocabulary = sorted({w for t in bodies.values() for w in t.split()})
+    rows += [(1000 + i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([30, 500, 6000])))) for i in range(200)]
+    got = {(r.doc_id, r.template): r.containment for r in license_scan.license_scan(spark.createDataFrame(rows, PLAIN).repartition(4)).collect() if r.template in bodies}
+    assert set(got) == want  # precision and recall are 1
+    assert all(got[i, n] == 1.0 for i, n in want if i < 100)
+
+
+def test_negated_notices_are_not_reported(spark):
+    texts = ["Released under the MIT License.", "This is not released under the MIT License.", "never was it Released under the MIT license", "Not so. It is now released under the MIT License.", "code isn't released under the MIT License, but it is released under the MIT License"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = [r.doc_id for r in license_scan.license_scan(spark.createDataFrame(rows, PLAIN)).collect() if r.template == "mit-notice"]
+    assert got == [0, 3, 4]
+
+
+def test_windows_hold_their_templates():
+    for n in range(license_scan.NOTICE, 3000):
+        power, blocks = license_scan.window_of(n)
+        assert (blocks - 1) << power >= n and (power == 2 or n > 2 * ((blocks - 1) << power) / 3)
+    assert license_scan.least_similarity(0.8) > 0.4
+
+
+def test_licenses_of_very_long_and_repeated_texts(spark):
+    gpl = dict(license_texts.bodies())["gpl-3.0"]
+    rows = [(1, "word " * 400_000 + gpl), (None, gpl), (None, gpl), (2, gpl + "\n" + gpl)]
+    got = license_scan.license_scan(spark.createDataFrame(rows, PLAIN)).collect()
+    assert sorted((str(r.doc_id), r.template, r.containment) for r in got if r.template == "gpl-3.0") == [("1", "gpl-3.0", 1.0), ("2", "gpl-3.0", 1.0), ("None", "gpl-3.0", 1.0), ("None", "gpl-3.0", 1.0)]
+    assert [r.word_start for r in got if r.doc_id == 1 and r.template == "gpl-3.0"][0] > 390_000
+
+
 def test_bands_keep_their_promise():
     for similarity in (0.2, 0.5):
         n = license_scan.bands_needed(similarity, 2, 0.999)
