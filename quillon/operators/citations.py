@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import shared_folder
+
 # Citation types in order of extraction, with the pattern of each.
 PATTERNS: dict[str, str] = {
     "sr": r"\bSR\s+(\d{3}(?:\.\d+)*)\b",
@@ -189,9 +191,14 @@ def forward(queries: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def resolve_on_write(edges: DataFrame, lookup: Callable[[], DataFrame]) -> DataFrame:
-    """Edges resolved against the targets that ``lookup`` reads; if it cannot, they are written as they came."""
+    """Edges resolved against the targets that ``lookup`` reads; if they cannot be read, edges are written as they came.
+
+    Targets are read whole here, into the shared folder, so a lookup that fails only when it runs leaves the edges
+    untouched too, and the write itself no longer depends on it.
+    """
+    shared_folder(edges.sparkSession)
     try:
-        targets = lookup()
+        targets = lookup().select("target_key", "document_id", "section_id").checkpoint()
     except Exception:  # whatever kept the targets from being read
         return edges
     known = [c for c in ("resolution_status", "target_document_id", "target_section_id") if c in edges.columns]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.aggregates import first_ids
+from quillon.operators.cron import previous_fire
 
 DONE = ("completed", "succeeded")
 
@@ -199,9 +200,11 @@ def freshness(df: DataFrame, loaded: str, now: Column, warn_hours: int = 2, erro
 
 
 def schedules_due(schedules: DataFrame, now: Column) -> DataFrame:
-    """Enabled schedules whose previous fire time lies after their last run, or that never ran.
+    """Enabled schedules whose previous fire time lies after their last run, or that never ran.
 
-    ``previous_fire`` is worked out where schedules are kept; a schedule that never fired is not due.
+    The previous fire follows from ``cron`` where there is such a column, else it is read from ``previous_fire``; a schedule
+    that never fired, or whose text is malformed, is not due.
     """
+    rows = previous_fire(schedules, "cron", now) if "cron" in schedules.columns else schedules
     fired = F.col("previous_fire")
-    return schedules.where(F.col("enabled") & (fired <= now) & (F.col("last_run").isNull() | (fired > F.col("last_run"))))
+    return rows.where(F.col("enabled") & (fired <= now) & (F.col("last_run").isNull() | (fired > F.col("last_run"))))

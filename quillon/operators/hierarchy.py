@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import fold
+from quillon.sources.shared import shared_folder
 
 # Ranks of the levels of law, lower is of higher authority, and the jurisdiction level that enacts each.
 RANKS = {"constitutional": 10, "international": 20, "federal": 30, "cantonal": 40, "municipal": 50}
@@ -21,26 +22,57 @@ def rank(level: Column | str) -> Column:
 
 
 def ancestors(tree: DataFrame, most_depth: int | None = None) -> DataFrame:
-    """(id, ancestor, distance) with each node itself at 0 (G1, G8); doubling joins, so depth costs its logarithm; cycles end.
+    """(id, ancestor, distance) with each node itself at 0 (G1, G8); the least distance where there are several ways; cycles end.
 
-    Goes on until no pair is added, or up to ``most_depth`` steps where that is asked for.
+    ``tree`` has ``id`` and ``parent_id``; a node may have several rows, so several parents. Goes on until a round adds no
+    pair, or up to ``most_depth`` steps where that is asked for.
 
-    ``tree`` has ``id`` and ``parent_id``.
+    Round k holds all pairs nearer than 2 ** k, and the nodes that are exactly 2 ** k steps up; pairs up to twice as far
+    are those steps followed by known pairs. In a forest every pair is made once. Both tables are checkpointed each
+    round, so the plan has the same size at every depth, and rounds grow with the logarithm of the depth.
     """
-    edges = tree.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance")).distinct()
-    known = tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).distinct().unionByName(edges)
-    reach, pairs = 1, -1
-    while most_depth is None or reach < most_depth:  # paths of up to twice the reach are two known ones
-        if most_depth is None:
-            if (found := known.count()) == pairs:
-                break
-            pairs = found
-        a, b = known.alias("a"), known.alias("b")
-        known = a.join(b, F.col("a.ancestor") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance")).groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+    shared_folder(tree.sparkSession)
+    up = tree.where("parent_id IS NOT NULL AND id IS NOT NULL").select("id", F.col("parent_id").alias("up")).distinct().checkpoint()
+    known = tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).distinct().checkpoint()
+    named, reach = known.select(F.col("id").alias("up"), "ancestor", "distance"), 1
+    outside = up.select("up").distinct().join(known.select(F.col("id").alias("up")), "up", "left_anti").select("up", F.col("up").alias("ancestor"), F.lit(0).alias("distance")).checkpoint()  # parents without a row of their own
+    while most_depth is None or reach <= most_depth:
+        further = up.join(named.unionByName(outside), "up").select("id", "ancestor", (F.col("distance") + reach).alias("distance"))
+        if most_depth is not None:
+            further = further.where(F.col("distance") <= most_depth)
+        further = further.groupBy("id", "ancestor").agg(F.min("distance").alias("distance")).join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti").checkpoint()
+        if further.isEmpty():
+            break
+        known = known.unionByName(further).checkpoint()
+        named = known.select(F.col("id").alias("up"), "ancestor", "distance")
+        up = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")).distinct().checkpoint()
         reach *= 2
     return known
 
 
+def rolled_up(tree: DataFrame, amounts: DataFrame, amount: str) -> DataFrame:
+    """(id, depth, own, total): each node's summed amount and that of all below it, itself included.
+
+    ``tree`` is a forest of unique ``id``, ``amounts`` has ``id`` and the amount. No pairs of node and ancestor are made: round
+    k adds to a node the sums of those exactly 2 ** k below it, each already over what is nearer than that to itself,
+    so every round has one row per node. A node on a cycle, or above which one lies, has no depth and no total.
+    """
+    shared_folder(tree.sparkSession)
+    own = amounts.groupBy("id").agg(F.sum(amount).alias("own"))
+    nodes = tree.select("id", "parent_id").join(own, "id", "left").select("id", F.col("parent_id").alias("up"), F.coalesce("own", F.lit(0)).alias("own"))
+    known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("__there"))
+    now = nodes.join(known, "up", "left").select("id", "own", F.when(F.col("__there"), F.col("up")).alias("up"), F.col("own").alias("total"), F.when(F.col("__there"), 1).otherwise(0).cast("long").alias("depth")).checkpoint()
+    step, most = 1, now.count()
+    while step <= most and not now.where("up IS NOT NULL").isEmpty():
+        sums = now.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("__more"))
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("__next"), F.col("depth").alias("__depth"))
+        joined = now.join(sums, "id", "left").join(above, "up", "left")
+        now = joined.select("id", "own", F.col("__next").alias("up"), (F.col("total") + F.coalesce("__more", F.lit(0))).alias("total"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth")).checkpoint()
+        step *= 2
+    on_cycle = F.col("up").isNotNull()
+    return now.select("id", F.when(~on_cycle, F.col("depth")).alias("depth"), "own", F.when(~on_cycle, F.col("total")).alias("total"))
+
+
 def governing_scopes(tree: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(id, scope, level): each node, its ancestors, and children of these at the same level as their parent (G1)."""
     path = ancestors(tree, most_depth).join(tree.select(F.col("id").alias("ancestor"), "level"), "ancestor")

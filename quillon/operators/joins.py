@@ -45,9 +45,11 @@ def repaired(edges: DataFrame, targets: DataFrame, key: str, column: str) -> Dat
 
 
 def matches(edges: DataFrame, targets: DataFrame, key: str, target: str) -> DataFrame:
-    """All targets of each edge's key, in order, as an array."""
-    grouped = targets.groupBy(key).agg(F.array_sort(F.collect_set(target)).alias("targets"))
-    return edges.join(grouped, key, "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
+    """A row for each edge and each different target of its key, ``target`` null where there is none.
+
+    Rows, not arrays: a key that very many targets share is split by the join, never held by one task.
+    """
+    return edges.join(targets.select(key, target).where(F.col(key).isNotNull()).distinct(), key, "left")
 
 
 def as_of(versions: DataFrame, keys: Sequence[str], version: str, start: str, end: str, at: Column) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from typing import TYPE_CHECKING
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from quillon.operators.search_index import SearchIndex
+
 # Field weights, phrase boosts, BM25 constants, limits of short queries and the query stop list.
 FIELD_WEIGHTS = {"title": 4.0, "authority_name": 3.0, "official_citation": 3.0, "structural_path": 2.0, "regeste": 2.0, "content": 1.0, "content_preview": 1.0, "docket_number": 2.0}
 PHRASE_BOOSTS = {"title": 8.0, "official_citation": 6.0, "authority_name": 5.0, "structural_path": 4.0, "docket_number": 4.0}
@@ -72,26 +73,6 @@ def bm25(index: DataFrame, n_docs: int, average_length: float, tokens: Sequence[
     return (scored.where(F.col("matched") == len(wanted)) if require_all else scored).select("doc", "score")
 
 
-def scored(docs: DataFrame, doc_id: str, field: str, tokens: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
-    """(doc, score) over a table without postings: of texts only their length and the counts of the query's tokens are kept.
-
-    One pass over the texts, whose counts serve the corpus and the scores; for many queries build the postings once instead.
-    """
-    wanted = sorted(set(tokens))
-    if not wanted:
-        return docs.select(F.col(doc_id).alias("doc"), F.lit(0.0).alias("score")).limit(0)
-    named = F.array(*[F.lit(t) for t in wanted])
-    found = docs.select(F.col(doc_id).alias("doc"), analyse(field).alias("t")).select("doc", F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains(named, x)).alias("hits"))
-    slim = found.select("doc", "dl", *[F.size(F.array_remove("hits", t)).alias(f"other{i}") for i, t in enumerate(wanted)], F.size("hits").alias("n_hits")).persist(StorageLevel.DISK_ONLY)  # a few integers a text; lost parts are made anew
-    tf = [F.col("n_hits") - F.col(f"other{i}") for i in range(len(wanted))]
-    stats = slim.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(c > 0).alias(f"df{i}") for i, c in enumerate(tf)]).first()
-    score = F.lit(0.0)
-    for i, c in enumerate(tf):
-        idf = math.log(1 + (stats.n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
-        score = score + idf * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("dl") / (stats.avg or 1.0)))
-    return slim.where("n_hits > 0").select("doc", score.alias("score"))
-
-
 def corpus_stats(docs: DataFrame, field: str) -> tuple[int, float]:
     """Documents and their mean length in tokens."""
     r = docs.agg(F.count("*").alias("n"), F.avg(F.size(analyse(field))).alias("avg")).first()
@@ -136,7 +117,11 @@ def highlight(content: Column, token: str, regeste: Column, preview: Column, siz
     return F.coalesce(F.when(at > 0, F.substring(content, F.greatest(F.lit(1), at - size // 4), F.lit(size))), regeste, preview, F.lit(""))
 
 
-def mentions(tokens: Sequence[str], vocabulary: Sequence[tuple[str, Sequence[str], str]], tiers: Sequence[str], fillers: Sequence[str] = ("von", "de", "du", "di", "of", "the")) -> list[str]:
+#: Words that may stand between a label and its tier word.
+FILLERS = ("von", "de", "du", "di", "of", "the")
+
+
+def mentions(tokens: Sequence[str], vocabulary: Sequence[tuple[str, Sequence[str], str]], tiers: Sequence[str], fillers: Sequence[str] = FILLERS) -> list[str]:
     """Ids of subdivisions that a query names: their code, or their label next to a tier word, one filler between allowed.
 
     ``vocabulary`` has (id, label tokens, code) for each subdivision; a query is short, so this runs on the driver.
@@ -154,6 +139,33 @@ def mentions(tokens: Sequence[str], vocabulary: Sequence[tuple[str, Sequence[str
     return found
 
 
+def mentioned(texts: DataFrame, text_id: str, text: str, vocabulary: DataFrame, tiers: Sequence[str], fillers: Sequence[str] = FILLERS) -> DataFrame:
+    """(text id, place, pos, by): every mention of a subdivision in whole texts (R11): its code, or its label next to a tier word.
+
+    ``vocabulary`` has ``place``, ``label`` (tokens) and ``code`` (a token or null). A place's label counts where a tier word
+    stands right before or after it, before it also with one filler between. ``pos`` is the first token's place, from 0.
+
+    A trie one level deep, as a join: each token is met with the labels that begin with it, and what follows is verified
+    as a run. Labels that share a first token are rows of one key, so Spark may broadcast them or split them.
+    """
+    cut = texts.select(F.col(text_id), analyse(text).alias("__t"))
+    size = vocabulary.agg(F.max(F.size("label"))).first()[0] or 1  # the longest label
+    marks = F.array(*[F.lit(t) for t in tiers])
+    gaps = F.array(*[F.lit(f) for f in fillers])
+    around = lambda at, n: F.slice(F.col("__t"), F.greatest(at + 1, F.lit(1)), n)
+    at = F.col("pos")
+    rows = cut.select(text_id, "__t", F.posexplode("__t").alias("pos", "first"))
+    run = rows.select(text_id, "pos", "first", around(at, F.lit(size)).alias("run"), around(at, F.lit(size + 1)).alias("onward"), F.when(at > 0, F.try_element_at("__t", at)).alias("before"), F.when(at > 1, F.try_element_at("__t", at - 1)).alias("second"))
+    labels = vocabulary.where(F.size("label") > 0).select("place", "label", F.element_at("label", 1).alias("first"))
+    n = F.size("label")
+    near = F.when(F.array_contains(gaps, F.col("before")) & F.col("second").isNotNull(), F.col("second")).otherwise(F.col("before"))
+    tier = F.coalesce(F.array_contains(marks, near), F.lit(False)) | F.coalesce(F.array_contains(marks, F.try_element_at("onward", n + 1)), F.lit(False))
+    by_label = run.join(labels, "first").where((F.slice("run", 1, n) == F.col("label")) & tier).select(text_id, "place", "pos", F.lit("label").alias("by"))
+    codes = vocabulary.where("code IS NOT NULL").select("place", F.lower("code").alias("first"))
+    by_code = rows.select(text_id, "pos", "first").join(codes, "first").select(text_id, "place", "pos", F.lit("code").alias("by"))
+    return by_label.unionByName(by_code)
+
+
 def refuses(mentioned: Sequence[str], held: Sequence[str]) -> bool:
     """A search is refused only if it names places and the corpus holds none of them."""
     return bool(mentioned) and not set(mentioned) & set(held)
@@ -166,23 +178,21 @@ def mention_boost(preferred: Sequence[str], field: str = "jurisdiction_ids") ->
     return F.when(F.coalesce(F.arrays_overlap(field, F.array(*[F.lit(p) for p in preferred])), F.lit(False)), MENTION_BOOST).otherwise(0.0)
 
 
-def ranked(docs: DataFrame, doc_id: str, q: str, fields: Mapping[str, float], index: Mapping[str, DataFrame] | None = None, phrase_fields: Sequence[str] = (), preferred: Sequence[str] = ()) -> DataFrame:
+def ranked(index: SearchIndex, docs: DataFrame, doc_id: str, q: str, weights: Mapping[str, float], phrase_fields: Sequence[str] = (), preferred: Sequence[str] = ()) -> DataFrame:
     """(doc, score) for a search text, by its shape (R1 to R7): everything for a wildcard, all tokens and no others for
     a short legal text, any token or a word near one for free text; the best field's weighted BM25 and the boosts add up.
 
-    ``index`` holds the stored postings of each field; where it is missing they are made from ``docs``, once.
+    Postings come from the stored index; of ``docs`` only the fields that boosts look at are read.
     """
     shape, tokens = query_shape(q), query_tokens(q)
     boost = phrase_boost(tokens, fields=phrase_fields) + (mention_boost(preferred) if preferred else F.lit(0.0))
     if shape == "wildcard":
         return docs.select(F.col(doc_id).alias("doc"), boost.alias("score"))
-    parts = []
-    for field, weight in fields.items():
-        posted = (index or {}).get(field)
-        posted = postings(docs, doc_id, field) if posted is None else posted
-        sizes = posted.groupBy("doc").agg(F.max("dl").alias("dl")).agg(F.sum("dl").alias("total")).first()
-        n = docs.count()
-        wanted = tokens if shape == "short_legal" else sorted({r.token for r in fuzzy_tokens(posted.select("token"), tokens).select("token").distinct().collect()})  # words near those of one query
-        parts.append(bm25(posted, n, (sizes.total or 0) / max(1, n) or 1.0, wanted, require_all=shape == "short_legal").withColumn("score", F.col("score") * weight))
-    found = reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.max("score").alias("score"))
+    exact = docs.sparkSession.createDataFrame([(t,) for t in sorted(set(tokens))], "token string")
+    words = exact if shape == "short_legal" else index.near_words(tokens)
+    scored = index.matching(words, len(set(tokens)) if shape == "short_legal" else 0)
+    weight = F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))])
+    found = scored.where(F.col("field").isin(*weights)).groupBy("doc").agg(F.max(F.col("score") * weight[F.col("field")]).alias("score"))
+    if not phrase_fields and not preferred:
+        return found
     return found.join(docs.select(F.col(doc_id).alias("doc"), boost.alias("__boost")), "doc").select("doc", (F.col("score") + F.col("__boost")).alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import ids
 from quillon.operators import aggregates as A
 from quillon.operators import citations, coverage, hierarchy, joins, mutation, search, sets, windows
+from quillon.operators.search_index import SearchIndex
 from quillon.plans.queries import _tree
 from quillon.plans.registry import query
 from quillon.sources import stores
@@ -131,7 +132,8 @@ _WORDS = r"list_filter(regexp_split_to_array(regexp_replace(replace(replace(repl
 def search_ranked(spark, sf_dir):
     """Free text with words near its own, weighted fields, boosts; from postings made once per field."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("ch"))).alias("jurisdiction_ids")))
-    out = search.ranked(d, "doc_id", "licence versiom these works", {"content": 1.0, "title": 4.0}, phrase_fields=["title"], preferred=["ch"])
+    index = SearchIndex.current(d, "doc_id", ["content", "title"], "content-title")
+    out = search.ranked(index, d, "doc_id", "licence versiom these works", {"content": 1.0, "title": 4.0}, phrase_fields=["title"], preferred=["ch"])
     return out.select("doc", F.round("score", 5).alias("score"))
 
 

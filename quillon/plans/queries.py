@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quillon.functions import ids, text
 from quillon.operators import aggregates as A
 from quillon.operators import chunking, citations, coverage, data_quality, evaluation, gates, hierarchy, joins, mutation, predicates, search, sparse, windows
+from quillon.operators.search_index import SearchIndex
 from quillon.plans.registry import query
 from quillon.sources.tables import spread, table
 
+
 def _kind() -> F.Column:
     return F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("started")
 
@@ -417,10 +419,31 @@ _TOKENS = r"""
     SELECT doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score
     FROM p JOIN f USING (token), s GROUP BY doc_id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) DESC, doc_id LIMIT 50""")
 def bm25_top(spark, sf_dir):
-    """The best documents for three words."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    hits = search.scored(d, "doc_id", "text", search.query_tokens("the license version"))
-    return hits.orderBy(F.desc("score"), "doc").limit(50).select("doc", F.round("score", 6).alias("score"))
+    """The best documents for three words, from the stored index; blocks that cannot reach the best are not read."""
+    index = SearchIndex.current(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", ["text"], "text")
+    return index.top(search.query_tokens("the license version"), 50, {"text": 1.0}).select("doc", F.round("score", 6).alias("score"))
+
+
+@query(_TOKENS + " p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS token FROM t) GROUP BY ALL) SELECT token, count(*) AS df, sum(tf)::BIGINT AS occurrences, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM p GROUP BY token")
+def stored_postings(spark, sf_dir):
+    """What the stored index holds of each token, read back from its blocks."""
+    index = SearchIndex.current(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", ["text"], "text")
+    p = index.blocks.select("token", F.explode("postings").alias("p"))
+    return p.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.col("p.tf").cast("long")).alias("occurrences"), F.min("p.doc").alias("first_doc"), F.max("p.doc").alias("last_doc"))
+
+
+@query(_TOKENS + r"""
+    v AS (SELECT DISTINCT unnest(ws) AS token FROM t),
+    q AS (SELECT DISTINCT token AS query FROM v WHERE token IN (SELECT lower(split_part(p_type, ' ', 3)) FROM part UNION SELECT lower(n_name) FROM nation) UNION SELECT lower(split_part(p_type, ' ', 1)) FROM part UNION SELECT lower(o_orderpriority[3:]) FROM orders)
+    SELECT token, query FROM v JOIN q ON left(token, 2) = left(query, 2) AND levenshtein(token, query) <= CASE WHEN length(query) <= 2 THEN 0 WHEN length(query) <= 5 THEN 1 ELSE 2 END""")
+def near_words(spark, sf_dir):
+    """The words of the corpus near those of other tables, by the stored neighbourhoods."""
+    index = SearchIndex.current(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", ["text"], "text")
+    part, nation, orders = (table(spark, sf_dir, t) for t in ("part", "nation", "orders"))
+    there = part.select(F.lower(F.split_part("p_type", F.lit(" "), F.lit(3))).alias("w")).unionByName(nation.select(F.lower("n_name").alias("w"))).distinct()
+    held = there.join(index.blocks.select(F.col("token").alias("w")).distinct(), "w", "left_semi")
+    asked = held.unionByName(part.select(F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("w"))).unionByName(orders.select(F.lower(F.substring("o_orderpriority", 3, 100)).alias("w"))).distinct()
+    return index.near_words([r.w for r in asked.collect()])  # the words of a few types, nations and priorities
 
 
 _SPARSE = """

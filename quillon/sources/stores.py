@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
@@ -71,6 +71,53 @@ def surface_or_empty(spark: SparkSession, path: str, schema: StructType) -> Data
         raise
 
 
+def write_keyed(df: DataFrame, path: str, key: str, partitions: int | None = None, row_group_bytes: int = 16 << 20) -> None:
+    """Writes rows in order of ``key``, with Bloom filters and page indexes over it, so that a read of one key touches one row
+    group, whatever the table's size (S5, S7): other files and row groups are ruled out by their bounds, and where keys
+    of a range are missing by the filters. A key with very many rows lies in neighbouring row groups of one file."""
+    ranged = df.repartitionByRange(key) if partitions is None else df.repartitionByRange(partitions, key)
+    options = {"parquet.block.size": row_group_bytes, f"parquet.bloom.filter.enabled#{key}": "true", "parquet.page.row.count.limit": 2000}
+    ranged.sortWithinPartitions(key).write.options(**options).parquet(path)
+
+
+# What readers of the published surfaces rely on.
+PUBLISHED = {
+    "published_documents": ("document_id", "document_revision", "processing_manifest_id", "processed_at"),
+    "published_sections": ("document_id", "document_revision", "processing_manifest_id", "section_id", "ordinal"),
+}
+
+
+def published(spark: SparkSession, root: str, surface: str, schema: StructType) -> DataFrame:
+    """A published surface under its contract (S3): it is there, has the columns that its readers rely on, and these are typed as
+    declared; anything else is an error, never an empty table."""
+    rows = spark.read.option("mergeSchema", True).parquet(f"{root}/{surface}")
+    lacking = [c for c in PUBLISHED[surface] if c not in rows.columns]
+    if lacking:
+        raise KeyLoss(f"{surface} lacks {lacking}")
+    declared = {f.name: f.dataType for f in schema.fields}
+    wrong = [c for c in PUBLISHED[surface] if c in declared and rows.schema[c].dataType != declared[c]]
+    if wrong:
+        raise KeyLoss(f"{surface} has other types in {wrong}")
+    return conform(rows, schema)
+
+
+#: The declared columns of commentary insights.
+INSIGHTS = "insight_id string, document_id string, passage string, citation_keys array<string>, confidence double, created_at timestamp"
+
+
+def write_insights(insights: DataFrame, path: str | None) -> int:
+    """Appends insights with their declared columns and types (S21) and returns how many; an empty batch writes nothing, a missing target is an error."""
+    if not path:
+        raise ValueError("no target for insights")
+    schema = StructType.fromDDL(INSIGHTS)
+    rows = projected(insights, schema, ())
+    seen = Observation("insights")
+    if rows.isEmpty():
+        return 0
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    return seen.get["rows"]
+
+
 def latest_documents(documents: DataFrame, columns: Sequence[str], after: str | None = None) -> DataFrame:
     """The newest row of each document, of these columns only, in order of id (S6, M11); unread columns stay on disk."""
     rows = documents.select("document_id", "document_revision", "processed_at", *[c for c in columns if c not in ("document_id", "document_revision", "processed_at")])
@@ -87,9 +134,10 @@ def document(documents: DataFrame, document_id: str, revision: int | None = None
     return rows.orderBy(F.desc("document_revision"), F.desc("processed_at")).limit(1)
 
 
-def sections_of(sections: DataFrame, document_id: str, revision: int, manifest: str) -> DataFrame:
-    """The sections of one processed document, in order."""
-    return sections.where((F.col("document_id") == document_id) & (F.col("document_revision") == revision) & (F.col("processing_manifest_id") == manifest)).orderBy("ordinal", "section_id")
+def sections_of(sections: DataFrame, document_id: str, revision: int, manifest: str, most: int | None = None) -> DataFrame:
+    """The sections of one processed document, in order (S7), the first ``most`` where a reader asks for so many (R19: 200)."""
+    rows = sections.where((F.col("document_id") == document_id) & (F.col("document_revision") == revision) & (F.col("processing_manifest_id") == manifest)).orderBy("ordinal", "section_id")
+    return rows if most is None else rows.limit(most)
 
 
 class VersionedTable:

@@ -276,8 +276,7 @@ def test_search(spark):
     assert [r.doc for r in got] == ["d1", "d2"]
     assert [search.query_shape(q) for q in (None, "*", "SR 101", "Tierschutz Zürich", "was muss ich beim Halten von Hunden beachten")] == ["wildcard", "wildcard", "short_legal", "short_legal", "free_text"]
     n, average = search.corpus_stats(docs, "title")
-    by_postings = rows(search.bm25(search.postings(docs, "id", "title"), n, average, ["gesetz", "anderes"]).withColumn("s", F.round("score", 9)), "doc", "s")
-    assert rows(search.scored(docs, "id", "title", ["gesetz", "anderes"]).withColumn("s", F.round("score", 9)), "doc", "s") == by_postings
+    assert [r[0] for r in rows(search.bm25(search.postings(docs, "id", "title"), n, average, ["gesetz", "anderes"]), "doc")] == ["d1", "d3"]
     fuzzy = search.fuzzy_tokens(search.postings(docs, "id", "title"), ["gesets", "tierschuts"])
     assert rows(fuzzy, "token", "query") == [("gesetz", "gesets"), ("tierschutz", "tierschuts")]
     boost = docs.select("id", search.phrase_boost(["tierschutz", "gesetz"], fields=["title"]).alias("b"))
