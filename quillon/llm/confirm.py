@@ -93,7 +93,7 @@ def signed(docs: DataFrame, shingle: int, signature: Signature) -> DataFrame:
     plain = docs.select("doc_id", "text", _row_key().alias("row"))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
+        for part in parts(batches, 1 << 19):
             runs, offsets = shingle_sets(part.column("text"), shingle)
             n = np.diff(offsets)
             some = n > 0
@@ -214,15 +214,15 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held_key, held, len(held), least)
 
 
-def families(distinct: DataFrame, limit: int) -> DataFrame:
-    """``node``, ``family`` and ``score`` of every row of ``distinct`` (``node``, ``keys``, ``bits``) that is any other's candidate.
+def families(keyed: DataFrame, distinct: DataFrame, limit: int) -> DataFrame:
+    """``node``, ``family`` and ``score`` of every row of ``distinct`` (``node``, ``bits``) that is any other's candidate; ``keyed`` has the keys of each ``node``.
 
     Candidates share a key and differ in at most ``limit`` bits; of a key with more than KEY_ROWS rows all are taken for
     candidates of its least node. ``score`` counts the rows met under all keys: of near copies of one text that text
     has the most. Keys cross the network once; what is alone under its key ends there.
     """
-    keyed = distinct.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    near = together(keyed, "key").sortWithinPartitions("key", "node").mapInArrow(_met, "node long, key long, met long, least long").checkpoint()
+    rows = keyed.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    near = together(rows, "key").sortWithinPartitions("key", "node").mapInArrow(_met, "node long, key long, met long, least long").checkpoint()
     scores = near.groupBy("node").agg(F.sum("met").alias("score"))
     few = near.where(F.col("met") <= KEY_ROWS).select("node", "key").join(distinct.select("node", "bits"), "node")
     links = together(few, "key").sortWithinPartitions("key", "node").mapInArrow(_forests(limit), "a long, b long")
@@ -371,8 +371,10 @@ def similar_groups(docs: DataFrame, shingle: int, least: int, of: int, signature
     """
     ensure_checkpoint_dir(docs.sparkSession)
     prints = signed(docs, shingle, signature).checkpoint()
-    distinct = prints.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("bits").alias("bits")).checkpoint()
-    members = families(distinct.select("node", "keys", "bits"), limit).join(distinct.select("node", "row", "n", "bits"), "node").checkpoint()
+    distinct = prints.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("bits").alias("bits")).checkpoint()
+    # The keys, the widest part, are kept once, with the rows; here those of one row for each set are taken.
+    keyed = prints.select("node", "row", "keys").join(distinct.select("node", "row"), ["node", "row"]).dropDuplicates(["node", "row"])
+    members = families(keyed, distinct.select("node", "bits"), limit).join(distinct.select("node", "row", "n", "bits"), "node").checkpoint()
     named = named_groups(distinct.select("node", "least"), "node", confirmed_links(docs, members, shingle, least, of, limit))
     found = join_unique(prints.where("node IS NOT NULL").select("doc_id", "n", "node"), named, "node", "doc_id").select("doc_id", "n", "component_id")
     return found.unionByName(prints.where("node IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id")))

@@ -55,7 +55,7 @@ def test_whole_bodies_with_changes_are_found_and_others_are_not(spark):
     bodies = dict(license_texts.bodies())
     assert len(bodies) >= 12 and min(len(t.split()) for t in bodies.values()) > 700
     rng = random.Random(8)
-    rows, want = [], {}
+    rows, want = [], set()
     for i, (name, text) in enumerate(bodies.items()):
         words = text.split()
         cut = len(words) // 3
