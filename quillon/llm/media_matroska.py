@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.confirm import parts
+
 # Element ids of the Matroska specification.
 EBML, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
@@ -247,12 +249,10 @@ def store(docs: DataFrame) -> DataFrame:
     """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = [(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in part.column("text").cast(pa.large_string())]
-                media = [write(b + b"\xff" * (max(1, -(-len(b) // FRAME)) * FRAME - len(b))) for b in raw]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for part in parts(batches):  # by bytes, so that long texts do not meet in one array of files
+            raw = [(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in part.column("text").cast(pa.large_string())]
+            media = [write(b + b"\xff" * (max(1, -(-len(b) // FRAME)) * FRAME - len(b))) for b in raw]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(f, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
