@@ -70,13 +70,14 @@ _NAMED = (("sr:101", "sr:101"), ("see ECLI:EU:C:2014:317", "ecli:ECLI:EU:C:2014:
 
 @query(f"""
     WITH q AS (SELECT * FROM (VALUES {", ".join(f"('{q}', {f"'{k}'" if k else 'NULL'})" for q, k in _NAMED)}) v(q, k)),
-    t AS (SELECT 'sr:' || (101 + doc_id % 3) AS k, doc_id FROM documents WHERE doc_id % 70 < 2 UNION ALL SELECT 'celex:32016R0679', 5),
+    t AS (SELECT 'sr:' || (101 + doc_id) AS k, doc_id FROM documents UNION ALL SELECT 'at_bgbl:51/1991', doc_id FROM documents UNION ALL SELECT 'celex:32016R0679', 5),
     p AS (SELECT k, count(DISTINCT doc_id) AS n, min(doc_id) AS d FROM t GROUP BY k)
     SELECT q, k AS citation_key, CASE WHEN k IS NULL THEN 'not_normalizable' WHEN n IS NULL THEN 'no_target_in_corpus' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS resolution_status, CASE WHEN n = 1 THEN d::VARCHAR END AS target_document_id FROM q LEFT JOIN p USING (k)""")
 def citation_forward(spark, sf_dir):
     """What a search text names and where it leads."""
     i = F.col("doc_id")
-    targets = table(spark, sf_dir, "documents").where(i % 70 < 2).select(F.concat(F.lit("sr:"), 101 + i % 3).alias("target_key"), i.cast("string").alias("document_id"), F.lit(None).cast("string").alias("section_id"))
+    keys = F.explode(F.array(F.concat(F.lit("sr:"), 101 + i), F.lit("at_bgbl:51/1991")))
+    targets = table(spark, sf_dir, "documents").select(keys.alias("target_key"), i.cast("string").alias("document_id"), F.lit(None).cast("string").alias("section_id"))
     targets = targets.unionByName(spark.createDataFrame([("celex:32016R0679", "5", None)], targets.schema))
     named = citations.forward(spark.createDataFrame([(q,) for q, _ in _NAMED], "q string"), targets)
     again = citations.resolve_on_write(named, lambda: targets)  # resolving once more changes nothing
@@ -491,7 +492,7 @@ def applied_events(spark, sf_dir):
 
 
 @query(_APPLIED + """SELECT 'part' AS list, o_orderkey AS id, 0 AS n FROM orders WHERE o_custkey % 20 NOT IN (SELECT k FROM n WHERE kind = 'withdrawn') UNION ALL
-    SELECT 'withdrawal', c_custkey, coalesce(m, 0) + 1 FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey % 5) AS m FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)""")
+    SELECT 'withdrawal', p_partkey, 1 FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)""")
 def withdrawn_parts(spark, sf_dir):
     """Parts of withdrawn keys go too, and what an outbox no longer has becomes a withdrawal."""
     i = F.col("event_id")
@@ -501,8 +502,8 @@ def withdrawn_parts(spark, sf_dir):
         held = projection.merged(held, e.where(i % 3 == b), "k", "r")
     parts = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("k"))
     kept = projection.without_withdrawn(parts, held, "k").select(F.lit("part").alias("list"), F.col("o_orderkey").alias("id"), F.lit(0).alias("n"))
-    outbox = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("id"))
-    published = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(0).alias("document_revision"))
+    outbox = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    published = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("document_revision"))
     gone = stores.withdrawals(outbox, published, "id")
     return kept.unionByName(gone.select(F.lit("withdrawal").alias("list"), "id", F.col("document_revision").alias("n")))
 

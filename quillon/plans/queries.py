@@ -593,14 +593,14 @@ def disjunctive_join(spark, sf_dir):
 
 
 @query("""
-    WITH want AS (SELECT n_name AS k FROM nation WHERE n_nationkey < 10 UNION ALL SELECT 'ATLANTIS'),
-    have AS (SELECT n_name AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 GROUP BY 1)
+    WITH want AS (SELECT DISTINCT n_name AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'ATLANTIS'),
+    have AS (SELECT n_name AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
     SELECT k, coalesce(n, 0) AS n, coalesce(n, 0) > 0 AS held FROM want FULL JOIN have USING (k)""")
 def requested_keys(spark, sf_dir):
-    """Requested nations and held ones, with zeros."""
+    """Requested nations, those of suppliers, and held ones, those of customers, with zeros."""
     n = table(spark, sf_dir, "nation")
-    want = n.where("n_nationkey < 10").select(F.col("n_name").alias("k")).unionByName(spark.createDataFrame([("ATLANTIS",)], "k string"))
-    have = table(spark, sf_dir, "customer").join(n.where("n_nationkey % 2 = 0"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("k")).agg(F.count("*").alias("n"))
+    want = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("k")).distinct().unionByName(spark.createDataFrame([("ATLANTIS",)], "k string"))
+    have = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("k")).agg(F.count("*").alias("n"))
     return joins.requested(want, have, "k", "n")
 
 
