@@ -23,8 +23,8 @@ from quillon.llm.skew import join_unique, together
 
 #: (lowest bit, bits) of the segments of a fingerprint; every value is found under all keys within one bit of each.
 HALVES = ((0, 32), (32, 32))
-#: Keys with more rows than this are split by the quarters of the other half.
-KEY_ROWS = 1_000
+#: Keys with more rows than this are split by equal pieces of the other half, those with more than the second by its quarters.
+KEY_ROWS, PIECE_ROWS = 1_000, 200_000
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -124,19 +124,22 @@ def near_links(fingerprints: DataFrame, most: int) -> DataFrame:
 
     Multi-index hashing: of so many bits one half holds at most two. Every value enters the table of each half under all
     keys within one bit of it, and is looked up under the same keys, so two halves within two bits meet at a key
-    midway. What meets is verified on all bits. A key with more than KEY_ROWS rows is split by the other half in the
-    same manner: one of that half's quarters differs in at most two bits. Within a key, links form a spanning forest.
+    midway. What meets is verified on all bits. A key with more than KEY_ROWS rows is split by the other half: cut in one
+    piece more than bits may differ, one piece is equal; beyond PIECE_ROWS rows, where pieces would hold too many, one
+    of its quarters differs in at most two bits and is met in the same manner. Within a key, links form a spanning forest.
     """
     if not 0 <= most <= 5:
         raise ValueError("two halves within two bits each cover at most five differing bits")
     value = F.col("fingerprint")
     ball = F.concat(*[_ball(value, low, bits, i) for i, (low, bits) in enumerate(HALVES)])
     keyed = fingerprints.select("fingerprint", F.explode(ball).alias("key"))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS).select("key").checkpoint()
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS).checkpoint()
     if not hot.isEmpty():
         other = F.when(F.shiftright("key", 32) == 0, F.shiftrightunsigned(value, 32)).otherwise(value)  # the half that the key is not of
+        cuts = [32 * i // (most + 1) for i in range(most + 2)]
+        pieces = F.array(*[F.shiftrightunsigned(other, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).bitwiseOR(F.lit((i + 2) << 32)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
         quarters = F.concat(*[_ball(other, low, 16, i) for i, low in enumerate((0, 16))])
-        split = keyed.join(hot, "key", "left_semi").select("fingerprint", "key", F.explode(quarters).alias("quarter")).select("fingerprint", F.xxhash64("key", "quarter").alias("key"))
+        split = keyed.join(hot, "key").select("fingerprint", "key", F.explode(F.when(F.col("n") <= PIECE_ROWS, pieces).otherwise(quarters)).alias("part")).select("fingerprint", F.xxhash64("key", "part").alias("key"))
         keyed = keyed.join(hot, "key", "left_anti").select("fingerprint", "key").unionByName(split)
     return together(keyed, "key").sortWithinPartitions("key").mapInArrow(_verify(most), "a long, b long")
 

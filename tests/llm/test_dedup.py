@@ -138,9 +138,10 @@ def reachable(values, most):
     return {v: root(v) for v in values}
 
 
-@pytest.mark.parametrize("key_rows", [1000, 2])
-def test_links_join_what_chains_of_near_values_join(spark, monkeypatch, key_rows):
+@pytest.mark.parametrize("key_rows,piece_rows", [(1000, 1000), (2, 1000), (2, 5)])
+def test_links_join_what_chains_of_near_values_join(spark, monkeypatch, key_rows, piece_rows):
     monkeypatch.setattr(near_dedup, "KEY_ROWS", key_rows)
+    monkeypatch.setattr(near_dedup, "PIECE_ROWS", piece_rows)
     rng = random.Random(5)
     values = {0, 2**64 - 1, 2**63, *(rng.getrandbits(32) for _ in range(40)), *(rng.getrandbits(32) << 32 | 5 for _ in range(40))}
     for _ in range(30):
