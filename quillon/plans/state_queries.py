@@ -156,7 +156,7 @@ _BOUNDS = (-1, 9_000, 30_000)
 
 def _walked(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    enumeration.register(spark, "quillon_orders", enumeration.parquet_pager(f"{sf_dir}/orders.parquet", "o_orderkey", ["o_custkey"]), orders.schema, _BOUNDS, size=2_000)
+    enumeration.register(spark, "quillon_orders", enumeration.parquet_pager(f"{sf_dir}/orders.parquet", "o_orderkey", ["o_custkey"]), orders.schema, _BOUNDS, size=2_000, cuts=enumeration.cuts_of(orders, "o_orderkey"))
     return spark.read.format("quillon_orders").load()
 
 

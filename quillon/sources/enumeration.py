@@ -21,6 +21,8 @@ class CursorStuck(RuntimeError):
 
 
 class _Range(InputPartition):
+    """A piece of the walk ``number``."""
+
     def __init__(self, number: int, after: int, upto: int | None):
         super().__init__(number)
         self.number, self.after, self.upto = number, after, upto
@@ -50,10 +52,11 @@ def _walk(pager: Pager, part: _Range, size: int, most_pages: int | None) -> Iter
             return
 
 
-def register(spark: SparkSession, name: str, pager: Pager, schema: StructType, bounds: Sequence[int], size: int = 500, most_pages: int | None = None) -> None:
+def register(spark: SparkSession, name: str, pager: Pager, schema: StructType, bounds: Sequence[int], size: int = 500, most_pages: int | None = None, cuts: Sequence[int] = ()) -> None:
     """Registers the source ``name``: ``spark.read.format(name)`` walks the key ranges between ``bounds`` (ascending; keys are
     above the first, and the last range is open), each in a task of its own; ``spark.readStream`` reads a page per
-    batch from the first bound on.
+    batch from the first bound on. ``cuts`` are further keys at which ranges are cut into pieces, each a task's work,
+    so that a range with very many keys is not one task's; a piece's end rows have the range's number.
 
     ``pager`` runs in Python workers and is sent to them by value. A task that is run again walks its range again.
     """
@@ -62,7 +65,11 @@ def register(spark: SparkSession, name: str, pager: Pager, schema: StructType, b
 
     class Reader(DataSourceReader):
         def partitions(self) -> list[_Range]:
-            return [_Range(i, a, b) for i, (a, b) in enumerate(zip(bounds, [*bounds[1:], None], strict=True))]
+            out = []
+            for i, (a, b) in enumerate(zip(bounds, [*bounds[1:], None], strict=True)):
+                inner = sorted({c for c in cuts if c > a and (b is None or c < b)})
+                out += [_Range(i, low, high) for low, high in zip([a, *inner], [*inner, b], strict=True)]
+            return out
 
         def read(self, partition: _Range) -> Iterator[tuple]:
             for row, cursor, whole in _walk(pager, partition, size, most_pages):
@@ -109,9 +116,20 @@ def rows_of(walked: DataFrame, key: str) -> DataFrame:
 
 
 def walks_of(walked: DataFrame) -> DataFrame:
-    """(walk, rows, cursor, exhausted) of each range: a walk that was cut off is never complete, and one without an end neither."""
-    one = walked.groupBy(F.col("_walk").alias("walk")).agg(F.count_if(F.col("_end").isNull()).alias("rows"), F.max("_end").alias("cursor"), F.coalesce(F.bool_and("_exhausted"), F.lit(False)).alias("exhausted"))
-    return one
+    """(walk, rows, cursor, exhausted) of each range: a walk that was cut off is never complete, and one without an end neither.
+
+    The cursor is where the walk can go on: of a range in pieces, the end of the first piece that was cut off.
+    """
+    end = F.col("_end").cast("long")
+    cursor = F.coalesce(F.min(F.when(~F.col("_exhausted"), end)), F.max(end)).cast("string").alias("cursor")
+    return walked.groupBy(F.col("_walk").alias("walk")).agg(F.count_if(F.col("_end").isNull()).alias("rows"), cursor, F.coalesce(F.bool_and("_exhausted"), F.lit(False)).alias("exhausted"))
+
+
+def cuts_of(table: DataFrame, key: str, rows: int = 250_000) -> list[int]:
+    """Keys that cut ``table`` into pieces of about so many rows each, by approximate percentiles: a number for each piece."""
+    n = table.count()
+    shares = [i * rows / n for i in range(1, -(-n // rows))]
+    return sorted(set(table.agg(F.percentile_approx(key, shares)).first()[0])) if shares else []
 
 
 def complete(walked: DataFrame) -> bool:
@@ -120,15 +138,55 @@ def complete(walked: DataFrame) -> bool:
     return bool(r.n and r.all)
 
 
-def parquet_pager(path: str, key: str, columns: Sequence[str]) -> Pager:
-    """Pages of a Parquet file that workers can open, as a service over that table would give them."""
+def parquet_pager(path: str, key: str, columns: Sequence[str], ahead: int = 100_000) -> Pager:
+    """Pages of a Parquet file or folder that workers can open, as a service over that table would give them.
 
-    def page(after: int, upto: int | None, size: int) -> list[tuple]:
+    A reader looks ``ahead`` by so many rows and gives further pages out of these while the files stay as they are. It
+    reads row groups in order of their least keys, and no more than it needs, so a table in order of its key is
+    read about once by all pages of a walk; of another one each look reads the key range's row groups.
+    """
+    held: dict = {"state": None, "after": 0, "until": None, "rows": None}
+
+    def look(dataset, after: int, upto: int | None, most: int):
+        """The rows with the least keys above ``after``, ``most`` at most, in order; whether there may be more."""
+        import pyarrow as pa
         import pyarrow.dataset as ds
 
         at = ds.field(key)
         wanted = at > after if upto is None else (at > after) & (at <= upto)
-        found = ds.dataset(path).to_table(columns=[key, *columns], filter=wanted).sort_by(key).slice(0, size)
-        return list(zip(*[c.to_pylist() for c in found.columns], strict=True))
+        groups = []
+        for fragment in dataset.get_fragments(filter=wanted):
+            for part in fragment.split_by_row_group(filter=wanted, schema=dataset.schema):
+                known = (part.row_groups[0].statistics or {}).get(key)
+                groups.append((known["min"] if known else after, part))
+        groups.sort(key=lambda g: g[0])
+        found = None
+        for i, (_, part) in enumerate(groups):
+            rows = part.to_table(schema=dataset.schema, columns=[key, *columns], filter=wanted)
+            found = rows if found is None else pa.concat_tables([found, rows])
+            if len(found) >= most:
+                found = found.sort_by(key).slice(0, most).combine_chunks()
+                if i + 1 == len(groups) or groups[i + 1][0] > found.column(0)[-1].as_py():
+                    return found, True
+        return (found if found is None else found.sort_by(key)), False
+
+    def page(after: int, upto: int | None, size: int) -> list[tuple]:
+        import bisect
+
+        import pyarrow.dataset as ds
+
+        dataset = ds.dataset(path)
+        state = [(f.path, f.size, f.mtime_ns) for f in dataset.filesystem.get_file_info(dataset.files)]
+        start = None
+        if held["state"] == state and held["until"] == upto and held["after"] <= after:
+            start = bisect.bisect_right(held["keys"], after)
+            if held["more"] and start + size > len(held["keys"]):
+                start = None
+        if start is None:
+            rows, more = look(dataset, after, upto, max(ahead, size))
+            data = [c.to_pylist() for c in rows.columns] if rows is not None else [[] for _ in (key, *columns)]
+            held.update(state=state, after=after, until=upto, more=more, keys=data[0], rows=data)
+            start = 0
+        return list(zip(*[c[start : start + size] for c in held["rows"]], strict=True))
 
     return page

@@ -1,5 +1,9 @@
 """Work that has to grow no faster than its input: shapes of plans, and counts of what is read and made."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -12,3 +16,66 @@ def test_a_schedule_is_read_once_per_row(spark):
 
     plan = plan_of(previous_fire(spark.range(3).select(F.lit("0 4 * * 7").alias("cron"), F.timestamp_seconds("id").alias("t"), "id"), "cron", F.col("t")).where("previous_fire IS NOT NULL"))
     assert len(plan) < 100_000
+
+
+@pytest.mark.parametrize("order", ["ascending", "shuffled"])
+def test_pages_read_a_table_about_once(tmp_path, monkeypatch, order):
+    import pyarrow.dataset as ds
+
+    from quillon.sources import enumeration
+
+    keys = np.arange(20_000) * 3
+    keys = np.random.default_rng(1).permutation(keys) if order == "shuffled" else keys
+    pq.write_table(pa.table({"k": keys, "v": keys + 1}), tmp_path / "t.parquet", row_group_size=1_000)
+    reads, opened = [], ds.dataset
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            if name in ("to_table", "get_fragments"):
+                reads.append(name)
+            return getattr(self.inner, name)
+
+    monkeypatch.setattr(ds, "dataset", lambda path: Counted(opened(path)))
+
+    def pages(upto):
+        pager, cursor, out = enumeration.parquet_pager(str(tmp_path / "t.parquet"), "k", ["v"]), -1, []
+        while page := pager(cursor, upto, 100):
+            out += page
+            cursor = page[-1][0]
+        return out
+
+    assert pages(None) == [(k, k + 1) for k in range(0, 60_000, 3)]
+    assert pages(30_001) == [(k, k + 1) for k in range(0, 30_001, 3)]
+    assert len(reads) <= 4  # 300 pages
+
+
+def test_looking_ahead_by_less_than_the_table(tmp_path):
+    from quillon.sources import enumeration
+
+    keys = np.random.default_rng(2).permutation(5_000)
+    pq.write_table(pa.table({"k": keys, "v": keys * 2}), tmp_path / "t.parquet", row_group_size=300)
+    pager, cursor, out = enumeration.parquet_pager(str(tmp_path / "t.parquet"), "k", ["v"], ahead=700), -1, []
+    while page := pager(cursor, None, 130):
+        out += page
+        cursor = page[-1][0]
+    assert out == [(k, 2 * k) for k in range(5_000)]
+    assert pager(10, None, 3) == [(11, 22), (12, 24), (13, 26)]
+
+
+def test_a_long_range_is_walked_in_pieces(spark):
+    from quillon.sources import enumeration
+
+    def pager(after, upto, size):
+        return [(k, "v") for k in range(after + 1, 101 if upto is None else upto + 1)][:size]
+
+    schema = spark.createDataFrame([], "k long, v string").schema
+    enumeration.register(spark, "pieces_a", pager, schema, [0, 40], size=7, cuts=[-5, 20, 40, 60, 80])
+    walked = spark.read.format("pieces_a").load()
+    assert walked.rdd.getNumPartitions() == 5
+    assert [tuple(r) for r in enumeration.walks_of(walked).orderBy("walk").collect()] == [(0, 40, "40", True), (1, 60, "100", True)]
+    enumeration.register(spark, "pieces_b", pager, schema, [0], size=7, most_pages=2, cuts=[10])
+    assert [tuple(r) for r in enumeration.walks_of(spark.read.format("pieces_b").load()).collect()] == [(0, 24, "24", False)]
+    assert enumeration.cuts_of(spark.range(1_000).withColumnRenamed("id", "k"), "k", 300) == pytest.approx([299, 599, 899], abs=20)
