@@ -202,20 +202,33 @@ def xml_blocks(df: DataFrame, source: str) -> DataFrame:
     return _blocks(df, source, xml_blocks_of)
 
 
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def markdown_blocks(c: Column) -> Column:
     """Blocks of Markdown: the first ``#`` line is the title, further ones headings; list items; one paragraph a line (T3). Native."""
     lines = F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
-    def block(x: Column, i: Column) -> Column:
-        marks = F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1))
-        kind = F.when(marks > 0, "heading").when(x.rlike(r"^[-*+]\s"), "list_item").otherwise("paragraph")
-        body = F.regexp_replace(x, r"^(#{1,6}|[-*+])\s+", "")
-        squeezed = F.trim(F.regexp_replace(F.when(kind == "paragraph", x).otherwise(body), r"\s+", " "))
-        return F.struct(kind.alias("type"), squeezed.alias("text"), F.when(marks > 0, marks).alias("level"), F.lit(None).cast("string").alias("anchor"))
+    def block(x: Column) -> Column:
+        def made(marks: Column) -> Column:
+            kind = F.when(marks > 0, "heading").when(x.rlike(r"^[-*+]\s"), "list_item").otherwise("paragraph")
+
+            def of_kind(kind: Column) -> Column:
+                body = F.when(kind == "paragraph", x).otherwise(F.regexp_replace(x, r"^(#{1,6}|[-*+])\s+", ""))
+                return F.struct(kind.alias("type"), F.trim(F.regexp_replace(body, r"\s+", " ")).alias("text"), F.when(marks > 0, marks).alias("level"), F.lit(None).cast("string").alias("anchor"))
+
+            return _bound(kind, of_kind)
 
-    made = F.transform(lines, block)
-    first = F.array_position(F.transform(made, lambda b: b["level"].eqNullSafe(1)), F.lit(True))
-    return F.transform(made, lambda b, i: F.when(i + 1 == first, F.struct(F.lit("title").alias("type"), b["text"].alias("text"), b["level"].alias("level"), b["anchor"].alias("anchor"))).otherwise(b))
+        return _bound(F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1)), made)
+
+    def titled(blocks: Column) -> Column:
+        first = F.array_position(F.transform(blocks, lambda b: b["level"].eqNullSafe(1)), F.lit(True))
+        named = lambda b: F.struct(F.lit("title").alias("type"), b["text"].alias("text"), b["level"].alias("level"), b["anchor"].alias("anchor"))
+        return _bound(first, lambda n: F.transform(blocks, lambda b, i: F.when(i + 1 == n, named(b)).otherwise(b)))
+
+    return _bound(F.transform(lines, block), titled)
 
 
 def plain_blocks(c: Column) -> Column:
@@ -247,23 +260,26 @@ def sections(df: DataFrame, key: str, blocks: str = "blocks", title: Column | No
     without content are dropped and do not count; a document without headings is one section, "Body".
     Ancestors are the last headings of smaller depth, in order.
     """
-    rows = df.select(key, (title if title is not None else F.lit(None).cast("string")).alias("doc_title"), F.posexplode(blocks).alias("pos", "b")).where("b.type <> 'title'")
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.col("b.type") == "heading"
-    depth = F.greatest(F.lit(0), F.coalesce("b.level", F.lit(1)) - 1)
-    marked = rows.withColumn("n", F.sum(heading.cast("int")).over(w)).withColumn("depth", F.when(heading, depth))
+    heads = F.filter(F.transform(blocks, lambda b, i: F.when(b["type"] == "heading", i + 1)), lambda i: i.isNotNull())
+    marked = df.select(key, (title if title is not None else F.lit(None).cast("string")).alias("doc_title"), F.col(blocks).alias("blocks"), heads.alias("heads"))
+
+    def section(start: Column, n: Column) -> Column:
+        # From behind its heading, the n-th (none: 0), up to the next.
+        end = F.coalesce(F.get("heads", n), F.size("blocks") + 1)
+        own = F.filter(F.slice("blocks", start + 1, end - start - 1), lambda b: (b["type"] != "title") & (b["text"] != ""))
+        head = F.when(n > 0, F.get("blocks", start - 1))
+        return F.struct(n.alias("n"), head["text"].alias("title"), head["level"].alias("level"), F.array_join(F.transform(own, lambda b: b["text"]), "\n\n").alias("content"))
+
+    # A document's sections are cut out of its blocks where they lie; only sections are windowed, not blocks.
+    cut = marked.select(key, "doc_title", F.explode(F.transform(F.concat(F.array(F.lit(0)), "heads"), section)).alias("s")).select(key, "doc_title", "s.*")
+    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    heading, depth = F.col("n") > 0, F.col("depth")
+    grouped = cut.withColumn("depth", F.when(heading, F.greatest(F.lit(0), F.coalesce("level", F.lit(1)) - 1)))
     # The open heading of each depth, if no heading as shallow came after it.
     for d in range(6):
-        at = F.max(F.when(heading & (depth == d), F.col("pos"))).over(w)
-        above = F.max(F.when(heading & (depth < d), F.col("pos"))).over(w)
-        marked = marked.withColumn(f"h{d}", F.when(at > F.coalesce(above, F.lit(-1)), F.max_by("b.text", F.when(heading & (depth == d), F.col("pos"))).over(w)))
-    grouped = marked.groupBy(key, F.greatest("n", F.lit(0)).alias("n")).agg(
-        F.max("doc_title").alias("doc_title"),
-        F.max(F.when(heading, F.col("b.text"))).alias("title"),
-        F.max("depth").alias("depth"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~heading & (F.col("b.text") != ""), F.struct("pos", F.col("b.text").alias("t"))))), lambda x: x["t"]), "\n\n").alias("content"),
-        *[F.max_by(f"h{d}", F.when(heading, F.col("pos"))).alias(f"h{d}") for d in range(6)],
-    )
+        at = F.max(F.when(depth == d, F.col("n"))).over(w)
+        above = F.max(F.when(depth < d, F.col("n"))).over(w)
+        grouped = grouped.withColumn(f"h{d}", F.when(at > F.coalesce(above, F.lit(-1)), F.max_by("title", F.when(depth == d, F.col("n"))).over(w)))
     by_n = Window.partitionBy(key).orderBy("n")
     preamble = F.when((F.lag("n").over(by_n) == 0), F.lag("content").over(by_n))
     whole = Window.partitionBy(key)

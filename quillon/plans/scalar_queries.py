@@ -313,4 +313,5 @@ def markdown_texts(spark, sf_dir):
     title = F.filter("blocks", lambda x: x["type"] == "title")[0]["text"]
     body = normalise.body_text(F.col("blocks"))
     own = F.array_join(F.transform(F.slice("blocks", 4, F.size("blocks") - 7), lambda x: x["text"]), "\n")
-    return b.select("doc_id", F.sha2(normalise.full_text(title, body), 256).alias("text_sha"), normalise.flavour(F.col("blocks")).alias("flavour"), F.sha2(normalise.plain_blocks(own)[0]["text"], 256).alias("plain_sha"))
+    b = b.select("doc_id", title.alias("title"), body.alias("body"), normalise.flavour(F.col("blocks")).alias("flavour"), own.alias("own"))  # each made once
+    return b.select("doc_id", F.sha2(normalise.full_text(F.col("title"), F.col("body")), 256).alias("text_sha"), "flavour", F.sha2(normalise.plain_blocks(F.col("own"))[0]["text"], 256).alias("plain_sha"))

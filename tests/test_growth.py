@@ -79,3 +79,20 @@ def test_a_long_range_is_walked_in_pieces(spark):
     enumeration.register(spark, "pieces_b", pager, schema, [0], size=7, most_pages=2, cuts=[10])
     assert [tuple(r) for r in enumeration.walks_of(spark.read.format("pieces_b").load()).collect()] == [(0, 24, "24", False)]
     assert enumeration.cuts_of(spark.range(1_000).withColumnRenamed("id", "k"), "k", 300) == pytest.approx([299, 599, 899], abs=20)
+
+
+def test_blocks_of_markdown_are_made_once_per_line(spark):
+    from quillon.operators import normalise
+
+    plan = plan_of(spark.range(1).select(normalise.markdown_blocks(F.concat(F.lit("# t"), F.col("id"))).alias("b")))
+    assert plan.count("split(") == 1
+
+
+def test_sections_of_markdown_with_levels_in_any_order(spark):
+    from quillon.operators import normalise
+
+    text = "before\n# T\nintro\n### c\n\n## b\nx\n#### d\ny\n- z\n# e\n## f\nw"
+    made = normalise.sections(spark.createDataFrame([(1, text), (2, "only\ntext"), (3, ""), (4, None)], "k int, md string").select("k", normalise.markdown_blocks(F.col("md")).alias("blocks")), "k")
+    got = [tuple(r) for r in made.select("k", "ordinal", "title", "depth", "content", F.array_join("ancestors", "/")).orderBy("k", "ordinal").collect()]
+    assert got == [(1, 0, "c", 2, "before\n\nintro", ""), (1, 1, "b", 1, "x", ""), (1, 2, "d", 3, "y\n\nz", "b"), (1, 3, "f", 1, "w", "e"), (2, 0, "Body", 0, "only\n\ntext", "")]
+    assert plan_of(made).count("max_by") == 0 or "posexplode" not in plan_of(made)  # no row for each block
