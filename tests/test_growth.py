@@ -96,3 +96,29 @@ def test_sections_of_markdown_with_levels_in_any_order(spark):
     got = [tuple(r) for r in made.select("k", "ordinal", "title", "depth", "content", F.array_join("ancestors", "/")).orderBy("k", "ordinal").collect()]
     assert got == [(1, 0, "c", 2, "before\n\nintro", ""), (1, 1, "b", 1, "x", ""), (1, 2, "d", 3, "y\n\nz", "b"), (1, 3, "f", 1, "w", "e"), (2, 0, "Body", 0, "only\n\ntext", "")]
     assert plan_of(made).count("max_by") == 0 or "posexplode" not in plan_of(made)  # no row for each block
+
+
+@pytest.mark.parametrize("features, weights", [(6, [0.5, 1.0]), (5_000, [0.5, 1.0]), (6, [0.5, -0.5, float("inf")])])
+def test_products_in_blocks_equal_a_join_and_make_no_pair_in_a_shuffle(spark, monkeypatch, features, weights):
+    from quillon.operators import sparse
+
+    monkeypatch.setattr(sparse, "DOC_ENTRIES", 300)
+    monkeypatch.setattr(sparse, "QUERY_ENTRIES", 100)
+    rng = np.random.default_rng(3)
+
+    def side(n, name):
+        made = [(i, f"t{f}", float(rng.choice(weights))) for i in range(n) for f in rng.integers(0, features, 5)]  # a feature may come twice
+        return spark.createDataFrame(made, f"{name} long, feature string, weight double")
+
+    q, d = side(40, "query_id"), side(200, "doc_id")
+    joined = q.join(d.withColumnRenamed("weight", "w"), "feature").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score"))
+    want = sorted((tuple(r) for r in joined.collect()), key=str)
+    plain = [str(r) for r in want]  # NaN equals itself so
+    assert sorted(str(tuple(r)) for r in sparse.dot(q, d).withColumn("score", F.round("score", 6)).collect()) == plain
+    assert "Join" not in plan_of(sparse.dot(q, d))
+    if min(weights) > 0:
+        kept = sparse.products(q, d, 3).groupBy("query_id").agg(F.sum("scored").alias("n"), F.max("score").alias("top"))
+        by = {}
+        for i, _, x in want:
+            by.setdefault(i, []).append(x)
+        assert {r.query_id: (r.n, r.top) for r in kept.collect()} == {i: (len(x), max(x)) for i, x in by.items()}
