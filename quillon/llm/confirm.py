@@ -214,6 +214,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held_key, held, len(held), least)
 
 
+def _to_least(links: DataFrame) -> DataFrame:
+    """Links (a, b; a < b) that connect what ``links`` connect: all that b is linked to, and b, are linked to the least of these.
+
+    A node is b at most once for each of its keys, which bounds what is collected. In a group of near copies every key has
+    its own least node; most members share the least of these, so that their links, one for each task, become one.
+    """
+    met = links.groupBy("b").agg(F.collect_set("a").alias("all")).withColumn("m", F.array_min("all"))
+    return met.select(F.col("m").alias("a"), F.explode(F.concat(F.array("b"), F.array_remove("all", F.col("m")))).alias("b")).distinct()
+
+
 def families(keyed: DataFrame, distinct: DataFrame, limit: int) -> DataFrame:
     """``node``, ``family`` and ``score`` of every row of ``distinct`` (``node``, ``bits``) that is any other's candidate; ``keyed`` has the keys of each ``node``.
 
@@ -227,7 +237,7 @@ def families(keyed: DataFrame, distinct: DataFrame, limit: int) -> DataFrame:
     few = near.where(F.col("met") <= KEY_ROWS).select("node", "key").join(distinct.select("node", "bits"), "node")
     links = together(few, "key").sortWithinPartitions("key", "node").mapInArrow(_forests(limit), "a long, b long")
     many = near.where((F.col("met") > KEY_ROWS) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return components(links.unionByName(many)).withColumnRenamed("root", "family").join(scores, "node")
+    return components(_to_least(links).unionByName(many)).withColumnRenamed("root", "family").join(scores, "node")
 
 
 class _Rule:

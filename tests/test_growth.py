@@ -122,3 +122,17 @@ def test_products_in_blocks_equal_a_join_and_make_no_pair_in_a_shuffle(spark, mo
         for i, _, x in want:
             by.setdefault(i, []).append(x)
         assert {r.query_id: (r.n, r.top) for r in kept.collect()} == {i: (len(x), max(x)) for i, x in by.items()}
+
+
+def test_links_to_many_leasts_become_links_to_one_and_connect_the_same(spark):
+    from quillon.llm import confirm
+    from quillon.llm.components import components
+
+    rng = np.random.default_rng(6)
+    star = [(a, b) for a in range(10) for b in range(20, 320)]  # near copies under ten keys of different tasks
+    loose = [tuple(sorted(x)) for x in rng.integers(1_000, 1_400, (200, 2)).tolist() if x[0] != x[1]]
+    links = spark.createDataFrame(star + loose, "a long, b long")
+    fewer = confirm._to_least(links)
+    assert fewer.where("a < 1000").count() <= 310
+    assert fewer.where("a >= b").count() == 0
+    assert sorted(components(fewer).collect()) == sorted(components(links).collect())
