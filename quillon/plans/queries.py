@@ -429,8 +429,9 @@ def bm25_top(spark, sf_dir):
 def stored_postings(spark, sf_dir):
     """What the stored index holds of each token, read back from its blocks."""
     index = SearchIndex.current(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", ["text"], "text")
-    p = index.blocks.select("token", F.explode("postings").alias("p"))
-    return p.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.col("p.tf").cast("long")).alias("occurrences"), F.min("p.doc").alias("first_doc"), F.max("p.doc").alias("last_doc"))
+    tf = F.aggregate("postings", F.lit(0).cast("long"), lambda total, p: total + p["tf"])
+    b = index.blocks.select("token", F.size("postings").cast("long").alias("df"), tf.alias("tf"), F.array_min("postings.doc").alias("first"), F.array_max("postings.doc").alias("last"))
+    return b.groupBy("token").agg(F.sum("df").alias("df"), F.sum("tf").alias("occurrences"), F.min("first").alias("first_doc"), F.max("last").alias("last_doc"))
 
 
 @query(_TOKENS + r"""

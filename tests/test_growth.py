@@ -136,3 +136,39 @@ def test_links_to_many_leasts_become_links_to_one_and_connect_the_same(spark):
     assert fewer.where("a < 1000").count() <= 310
     assert fewer.where("a >= b").count() == 0
     assert sorted(components(fewer).collect()) == sorted(components(links).collect())
+
+
+def test_tokens_are_counted_within_their_row(spark):
+    from collections import Counter
+
+    from quillon.operators import search_index as si
+
+    made = [(0, []), (1, ["b"]), (2, ["b", "a", "b", "", "ä", "a", "b"]), (3, None), (4, ["x"] * 5)]
+    df = spark.createDataFrame(made, "i int, t array<string>").select("i", si.counted(F.col("t")).alias("c"))
+    assert {r.i: r.c and {x.token: x.tf for x in r.c} for r in df.collect()} == {i: t and dict(Counter(t)) for i, t in made} | {0: []}
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_word_has_three_keys_and_meets_all_within_two_edits(spark, tmp_path):
+    import random
+
+    from quillon.operators import search_index as si
+
+    rng = random.Random(4)
+    words = sorted({"ab" + "".join(rng.choice("abé") for _ in range(rng.randint(0, 12))) for _ in range(150)} | {"a", "ab"})
+    w = spark.createDataFrame([(x,) for x in words], "w string")
+    stored, asked = w.select("w", F.explode(si.word_keys(F.col("w"))).alias("k")), w.select(F.col("w").alias("q"), F.explode(si.lookup_keys(F.col("w"))).alias("k"))
+    assert stored.groupBy("w").count().agg(F.max("count")).first()[0] <= 3  # the deletions of a word of twelve letters are fifty-six
+    met = {(r.w, r.q) for r in stored.join(asked, "k").select("w", "q").distinct().collect()}
+    near = {(r.w, r.q) for r in w.crossJoin(w.withColumnRenamed("w", "q")).where((F.substring("w", 1, 2) == F.substring("q", 1, 2)) & (F.levenshtein("w", "q") <= 2)).collect()}
+    assert len(near) > 500 and near <= met
+
+
+def test_an_index_is_whole_without_what_it_was_cut_from(spark, tmp_path):
+    from quillon.operators.search_index import SearchIndex
+
+    docs = spark.createDataFrame([(i, "gesetz und recht " * (1 + i % 3), None if i % 2 else "recht") for i in range(40)], "id long, t string, u string")
+    index = SearchIndex.build(docs, "id", ["t", "u"], str(tmp_path / "i"), tile_rows=4, buckets=4)
+    p = index.blocks.select("field", "token", F.explode("postings").alias("p")).groupBy("field", "token").agg(F.count("*").alias("n"), F.sum("p.tf").alias("tf"), F.count_distinct("p.doc").alias("docs"))
+    assert sorted(tuple(r) for r in p.collect()) == [("t", w, 40, 79, 40) for w in ("gesetz", "recht", "und")] + [("u", "recht", 20, 20, 20)]
+    assert sorted(x.name for x in (tmp_path / "i").iterdir()) == ["blocks", "meta", "near"]
