@@ -119,6 +119,8 @@ def highlight(content: Column, token: str, regeste: Column, preview: Column, siz
 
 #: Words that may stand between a label and its tier word.
 FILLERS = ("von", "de", "du", "di", "of", "the")
+#: Places whose labels and codes are broadcast.
+VOCABULARY_ROWS = 100_000
 
 
 def mentions(tokens: Sequence[str], vocabulary: Sequence[tuple[str, Sequence[str], str]], tiers: Sequence[str], fillers: Sequence[str] = FILLERS) -> list[str]:
@@ -145,25 +147,25 @@ def mentioned(texts: DataFrame, text_id: str, text: str, vocabulary: DataFrame,
     ``vocabulary`` has ``place``, ``label`` (tokens) and ``code`` (a token or null). A place's label counts where a tier word
     stands right before or after it, before it also with one filler between. ``pos`` is the first token's place, from 0.
 
-    A trie one level deep, as a join: each token is met with the labels that begin with it, and what follows is verified
-    as a run. Labels that share a first token are rows of one key, so Spark may broadcast them or split them.
+    A trie one level deep, as a join: each token is met with the labels that begin with it and the codes that equal it, and
+    what follows is verified as a run. The places are counted first, and up to VOCABULARY_ROWS of them broadcast, so that no
+    token is shuffled; of more, labels that share a first token are rows of one key, which Spark may split.
     """
     cut = texts.select(F.col(text_id), analyse(text).alias("__t"))
-    size = vocabulary.agg(F.max(F.size("label"))).first()[0] or 1  # the longest label
+    held = vocabulary.agg(F.count("*").alias("n"), F.max(F.size("label")).alias("size")).first()
+    size = max(held.size or 0, 1)  # of the longest label
     marks = F.array(*[F.lit(t) for t in tiers])
     gaps = F.array(*[F.lit(f) for f in fillers])
-    around = lambda at, n: F.slice(F.col("__t"), F.greatest(at + 1, F.lit(1)), n)
-    at = F.col("pos")
+    at, n = F.col("pos"), F.size("label")
+    no_label = F.array().cast("array<string>")
+    names = F.array(F.struct("label", F.get("label", 0).alias("first"), F.lit("label").alias("by")), F.struct(no_label.alias("label"), F.lower("code").alias("first"), F.lit("code").alias("by")))
+    words = vocabulary.select("place", F.explode(names).alias("x")).select("place", "x.label", "x.first", "x.by").where("first IS NOT NULL")
     rows = cut.select(text_id, "__t", F.posexplode("__t").alias("pos", "first"))
-    run = rows.select(text_id, "pos", "first", around(at, F.lit(size)).alias("run"), around(at, F.lit(size + 1)).alias("onward"), F.when(at > 0, F.try_element_at("__t", at)).alias("before"), F.when(at > 1, F.try_element_at("__t", at - 1)).alias("second"))
-    labels = vocabulary.where(F.size("label") > 0).select("place", "label", F.element_at("label", 1).alias("first"))
-    n = F.size("label")
+    run = rows.select(text_id, "pos", "first", F.slice("__t", at + 1, F.lit(size + 1)).alias("onward"), F.when(at > 0, F.try_element_at("__t", at)).alias("before"), F.when(at > 1, F.try_element_at("__t", at - 1)).alias("second"))
     near = F.when(F.array_contains(gaps, F.col("before")) & F.col("second").isNotNull(), F.col("second")).otherwise(F.col("before"))
     tier = F.coalesce(F.array_contains(marks, near), F.lit(False)) | F.coalesce(F.array_contains(marks, F.try_element_at("onward", n + 1)), F.lit(False))
-    by_label = run.join(labels, "first").where((F.slice("run", 1, n) == F.col("label")) & tier).select(text_id, "place", "pos", F.lit("label").alias("by"))
-    codes = vocabulary.where("code IS NOT NULL").select("place", F.lower("code").alias("first"))
-    by_code = rows.select(text_id, "pos", "first").join(codes, "first").select(text_id, "place", "pos", F.lit("code").alias("by"))
-    return by_label.unionByName(by_code)
+    met = run.join(F.broadcast(words) if held.n <= VOCABULARY_ROWS else words, "first")
+    return met.where((F.col("by") == "code") | ((F.slice("onward", 1, n) == F.col("label")) & tier)).select(text_id, "place", "pos", "by")
 
 
 def refuses(mentioned: Sequence[str], held: Sequence[str]) -> bool:

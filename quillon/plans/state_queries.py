@@ -128,8 +128,8 @@ _TIERS = ("the", "of", "and", "le", "la", "de", "und", "der")
 def mentioned_places(spark, sf_dir):
     """Mentions in all documents and turns; the labels and codes of places are words of some documents."""
     d, c = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "conversations")
-    w = search.analyse("text")
-    vocabulary = table(spark, sf_dir, "nation").join(d.select((F.col("doc_id") / 7).alias("n_nationkey"), w.alias("w")), "n_nationkey").select(F.col("n_nationkey").cast("int").alias("place"), F.slice("w", 2, 2).alias("label"), F.try_element_at("w", F.lit(6)).alias("code"))
+    named = table(spark, sf_dir, "nation").join(d.select((F.col("doc_id") / 7).alias("n_nationkey"), "text"), "n_nationkey")  # only their texts are cut
+    vocabulary = named.select("n_nationkey", search.analyse("text").alias("w")).select(F.col("n_nationkey").cast("int").alias("place"), F.slice("w", 2, 2).alias("label"), F.try_element_at("w", F.lit(6)).alias("code"))
     texts = spread(d.select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")).unionByName(c.select(F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn").alias("id"), "text"))
     found = search.mentioned(texts, "id", "text", vocabulary, _TIERS)
     return found.groupBy("id", "place", F.col("by").alias("by_")).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))

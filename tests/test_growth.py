@@ -172,3 +172,18 @@ def test_an_index_is_whole_without_what_it_was_cut_from(spark, tmp_path):
     p = index.blocks.select("field", "token", F.explode("postings").alias("p")).groupBy("field", "token").agg(F.count("*").alias("n"), F.sum("p.tf").alias("tf"), F.count_distinct("p.doc").alias("docs"))
     assert sorted(tuple(r) for r in p.collect()) == [("t", w, 40, 79, 40) for w in ("gesetz", "recht", "und")] + [("u", "recht", 20, 20, 20)]
     assert sorted(x.name for x in (tmp_path / "i").iterdir()) == ["blocks", "meta", "near"]
+
+
+def test_mentions_shuffle_no_token_and_equal_those_of_many_places(spark, monkeypatch):
+    from quillon.operators import search
+
+    texts = spark.createDataFrame([(1, "Kanton Zug und das Kanton von Zug am See"), (2, "zug zg ZG Basel Land Kanton"), (3, None), (4, "zug")], "id long, t string")
+    places = spark.createDataFrame([("a", ["zug"], "ZG"), ("b", ["basel", "land"], None), ("c", [], "see"), ("d", None, "zug"), ("e", ["zug", "am"], "none")], "place string, label array<string>, code string")
+    made = search.mentioned(texts, "id", "t", places, ("kanton",))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    got = sorted(tuple(r) for r in made.collect())
+    assert got == [(1, "a", 1, "label"), (1, "a", 6, "label"), (1, "c", 8, "code"), (1, "d", 1, "code"), (1, "d", 6, "code"), (1, "e", 6, "label"),
+                   (2, "a", 1, "code"), (2, "a", 2, "code"), (2, "b", 3, "label"), (2, "d", 0, "code"), (4, "d", 0, "code")]
+    monkeypatch.setattr(search, "VOCABULARY_ROWS", 1)
+    assert sorted(tuple(r) for r in search.mentioned(texts, "id", "t", places, ("kanton",)).collect()) == got
