@@ -9,6 +9,9 @@ from quillon.operators import coverage
 from quillon.operators.aggregates import first_ids
 from quillon.operators.predicates import is_pdf, page_kind
 
+#: Sources whose retention is broadcast.
+BROADCAST_SOURCES = 500_000
+
 
 def acquisition_ledger(jurisdictions: DataFrame, sources: DataFrame, runs: DataFrame, captured: DataFrame, lifecycle: DataFrame, statuses: DataFrame, reconciliations: DataFrame) -> DataFrame:
     """Per jurisdiction: expected, acquired, processed, withdrawn, refused and quarantined counts with both gaps (V1, V2).
@@ -61,6 +64,13 @@ def run_preview(captured: DataFrame, sample: int = 10) -> DataFrame:
 
 
 def expired_artifacts(captured: DataFrame, sources: DataFrame, jurisdictions: DataFrame, policies: DataFrame, now) -> DataFrame:
-    """Artifacts older than their jurisdiction's policy keeps them."""
-    joined = captured.join(sources.select("source_id", "jurisdiction_id"), "source_id").join(jurisdictions.select("jurisdiction_id", "compliance_policy_id"), "jurisdiction_id").join(policies.select(F.col("policy_id").alias("compliance_policy_id"), "retention_days"), "compliance_policy_id")
+    """Artifacts older than their jurisdiction's policy keeps them.
+
+    What each source keeps is found first, so artifacts are joined once and by source: never by a jurisdiction or a
+    policy, of which there are few.
+    """
+    policy = policies.select(F.col("policy_id").alias("compliance_policy_id"), "retention_days")
+    held = jurisdictions.select("jurisdiction_id", "compliance_policy_id").join(policy, "compliance_policy_id")
+    days = sources.select("source_id", "jurisdiction_id").join(held, "jurisdiction_id").select("source_id", "retention_days")
+    joined = captured.join(F.broadcast(days) if days.count() <= BROADCAST_SOURCES else days, "source_id")
     return joined.where(F.col("fetched_at") < now - F.make_dt_interval("retention_days")).select(*captured.columns)

@@ -187,3 +187,21 @@ def test_mentions_shuffle_no_token_and_equal_those_of_many_places(spark, monkeyp
                    (2, "a", 1, "code"), (2, "a", 2, "code"), (2, "b", 3, "label"), (2, "d", 0, "code"), (4, "d", 0, "code")]
     monkeypatch.setattr(search, "VOCABULARY_ROWS", 1)
     assert sorted(tuple(r) for r in search.mentioned(texts, "id", "t", places, ("kanton",)).collect()) == got
+
+
+def test_artifacts_are_joined_by_source_alone(spark, monkeypatch):
+    from quillon.plans import control_plane
+
+    captured = spark.createDataFrame([(i, i % 7, f"1998-0{1 + i % 9}-01") for i in range(60)], "artifact long, source_id long, d string").select("artifact", "source_id", F.to_timestamp("d").alias("fetched_at"))
+    sources = spark.createDataFrame([(0, "x"), (1, "x"), (1, "y"), (2, "z"), (3, None), (4, "y")], "source_id long, jurisdiction_id string")
+    places = spark.createDataFrame([("x", "short"), ("y", "long"), ("z", None)], "jurisdiction_id string, compliance_policy_id string")
+    policies = spark.createDataFrame([("short", 200), ("long", 300)], "policy_id string, retention_days int")
+    now = F.lit("1999-01-01").cast("timestamp")
+    joined = captured.join(sources, "source_id").join(places, "jurisdiction_id").join(policies, F.col("compliance_policy_id") == F.col("policy_id"))
+    want = sorted(tuple(r) for r in joined.where(F.col("fetched_at") < now - F.make_dt_interval("retention_days")).select("artifact", "source_id").collect())
+    for most in (500_000, 1):
+        monkeypatch.setattr(control_plane, "BROADCAST_SOURCES", most)
+        made = control_plane.expired_artifacts(captured, sources, places, policies, now)
+        assert sorted(tuple(r) for r in made.select("artifact", "source_id").collect()) == want and want
+        top = next(x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+        assert "source_id" in top and "policy_id" not in top and "jurisdiction_id" not in top
