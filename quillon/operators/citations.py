@@ -211,7 +211,23 @@ def citations_of(edges: DataFrame, document_id: str) -> DataFrame:
 
 
 def cited_by(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """(document_id, n_citations, n_documents): how often others cite each document by any of its keys."""
-    named = edges.select("source_document_id", "citation_key").join(targets.select(F.col("target_key").alias("citation_key"), "document_id").distinct(), "citation_key")
-    others = named.where(~F.col("source_document_id").eqNullSafe(F.col("document_id")))
-    return others.groupBy("document_id").agg(F.count("*").alias("n_citations"), F.count_distinct("source_document_id").alias("n_documents"))
+    """(document_id, n_citations, n_documents): how often others cite each document by any of its keys.
+
+    A document of one key, however many share that key, has its key's sums without what it says itself, so no pair of
+    citation and document is made; only documents of several keys are joined to the sources of each, which may be the same.
+    """
+    cited = edges.where("citation_key IS NOT NULL").groupBy("citation_key", F.col("source_document_id").alias("source")).agg(F.count("*").alias("n"))
+    of_keys = targets.where("target_key IS NOT NULL").select(F.col("target_key").alias("citation_key"), "document_id").distinct()
+    documents = of_keys.groupBy("document_id").agg(F.count("*").alias("keys"), F.min("citation_key").alias("citation_key"))
+    one = (F.col("keys") == 1) & F.col("document_id").isNotNull()
+    single = documents.where(one).select("document_id", "citation_key")
+    sums = cited.groupBy("citation_key").agg(F.sum("n").alias("__n"), F.count("source").alias("__sources"))
+    own = cited.select("citation_key", F.col("source").alias("document_id"), F.col("n").alias("__own"))
+    found = single.join(own, ["citation_key", "document_id"], "left").join(sums, "citation_key")
+    counts = found.select("document_id", (F.col("__n") - F.coalesce("__own", F.lit(0))).alias("n_citations"), (F.col("__sources") - F.when(F.col("__own").isNull(), 0).otherwise(1)).alias("n_documents")).where("n_citations > 0")
+    rest = documents.where(~one)
+    if rest.isEmpty():
+        return counts
+    pairs = of_keys.join(rest.select(F.col("document_id").alias("__d")), F.col("document_id").eqNullSafe(F.col("__d")), "left_semi")
+    others = cited.join(pairs, "citation_key").where(~F.col("source").eqNullSafe(F.col("document_id")))
+    return counts.unionByName(others.groupBy("document_id").agg(F.sum("n").alias("n_citations"), F.count_distinct("source").alias("n_documents")))

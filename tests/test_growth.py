@@ -205,3 +205,21 @@ def test_artifacts_are_joined_by_source_alone(spark, monkeypatch):
         assert sorted(tuple(r) for r in made.select("artifact", "source_id").collect()) == want and want
         top = next(x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
         assert "source_id" in top and "policy_id" not in top and "jurisdiction_id" not in top
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_citations_are_counted_by_key_before_they_meet_documents(spark, seed):
+    from quillon.operators import citations
+
+    rng = np.random.default_rng(seed)
+    pick = lambda n, top: [None if x == 0 else int(x) for x in rng.integers(0, top, n)]
+    edges = spark.createDataFrame(list(zip(pick(300, 30), pick(300, 8), strict=True)), "source_document_id long, k long").select("source_document_id", F.concat(F.lit("k"), "k").alias("citation_key"))
+    made = list(zip(pick(30, 8), pick(30, 30), strict=True)) if seed else [(1 + i % 7, 1 + i) for i in range(28)]  # some documents of several keys, or none
+    targets = spark.createDataFrame(made + made[:3], "k long, document_id long").select(F.concat(F.lit("k"), "k").alias("target_key"), "document_id")
+    named = edges.join(targets.distinct().withColumnRenamed("target_key", "citation_key"), "citation_key").where(~F.col("source_document_id").eqNullSafe(F.col("document_id")))
+    want = named.groupBy("document_id").agg(F.count("*").alias("n"), F.count_distinct("source_document_id").alias("s"))
+    got = citations.cited_by(edges, targets)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    if not seed:  # documents of one key meet sums alone
+        plan = plan_of(got)
+        assert "Expand" not in plan and "document_id" not in "".join(x for x in plan.splitlines() if "count(distinct" in x)
