@@ -223,3 +223,73 @@ def test_citations_are_counted_by_key_before_they_meet_documents(spark, seed):
     if not seed:  # documents of one key meet sums alone
         plan = plan_of(got)
         assert "Expand" not in plan and "document_id" not in "".join(x for x in plan.splitlines() if "count(distinct" in x)
+
+
+class _Handle:
+    """A state handle that counts its calls; each is a message to another process."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, set()
+
+    def _state(self, name, *_):
+        outer = self
+
+        class State:
+            def get(self):
+                outer.calls += 1
+                return iter(outer.held.get(name, [])) if name == "seen" else outer.held.get(name)
+
+            def update(self, value):
+                outer.calls += 1
+                outer.held[name] = value
+
+            def appendList(self, values):
+                outer.calls += 1
+                outer.held.setdefault(name, []).extend(values)
+
+            def clear(self):
+                outer.calls += 1
+                outer.held.pop(name, None)
+
+        return State()
+
+    getValueState = getListState = _state
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_a_key_takes_few_calls_of_the_state_however_many_events_it_has():
+    from pyspark.sql import Row
+
+    from quillon.streaming import timed
+
+    handle, guard = _Handle(), timed._Guard("k", "r", "e", "e", 1_000)
+    guard.init(handle)
+    event = Row("k", "e", "r")
+    first = list(guard.handleInputRows((1,), iter([event(1, i, i % 10) for i in range(500)]), None))
+    assert [x.outcome for x in first[:12]] == ["applied"] * 10 + ["stale"] * 2 and handle.calls == 3
+    again = list(guard.handleInputRows((1,), iter([event(1, 7, 9), event(1, 900, 8), event(1, 901, 9)]), None))
+    assert [x.outcome for x in again] == ["ignored_duplicate", "stale", "applied"] and handle.calls == 7
+
+
+def test_a_unit_takes_three_calls_of_the_state_and_keeps_one_timer():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from quillon.streaming import timed
+
+    handle, unit, seen = _Handle(), timed._Deadlines("u", "x", 100), Row("u", "seen_ms", "x")
+    unit.init(handle)
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    assert list(unit.handleInputRows((1,), iter([seen(1, 30, False), seen(1, 20, None)]), at)) == []
+    assert handle.calls == 3 and handle.timers == {130}
+    assert [tuple(r) for r in unit.handleInputRows((1,), iter([seen(1, 50, True)]), at)] == [(1, 50, "ended")] and handle.timers == {150}
+    assert list(unit.handleInputRows((1,), iter([seen(1, 40, False)]), at)) == [] and handle.timers == {150}
+    assert list(unit.handleExpiredTimer((1,), at, None)) == [] and "last" not in handle.held
