@@ -77,7 +77,7 @@ class MergeTable:
         data = self.spark.read.option("mergeSchema", True).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/{d}" for d in state["data"]])
         if only is not None:
             data = data.where(F.col("__bucket").isin(*only))
-        data = data.select("*", F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+$", 0).alias("__file"), F.col("_metadata.row_index").alias("__row")).drop("commit", "__bucket")
+        data = data.select("*", F.substring_index("_metadata.file_path", "/", -2).alias("__file"), F.col("_metadata.row_index").alias("__row")).drop("commit", "__bucket")
         if not state["deletes"]:
             return data
         gone = self.spark.read.parquet(*[f"{self.path}/deletes/{d}" for d in state["deletes"]]).groupBy("file", "part").agg(F.bitmap_or_agg("rows").alias("__gone"))
