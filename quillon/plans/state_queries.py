@@ -54,9 +54,9 @@ def patched_rows(spark, sf_dir):
     return held.read().select("k", "r", "status", "customer")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, name: str, make, idle_batches: bool) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, name: str, make, idle_batches: bool, most_stores: int | None = None) -> DataFrame:
     """What a stream over the events makes, run until the table is read."""
-    own = timed.timed_session(spark, idle_batches)
+    own = timed.timed_session(spark, idle_batches, most_stores)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = own.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern, which may be a file or a folder
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -83,7 +83,7 @@ def deadline_stream(spark, sf_dir):
     """A user's day is a unit that a purchase ends; event-time timers report those that pass a day's deadline."""
     unit = (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("unit")
     make = lambda e: timed.deadlines(e.select(unit, "ts", (F.col("event_type") == "purchase").alias("ends")), "unit", "ts", "ends", 86_400_000, "1 hour")
-    return _streamed(spark, sf_dir, "deadlines", make, True).select("unit", "last_seen", "verdict")
+    return _streamed(spark, sf_dir, "deadlines", make, True, 4 * spark.sparkContext.defaultParallelism).select("unit", "last_seen", "verdict")
 
 
 @query(f"""

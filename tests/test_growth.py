@@ -295,6 +295,61 @@ def test_a_unit_takes_three_calls_of_the_state_and_keeps_one_timer():
     assert list(unit.handleExpiredTimer((1,), at, None)) == [] and "last" not in handle.held
 
 
+def test_a_bucket_of_units_takes_few_calls_of_the_state_however_many_it_has():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from quillon.streaming import timed
+
+    handle, bucket = _Handle(), timed._DealtDeadlines("u", 100)
+    bucket.init(handle)
+    at = lambda w: SimpleNamespace(getCurrentWatermarkInMs=lambda: w)
+    rows = lambda units, last, now: pd.DataFrame({"bucket": 0, "unit": units, "at": pd.NaT, "last": last, "now": now})
+    assert list(bucket.handleInputRows((0,), iter([rows(range(700), range(700), 0), rows(range(500, 900), range(500, 900), 0)]), at(0))) == []
+    assert handle.calls == 3 and handle.timers == {100}
+    (ended,) = bucket.handleInputRows((0,), iter([rows([0, 5, 0], [40, 3, 30], [0, 1, 1])]), at(0))
+    assert sorted(ended.itertuples(index=False, name=None)) == [(0, 40, "ended"), (5, 5, "ended")] and handle.calls == 7 and handle.timers == {101}
+    (overdue,) = bucket.handleExpiredTimer((0,), at(199), None)
+    assert sorted(overdue.itertuples(index=False, name=None)) == [(i, i, "overdue") for i in range(1, 100) if i != 5] and 200 in handle.timers
+    (overdue,) = bucket.handleExpiredTimer((0,), at(5_000), None)
+    assert len(overdue) == 800 and "held" not in handle.held
+
+
+def test_a_stream_has_no_more_stores_than_asked_for(spark):
+    from quillon.streaming import timed
+
+    partitions = lambda most: timed.timed_session(spark, True, most).conf.get("spark.sql.shuffle.partitions")
+    assert [partitions(m) for m in (2, 100, None)] == ["2", "4", "4"]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_units_in_buckets_give_what_a_state_for_each_gives(spark, tmp_path, kind):
+    import json
+    import os
+    from datetime import datetime, timedelta
+
+    from quillon.streaming import timed
+
+    own, rng = timed.timed_session(spark), np.random.default_rng(8)
+    (tmp_path / "in").mkdir()
+    for b in range(5):  # whole hours, so that deadlines meet watermarks; rows that come late, without a unit or without an end
+        hours, units, ends = 10 * b + rng.integers(-6, 10, 60), rng.integers(0, 40, 60), rng.integers(0, 12, 60)
+        made = [{"u": None if u == 0 else 2**60 + int(u), "ts": (datetime(2024, 1, 1) + timedelta(hours=int(h))).isoformat(), "e": None if e == 1 else bool(e == 0)} for u, h, e in zip(units, hours, ends, strict=True)]
+        f = tmp_path / "in" / f"{b}.json"
+        f.write_text("".join(json.dumps(x) + "\n" for x in made))
+        os.utime(f, (1_700_000_000 + b, 1_700_000_000 + b))
+    got = []
+    for buckets in (None, 3):
+        stream = own.readStream.schema(f"u {kind}, ts timestamp, e boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        out = timed.deadlines(stream, "u", "ts", "e", 7 * 3_600_000, "1 hour", buckets)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / f"out{buckets}")).option("checkpointLocation", str(tmp_path / f"ck{buckets}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got.append(sorted(map(str, map(tuple, spark.read.parquet(str(tmp_path / f"out{buckets}")).collect()))))
+    assert got[0] == got[1] and sum("overdue" in x for x in got[0]) > 10 and sum("ended" in x for x in got[0]) > 5 and any("None" in x for x in got[0])
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 4 * 3  # a state and a timer, which is indexed, for each bucket
+
+
 def test_files_of_a_merged_table_are_named_without_a_regular_expression(spark, tmp_path):
     from quillon.sources.merge_table import MergeTable
 
