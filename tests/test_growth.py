@@ -124,6 +124,47 @@ def test_products_in_blocks_equal_a_join_and_make_no_pair_in_a_shuffle(spark, mo
         assert {r.query_id: (r.n, r.top) for r in kept.collect()} == {i: (len(x), max(x)) for i, x in by.items()}
 
 
+@pytest.mark.parametrize("values", [10, 2_000, 10**6])
+def test_scores_in_ranges_are_those_of_a_join(spark, monkeypatch, values):
+    from quillon.operators import sparse
+
+    monkeypatch.setattr(sparse, "DOC_ENTRIES", 400)
+    monkeypatch.setattr(sparse, "CELLS", 500)
+    monkeypatch.setattr(sparse, "VALUES", values)
+    rng = np.random.default_rng(5)
+
+    def side(n, name):
+        made = [(i, f"t{f}", float(rng.choice([0.5, 1.0]))) for i in range(n) for f in rng.integers(0, 8, 5)]
+        return spark.createDataFrame(made, f"{name} long, feature string, weight double")
+
+    q, d = side(40, "query_id"), side(200, "doc_id")
+    want = q.join(d.withColumnRenamed("weight", "w"), "feature").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 3).alias("score"))
+    made = sparse.dot(q, d, 3)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    assert made.rdd.getNumPartitions() == 3  # a block each, of 1,000 entries
+    table, all_of = np.arange(10_001.0).reshape(1, -1) / 1_000, np.ones((1, 10_001), dtype=bool)
+    assert [len(c) if (c := sparse._cuts(table, x, 3)) is not None else None for x in (all_of, ~all_of)] == [{10: None, 2_000: 4, 10**6: 0}[values], None]
+    assert sparse._cuts(np.array([[np.nan, 1.0]]), np.ones((1, 2), dtype=bool), 3) is None
+
+
+def test_all_scores_take_little_room_in_files(spark, tmp_path):
+    from quillon.operators import sparse
+
+    rng = np.random.default_rng(7)
+
+    def side(n, name):
+        e = 0.1 + 0.05 * rng.random((n, 8))
+        return spark.createDataFrame(pa.table({name: np.repeat(np.arange(n), 8), "feature": [f"t{f}" for f in range(8)] * n, "weight": e.ravel()}).to_pandas())
+
+    q, d = side(500, "query_id"), side(2_000, "doc_id")
+    sparse.dot(q, d, 6).write.parquet(str(tmp_path / "s"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "s").glob("*.parquet")]
+    groups = [f.row_group(g) for f in files for g in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 1_000_000
+    assert all(any("DICT" in e for e in g.column(2).encodings) for g in groups if g.num_rows)
+    assert sum(g.column(j).total_compressed_size for g in groups for j in range(3)) < 6_000_000  # a score that is written plainly takes eight bytes alone
+
+
 def test_links_to_many_leasts_become_links_to_one_and_connect_the_same(spark):
     from quillon.llm import confirm
     from quillon.llm.components import components
